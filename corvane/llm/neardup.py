@@ -26,9 +26,9 @@ from .common import bounded_broadcast, save, small_batches
 from .graph import components
 from .vectext import Words, blocks, mix, shingles
 
-HASHES, BANDS, ROWS, BITS = 128, 24, 5, 4
+HASHES, BANDS, ROWS, BITS = 256, 24, 5, 4
 #: A pair is confirmed if its estimate is at least the threshold less this: five deviations of the estimate.
-SLACK = 0.17
+SLACK = 0.12
 SHINGLE = 5
 
 _rng = np.random.default_rng(20240229)
@@ -120,7 +120,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFram
                 keep[i] = same > 0 and den * same >= num * (len(x) + len(y) - same)
             yield f.loc[keep, ["a", "b"]]
 
-    wanted = save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    wanted = save(pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct(), "wanted")
     texts = texts.join(bounded_broadcast(wanted), "id", "left_semi").dropDuplicates(["id"])
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     return joined.select("a", "b", "ta", "tb").mapInPandas(confirm, "a long, b long")
