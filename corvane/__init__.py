@@ -1,0 +1 @@
+"""Analytics over corpora of papers, as lazy Spark DataFrames."""
