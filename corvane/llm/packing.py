@@ -13,8 +13,8 @@ rows with the same or a null doc_id are told apart by a row number. Ties in leng
 
 from __future__ import annotations
 
+import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,36 +25,68 @@ from pyspark.sql.window import Window as W
 
 from .common import save, small_batches
 
-#: Words whose ids a Python worker keeps; the cache starts anew when it is full, so its memory is bounded.
-CACHE_WORDS = 400_000
+#: Words whose ids a Python worker keeps (about 200 bytes each); the cache starts anew when it is full, so it is bounded.
+CACHE_WORDS = 1_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 _encoders: dict = {}
 
+#: White-space-free runs that are one word of Latin letters, with a point or comma at most.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
+#: str.split cuts at these, but they are no white space to a tokenizer.
+_ODD = re.compile("[\x1c-\x1f]")
+_PROBE = ["the", "Zürich", "façade,", "ÉTÉ.", "re", "s", "nation's", "a.b", "größe", "ÿ,", "x", "Ll", "d."]
 
-class WordEncoder:
-    """Ids of texts by a tokenizer that drops white space: ids of each white-space-free run are kept and looked up.
 
-    The tokenizer's first cut is at white space and letters are lower-cased, so a text's ids are those of its runs.
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write each byte as a letter: printable ones as themselves, the rest from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class WordEncoder(dict):
+    """Ids of texts by a tokenizer that drops white space: the ids of each white-space-free run are kept, as bytes.
+
+    The tokenizer's first cut is at white space, so a text's ids are those of its runs. A run of plain letters goes to
+    the vocabulary's merges at once (lower-cased, as byte letters); every other run takes the whole way. Whether the
+    short way holds for a tokenizer is tried on a few words first.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         from tokenizers import Tokenizer
 
-        self.encoder = Tokenizer.from_file(path)
-        self.encoder.encode_special_tokens = True
-        self.known: dict[str, list[int]] = {}
-
-    def __call__(self, texts: list[str]) -> list[list[int]]:
-        runs = [t.split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        new = list(set().union(*runs) - known.keys()) if runs else []
-        known.update(zip(new, (e.ids for e in self.encoder.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        get = known.__getitem__
-        return [list(chain.from_iterable(map(get, r))) for r in runs]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.model, self.letters, self.tails = self.tokenizer.model, _byte_letters(), {"": []}
+        self.short = False
+        self.tails |= {c: self._whole(c) for c in ".,"}
+        self.short = all(self._short(w) in (None, self._whole(w)) for w in _PROBE)
+
+    def _whole(self, run: str) -> list[int]:
+        return self.tokenizer.encode(run, add_special_tokens=False).ids
+
+    def _short(self, run: str) -> list[int] | None:
+        m = _PLAIN.fullmatch(run)
+        if m is None:
+            return None
+        word = m[1].lower().encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(word)] + self.tails[m[2]]
+
+    def __missing__(self, run: str) -> bytes:
+        ids = (self._short(run) if self.short else None) or self._whole(run)
+        self[run] = out = np.array(ids, self.kind).tobytes()
+        return out
+
+    def encode(self, text: str) -> np.ndarray:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        if _ODD.search(text):
+            return np.array(self._whole(text), "<u4")
+        return np.frombuffer(b"".join(map(self.__getitem__, text.split())), self.kind).astype("<u4")
 
 
 def encoder(path: str) -> WordEncoder:
@@ -70,17 +102,17 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
     """Each document's pieces: cut at multiples of the capacity. The texts are read once and never shuffled."""
 
     def cut(frames):
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer).encode
+        end = np.array([end_id], "<u4")
         for f in frames:
-            rows, texts = [], [t if isinstance(t, str) else "" for t in f["text"]]
-            for lo in range(0, len(texts), 100):
-                for doc, ids in zip(f["doc_id"].iloc[lo : lo + 100], encode(texts[lo : lo + 100]), strict=True):
-                    a = np.array([*ids, end_id], dtype="<u4")
-                    n = len(a)
-                    d = None if pd.isna(doc) else int(doc)
-                    for s in range(0, n, capacity):
-                        part = a[s : s + capacity]
-                        rows.append((d, s, len(part), zlib.crc32(part.tobytes()), n))
+            rows = []
+            for doc, text in zip(f["doc_id"], f["text"], strict=True):
+                a = np.concatenate((encode(text), end)) if isinstance(text, str) else end
+                n = len(a)
+                d = None if pd.isna(doc) else int(doc)
+                for s in range(0, n, capacity):
+                    part = a[s : s + capacity]
+                    rows.append((d, s, len(part), zlib.crc32(part), n))
             yield pd.DataFrame({c: pd.array([r[i] for r in rows], dtype="Int64") for i, c in enumerate(("doc_id", "start", "length", "ids_crc32", "doc_tokens"))})
 
     small_batches(docs.sparkSession)
