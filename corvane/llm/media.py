@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches
 
@@ -192,7 +193,7 @@ def index_media(files: DataFrame, content: str = "content", keep: list[str] | No
     """Columns ``keep`` with ``tracks``: codec, duration and key frame byte ranges of each track of each file."""
     small_batches(files.sparkSession)
     keep = [c for c in files.columns if c != content] if keep is None else keep
-    schema = files.select(*keep).schema.add("tracks", TRACKS)
+    schema = files.select(*keep).schema.add("tracks", T.StructType.fromDDL(f"tracks {TRACKS}")["tracks"].dataType)
 
     def read(frames):
         for f in frames:
