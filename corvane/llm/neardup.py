@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
                 placed = placed.join(heads, "id")
                 x = placed.select(F.col("key").alias("kx"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("packed").alias("pa"), F.col("bands").alias("ba"))
                 y = placed.select(F.col("key").alias("ky"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("packed").alias("pb"), F.col("bands").alias("bb"))
-                once = F.element_at(F.array_intersect("ba", "bb"), 1) == F.col("kx")
+                once = F.coalesce(*[F.when(F.col("ba")[i] == F.col("bb")[i], F.col("ba")[i]) for i in range(BANDS)]) == F.col("kx")
                 pairs = x.join(y, (F.col("kx") == F.col("ky")) & (F.col("ca") < F.col("cb")) & (estimate(F.col("pa"), F.col("pb")) >= floor) & once).select("a", "b")
             pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         if turn != "rest":  # the likeliest for each document; the others may be connected by then
