@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: Rows handed to Python at once; documents can be long, so far below Spark's default of 10,000.
 ARROW_ROWS = 1_000
+#: Bytes handed to Python at once, for the same reason.
+ARROW_BYTES = 16_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,11 +46,38 @@ def bounded_broadcast(saved: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for long documents (lowers the session's setting, never raises it)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Keep Arrow batches small enough for long documents (lowers the session's settings, never raises them)."""
+    for key, usual, most in (("maxRecordsPerBatch", "10000", ARROW_ROWS), ("maxBytesPerBatch", "268435456b", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = _number(spark.conf.get(key, usual))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
+def _number(setting: str) -> int:
+    """A setting as a number; one with a unit other than bytes counts as none set."""
+    digits = setting.lower().removesuffix("b")
+    return int(digits) if digits.lstrip("-").isdigit() else 0
+
+
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A partition's function that ends by handing freed memory back: Spark keeps its Python workers for later tasks."""
+
+    def run(frames):
+        yield from work(frames)
+        release()
+
+    return run
+
+
+def release() -> None:
+    """Give what Arrow and the C library hold in reserve back to the system, where they can."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def id_crc(column: str) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import small_batches
+from .common import small_batches, tidy
 from .vectext import mix
 
 #: Texts a language from which the filters are learned, chosen by hash (the bound of the classifier's sample).
@@ -135,7 +135,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", n: int =
             yield pd.DataFrame({"lang": k, "gram": h.view(np.int64), "c": c})
 
     small_batches(labelled.sparkSession)
-    got = sample.select("lang", "text").mapInPandas(count, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    got = sample.select("lang", "text").mapInPandas(tidy(count), "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
     found = got.where(F.col("c") >= least).orderBy(F.desc("c"), "lang", "gram").limit(MOST_GRAMS).toPandas()
     languages = sorted(counts)
     bit = {k: i for i, k in enumerate(languages)}
@@ -172,4 +172,4 @@ def predict(docs: DataFrame, filters: Filters, keep: list[str], text: str = "tex
             out[out_lang], out[out_score] = langs, scores
             yield out
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInPandas(judge, schema)
+    return docs.select(*keep, F.col(text).alias("__text")).mapInPandas(tidy(judge), schema)

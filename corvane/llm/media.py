@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 #: Boxes that hold boxes; what stands before these is skipped.
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"edts": 0, b"dinf": 0, b"udta": 0, b"mvex": 0, b"moof": 0, b"traf": 0}
@@ -204,7 +204,7 @@ def index_media(files: DataFrame, content: str = "content", keep: list[str] | No
             ]
             yield out
 
-    return files.select(*keep, F.col(content).alias("__content")).mapInPandas(read, schema)
+    return files.select(*keep, F.col(content).alias("__content")).mapInPandas(tidy(read), schema)
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -232,4 +232,4 @@ def digest(docs: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", f["doc_id"].astype("Int64").array)
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(store, DIGEST)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(tidy(store), DIGEST)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, save, small_batches
+from .common import bounded_broadcast, save, small_batches, tidy
 from .graph import components
 from .vectext import Words, blocks, mix, shingles
 
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, id_column: str, text: str) -> DataFrame:
                 yield out
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).mapInPandas(compute, SIGNATURES)
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).mapInPandas(tidy(compute), SIGNATURES)
 
 
 def estimate(x: Column, y: Column) -> Column:
@@ -108,23 +108,23 @@ def _similar(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFram
     def confirm(frames):
         for f in frames:
             keep = np.zeros(len(f), bool)
-            both = list(f["ta"]) + list(f["tb"])
-            sets: list = [None] * len(both)
+            both = [t for pair in zip(f["ta"], f["tb"], strict=True) for t in pair]
             for first, part in blocks(both):
                 s, doc = shingles(Words(part), SHINGLE)
                 edge = np.searchsorted(doc, np.arange(len(part) + 1))
                 for d in range(len(part)):
-                    sets[first + d] = np.unique(s[edge[d] : edge[d + 1]])
-            for i in range(len(f)):
-                x, y = sets[i], sets[len(f) + i]
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = same > 0 and den * same >= num * (len(x) + len(y) - same)
+                    y = np.unique(s[edge[d] : edge[d + 1]])
+                    i, second = divmod(first + d, 2)
+                    if second:
+                        same = len(np.intersect1d(x, y, assume_unique=True))
+                        keep[i] = same > 0 and den * same >= num * (len(x) + len(y) - same)
+                    x = y
             yield f.loc[keep, ["a", "b"]]
 
     wanted = save(pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct(), "wanted")
     texts = texts.join(bounded_broadcast(wanted), "id", "left_semi").dropDuplicates(["id"])
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return joined.select("a", "b", "ta", "tb").mapInPandas(confirm, "a long, b long")
+    return joined.select("a", "b", "ta", "tb").mapInPandas(tidy(confirm), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", num: int = 80, den: int = 100) -> DataFrame:

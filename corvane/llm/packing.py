@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import save, small_batches
+from .common import save, small_batches, tidy
 
-#: Words whose ids a Python worker keeps (about 200 bytes each); the cache starts anew when it is full, so it is bounded.
-CACHE_WORDS = 1_000_000
+#: Words whose ids a task keeps (about 200 bytes each); the cache starts anew when it is full, so it is bounded.
+CACHE_WORDS = 200_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -114,9 +114,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
                     part = a[s : s + capacity]
                     rows.append((d, s, len(part), zlib.crc32(part), n))
             yield pd.DataFrame({c: pd.array([r[i] for r in rows], dtype="Int64") for i, c in enumerate(("doc_id", "start", "length", "ids_crc32", "doc_tokens"))})
+        encoder(tokenizer).clear()
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(tidy(cut), PIECES)
 
 
 def knapsack(prices: np.ndarray, weights: np.ndarray, room: int) -> tuple[float, np.ndarray]:

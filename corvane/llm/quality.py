@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 from .vectext import Words, blocks, mix
 
 #: Labelled texts used for training, chosen by hash (the bound of the classifier's sample), and passes over them.
@@ -127,8 +127,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
         model = ftrl([(r.label, np.frombuffer(r.i, "<i4"), np.frombuffer(r.v, "<f4").astype(float)) for r in held])
         yield pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
 
-    seen = rows.mapInPandas(extract, "h long, label int, i binary, v binary")
-    got = seen.repartition(1).sortWithinPartitions("h", "label", "i").mapInPandas(learn, "weights binary, bias double").collect()
+    seen = rows.mapInPandas(tidy(extract), "h long, label int, i binary, v binary")
+    got = seen.repartition(1).sortWithinPartitions("h", "label", "i").mapInPandas(tidy(learn), "weights binary, bias double").collect()
     if not got:
         return Model(np.zeros(1 << BITS, np.float32), 0.0)
     return Model(np.frombuffer(got[0]["weights"], np.float32), got[0]["bias"])
@@ -148,4 +148,4 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", ou
             result[out] = m.score(list(f["__text"]))
             yield result
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInPandas(judge, schema)
+    return docs.select(*keep, F.col(text).alias("__text")).mapInPandas(tidy(judge), schema)
