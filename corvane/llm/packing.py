@@ -26,7 +26,7 @@ from pyspark.sql.window import Window as W
 from .common import save, small_batches, tidy
 
 #: Words whose ids a task keeps (about 200 bytes each); the cache starts anew when it is full, so it is bounded.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
