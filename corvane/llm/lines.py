@@ -1,21 +1,27 @@
-"""Line deduplication by content-defined chunks of lines; DataFrame functions only.
+"""Line deduplication by content-defined chunks and by runs of lines; DataFrame functions only.
 
 A text's lines are hashed; a polynomial hash rolls over the last ``window`` of them, and a chunk ends where it is
 divisible by ``divisor``. A long line (over ``long_words`` words) is a chunk of its own. The places depend on the lines
 alone, so inserted lines shift no other boundary. A chunk counts if it has at least ``least_lines`` lines and
-``least_words`` words, or is such a long line. Of chunks with equal bytes the first (by id, then place) stays.
+``least_words`` words, or is such a long line.
 
-Equality: chunks whose 64-bit hash repeats are grouped by their bytes; map-side grouping sends a hot chunk once a task.
+Chunks leave the edges of a repeated passage, so runs count too: for each line with a word the shortest run of over
+``long_words`` words that starts with it (also with the blank lines before it) and the shortest one that ends with it.
+Any longer repeated run is made up of these, so it goes whole; only blank lines at its outer edges may stay.
+Of chunks and runs with equal bytes the first (by id, then place) stays; one that overlaps the first stays with it.
+
+Equality: by the SHA-256 of the lines' SHA-256; only those whose 64-bit hash repeats are grouped, on the map side first.
 
 Null text: stays null. Empty text: one empty line, stays. Repeated rows: rows with one id count as one document's text
-each and are cut alike; of copies under different ids the smallest keeps its chunks. Null id: never first, cut like others.
-Empty table: empty result. Other columns pass through unread.
+each and are cut alike; of copies under different ids the smallest keeps its lines. Null id: never first, cut like others.
+Empty table: empty result. Other columns pass through unread. removed_chunks counts the pieces taken out.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import bounded_broadcast, save
 
@@ -43,48 +49,65 @@ def cuts_of(lines: Column, hashes: Column, words: Column, window: int = WINDOW,
     return F.filter(F.sequence(F.lit(1), n), ends)
 
 
-def _chunked(docs: DataFrame, id_column: str, text: str, window: int, divisor: int, long_words: int) -> DataFrame:
-    """id, lines and chunks (start, end, exclusive) of each text; each step in its own projection, so it runs once."""
-    out = docs.where(F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.split(F.col(text), "\n").alias("lines"))
-    out = out.select("id", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("lines", _words).alias("words"))
-    out = out.withColumn("cuts", cuts_of(F.col("lines"), F.col("hashes"), F.col("words"), window, divisor, long_words))
-    start = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.element_at("cuts", F.greatest(j, F.lit(1))))
-    return out.withColumn("chunks", F.transform("cuts", lambda e, j: F.struct(start(j).alias("start"), e.alias("end"))))
+def _place(start: Column, end: Column) -> Column:
+    """A range of lines (end exclusive) as one number, so that array_distinct can hash it."""
+    return start.cast("long") * (1 << 32) + end.cast("long")
 
 
-def _exploded(chunked: DataFrame, with_text: bool, least_lines: int, least_words: int, long_words: int) -> DataFrame:
-    """One row for each chunk that counts: id, start, end, hash, and its bytes if asked for.
+def runs_of(by_word: Column, firsts: Column, long_words: int = LONG_WORDS) -> Column:
+    """The shortest runs of over long_words words from and up to each line, as places; null where the text is too short.
+
+    by_word: the line (from 0) of each word; firsts: the index in it of each line's first word.
+    """
+    end = lambda p: F.get(by_word, p) + 1
+    from_line = F.transform(firsts, lambda p: _place(F.get(by_word, p), end(p + long_words)))
+    from_blank = F.transform(firsts, lambda p: _place(F.coalesce(end(p - 1), F.lit(0)), end(p + long_words)))
+    last = lambda k: F.coalesce(F.get(firsts, k + 1), F.size(by_word)) - 1
+    up_to = F.transform(firsts, lambda p, k: _place(F.get(by_word, last(k) - long_words), end(last(k))))
+    return F.concat(from_line, from_blank, up_to)
+
+
+def _units(docs: DataFrame, id_column: str, text: str, window: int, divisor: int, long_words: int, least_lines: int, least_words: int) -> DataFrame:
+    """One row for each chunk or run that counts: id, start, end (exclusive), digest; each step in its own projection, so it runs once.
 
     explode_outer: from explode, Catalyst infers a filter on the array and pushes it below the projections that make it,
     where the array's steps are nested into each other and run again for each element.
     """
-    out = chunked.select("id", "lines", "hashes", "words", F.explode_outer("chunks").alias("c")) if with_text else chunked.select("id", "hashes", "words", F.explode_outer("chunks").alias("c"))
-    part = lambda c: F.slice(c, F.col("c.start") + 1, F.col("c.end") - F.col("c.start"))
+    out = docs.where(F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.split(F.col(text), "\n").alias("lines"))
+    out = out.select("id", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.transform("lines", lambda x: F.sha2(x, 256)).alias("digests"), F.transform("lines", _words).alias("words"))
+    # A line counts as long_words + 1 words at most: which sums are over long_words stays the same.
+    by_word = F.flatten(F.transform("words", lambda w, i: F.array_repeat(i, F.least(w, F.lit(long_words + 1)))))
+    out = out.withColumn("cuts", cuts_of(F.col("lines"), F.col("hashes"), F.col("words"), window, divisor, long_words)).withColumn("by_word", by_word)
+    first = lambda p: ~F.get("by_word", p).eqNullSafe(F.get("by_word", p - 1))
+    out = out.withColumn("firsts", F.filter(F.sequence(F.lit(0), F.greatest(F.size("by_word") - 1, F.lit(0))), first))
+    start = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.element_at("cuts", F.greatest(j, F.lit(1))))
+    places = F.concat(F.transform("cuts", lambda e, j: _place(start(j), e)), runs_of(F.col("by_word"), F.col("firsts"), long_words))
+    out = out.withColumn("places", F.array_distinct(places)).select("id", "digests", "words", F.explode_outer("places").alias("place")).where("place is not null")
+    out = out.select("id", "digests", "words", F.shiftright("place", 32).cast("int").alias("start"), F.col("place").bitwiseAND((1 << 32) - 1).cast("int").alias("end"))
+    part = lambda c: F.slice(c, F.col("start") + 1, F.col("end") - F.col("start"))
     count = F.aggregate(part("words"), F.lit(0), lambda a, b: a + b)
-    out = out.select("id", "c.start", "c.end", F.xxhash64(part("hashes")).alias("hash"), count.alias("words"), *([F.array_join(part("lines"), "\n").alias("bytes")] if with_text else []))
-    return out.where(((F.col("end") - F.col("start") >= least_lines) & (F.col("words") >= least_words)) | (F.col("words") > long_words))
+    out = out.select("id", "start", "end", F.unhex(F.sha2(F.array_join(part("digests"), ""), 256)).alias("digest"), count.alias("words"))
+    return out.where(((F.col("end") - F.col("start") >= least_lines) & (F.col("words") >= least_words)) | (F.col("words") > long_words)).drop("words")
+
+
+def _merged(ranges: DataFrame) -> DataFrame:
+    """Ranges (id, start, end) with those that overlap or touch joined into one."""
+    by = W.partitionBy("id").orderBy("start", "end")
+    out = ranges.distinct().withColumn("upto", F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1)))
+    out = out.withColumn("part", F.count_if(F.col("upto").isNull() | (F.col("start") > F.col("upto"))).over(by.rowsBetween(W.unboundedPreceding, 0)))
+    return out.groupBy("id", "part").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("part")
 
 
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", out: str = "text", window: int = WINDOW, divisor: int = DIVISOR, long_words: int = LONG_WORDS, least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS) -> DataFrame:
-    """All rows and columns with ``out`` the text without repeated chunks, and n_lines, removed_chunks, removed_lines."""
-    chunked = _chunked(docs, id_column, text, window, divisor, long_words)
-    found = _exploded(chunked, False, least_lines, least_words, long_words)
+    """All rows and columns with ``out`` the text without repeated chunks and runs, and n_lines, removed_chunks, removed_lines."""
+    found = save(_units(docs, id_column, text, window, divisor, long_words, least_lines, least_words), "units").withColumn("hash", F.xxhash64("digest"))
     often = save(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated")
-    small = bounded_broadcast(often)
-    # The bytes of chunks whose hash repeats; equal bytes meet on the map side first.
-    texts = _exploded(chunked, True, least_lines, least_words, long_words).join(small, "hash", "left_semi")
-    first = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "start")).alias("first")
-    groups = save(texts.groupBy("hash", "bytes").agg(first, F.count(F.lit(1)).alias("n")).withColumn("kinds", F.sha2("bytes", 256)).drop("bytes"), "groups")
-    kinds = groups.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds_n"), F.first("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
-    sole = kinds.where("kinds_n = 1").select("hash", "first")
-    clash = groups.join(kinds.where("kinds_n > 1").select("hash"), "hash", "left_semi").where("n > 1").select("hash", "kinds", "first")
-    later = (F.col("first.id").isNull() & F.col("id").isNotNull()) | ~F.col("id").eqNullSafe(F.col("first.id")) | (F.col("start") != F.col("first.start"))
-    drop = found.join(bounded_broadcast(save(sole, "sole")), "hash").where(later).select("id", "start", "end")
-    clash = save(clash, "clash")
-    if not clash.isEmpty():  # different bytes under one hash: the bytes' digest tells them apart
-        both = _exploded(chunked, True, least_lines, least_words, long_words).withColumn("kinds", F.sha2("bytes", 256))
-        drop = drop.unionByName(both.join(clash, ["hash", "kinds"]).where(later).select("id", "start", "end"))
-    gone = save(drop.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__gone")), "gone").withColumnRenamed("id", "__id")
+    again = found.join(bounded_broadcast(often), "hash", "left_semi")
+    first = F.min(F.struct(F.col("id").isNull().alias("z"), "id", "start", "end")).alias("first")
+    firsts = save(again.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "firsts")
+    other = ~F.col("id").eqNullSafe(F.col("first.id")) | (F.col("id").isNull() & (F.col("start") != F.col("first.start")))
+    drop = again.join(bounded_broadcast(firsts), "digest").where(other | (F.col("start") >= F.col("first.end"))).select("id", "start", "end")
+    gone = save(_merged(drop).groupBy("id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__gone")), "gone").withColumnRenamed("id", "__id")
     joined = docs.join(bounded_broadcast(gone), F.col(id_column).eqNullSafe(F.col("__id")), "left")
     lines = F.split(F.col(text), "\n")
     # Between two ranges that go: from the end of one to the start of the next.

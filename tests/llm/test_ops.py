@@ -163,6 +163,27 @@ def test_lines(spark):
         assert out[i]["text"] == unique(i) and out[i]["removed_chunks"] == 1
 
 
+def test_lines_repeated_runs_go_whole(spark):
+    own = lambda k: [f"{k} own {j} text {k * 7 + j}" for j in range(3)]
+    rows, want = [], {}
+    for n in range(2, 6):
+        for trial in range(10):
+            key = n * 100 + trial
+            run = [" ".join(f"w{key}x{j}y{i}" for i in range(60 // n)) for j in range(n)]
+            if trial == 9:
+                run.insert(1, "")
+            for k in (key * 2, key * 2 + 1):
+                rows.append((k, "\n".join(own(k) + run + own(k + 5000))))
+                want[k] = "\n".join(own(k) + run * (k % 2 == 0) + own(k + 5000))
+    # Two long lines with a blank one between them; copies in one text.
+    big = " ".join(f"b{i}" for i in range(60))
+    block = "\n".join("same words again and again" for _ in range(11))
+    rows += [(1, f"one\n{big} 1\n\n{big} 2\nend one"), (2, f"two\n{big} 1\n\n{big} 2\nend two"), (3, f"three\n{block}\n{block}\nend three")]
+    want |= {1: rows[-3][1], 2: "two\nend two", 3: f"three\n{block}\nend three"}
+    out = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == want
+
+
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
