@@ -1,11 +1,13 @@
 """Hand-computed cases of the shared expressions and operators."""
 
 import datetime
+from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corvane.functions import lexicon, macros
-from corvane.operators import fulltext, graph, text
+from corvane.operators import fulltext, graph, text, vectors
 from corvane.sources import readers, service, sinks
 
 
@@ -88,3 +90,25 @@ def test_stream(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     st.drain(st.stream(spark, str(tmp_path / "in"), rows.schema, "at", key="id"), str(tmp_path / "out"), str(tmp_path / "state"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_neighbours_are_exact_and_whole_at_every_size(spark, monkeypatch):
+    m = np.random.default_rng(5).normal(size=(20_050, 24))
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame(list(enumerate(m.tolist())), "vec_id long, embedding array<double>")
+    want = [1 - np.sort(np.delete(unit @ unit[i], i))[-10:].mean() for i in range(0, len(m), 50)]
+    for size in (64_000_000, 3_000_000):  # one broadcast and several
+        monkeypatch.setattr(vectors, "CHUNK_BYTES", size, raising=False)
+        got = {r["vec_id"]: r["isolation"] for r in vectors.isolation(df).collect()}
+        assert len(got) == len(m) and np.abs(np.array([got[i] for i in range(0, len(m), 50)]) - want).max() < 1e-4
+
+
+def test_neighbours_of_equal_zero_and_null_vectors(spark):
+    df = spark.createDataFrame([(4, [1.0, 0.0]), (1, [2.0, 0.0]), (3, [0.0, 1.0]), (2, [1.0, 0.0]), (5, [0.0, 0.0]), (6, None)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in sorted(vectors.neighbours(df, 4).collect(), key=lambda r: (r["id"], r["distance"] is None, r["distance"], r["other"])):
+        got[r["id"]].append((r["other"], r["distance"]))
+    assert got[1] == [(2, 0.0), (4, 0.0), (3, 1.0), (5, None)]
+    assert got[3] == [(1, 1.0), (2, 1.0), (4, 1.0), (5, None)]
+    assert got[5] == [(1, None), (2, None), (3, None), (4, None)]
+    assert {r["vec_id"]: r["isolation"] for r in vectors.isolation(df, 3).collect()} == {1: 0.3333, 2: 0.3333, 3: 1.0, 4: 0.3333, 5: None, 6: None}
