@@ -495,6 +495,23 @@ def paper_team_metrics(spark, d):
     return graph.team_metrics(p, graph.coauthor_edges(p, STRONG))
 
 
+# The same over every pair of co-authors, as the operators take them by default.
+@query(_EDGES.format(least=1) + " SELECT id, degree FROM dg")
+def coauthor_degree_all(spark, d):
+    return graph.degrees(graph.coauthor_edges(papers(spark, d)))
+
+
+@query(_EDGES.format(least=1) + " SELECT count(*) AS nodes, CAST(sum(degree) / 2 AS BIGINT) AS edges, round(avg(degree), 4) AS avg_degree, max(degree) AS max_degree, round(sum(degree) / CAST(count(*) * (count(*) - 1) AS DOUBLE), 6) AS density FROM dg")
+def network_stats_all(spark, d):
+    return graph.network_stats(graph.coauthor_edges(papers(spark, d)))
+
+
+@query(_EDGES.format(least=1) + " SELECT arxiv_id, count(*) AS team_size, CAST(sum(coalesce(degree, 0)) AS BIGINT) AS team_connections FROM r LEFT JOIN dg ON dg.id = r.au GROUP BY arxiv_id")
+def paper_team_metrics_all(spark, d):
+    p = papers(spark, d)
+    return graph.team_metrics(p, graph.coauthor_edges(p))
+
+
 @query(f"""{P} SELECT primary_category, year, count(*) AS n, round(avg(len(author_list)), 4) AS avg_team, round(avg(CAST(len(author_list) = 1 AS DOUBLE)), 4) AS solo_rate FROM papers WHERE author_list IS NOT NULL GROUP BY ALL""")
 def collab_patterns(spark, d):
     return graph.collaboration(papers(spark, d))

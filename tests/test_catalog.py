@@ -37,3 +37,21 @@ def test_query(spark, con, name):
     assert sorted(names) == cols
     want = sorted((tuple(norm(x[names.index(c)]) for c in cols) for x in r.fetchall()), key=repr)
     assert got == want
+
+
+def test_coauthor_queries_over_every_pair(spark):
+    from collections import defaultdict
+    from itertools import combinations
+
+    teams = {r["arxiv_id"]: set(r["author_list"] or []) for r in catalog.papers(spark, SF).select("arxiv_id", "author_list").collect()}
+    near = defaultdict(set)
+    for team in teams.values():
+        for a, b in combinations(team, 2):
+            near[a].add(b)
+            near[b].add(a)
+    ask = lambda name: catalog.QUERIES[name](spark, SF).collect()
+    assert {r["id"]: r["degree"] for r in ask("coauthor_degree_all")} == {a: len(n) for a, n in near.items()}
+    stats = ask("network_stats_all")[0]
+    assert (stats["nodes"], stats["edges"]) == (len(near), sum(map(len, near.values())) // 2)
+    want = {i: (len(t), sum(len(near[a]) for a in t)) for i, t in teams.items() if t}
+    assert {r["arxiv_id"]: (r["team_size"], r["team_connections"]) for r in ask("paper_team_metrics_all")} == want
