@@ -447,6 +447,54 @@ def doc_keywords(spark, d):
     return text.doc_keywords(docs, stop=["the", "and", "that"], merges={"thth": "the"}).select("arxiv_id", F.array_join("keywords", "|").alias("keywords"))
 
 
+# The same over all documents in every language; no SQL, as DuckDB's word boundary knows ASCII letters only.
+def _documents(spark, d):
+    return read(spark, d, "documents").select(F.col("doc_id").alias("arxiv_id"), "source", F.lower("text").alias("abstract"))
+
+
+@query()
+def keyword_counts_all(spark, d):
+    return text.keyword_counts(_documents(spark, d), "abstract")
+
+
+@query()
+def lexicon_hits_all(spark, d):
+    return text.frequency(_documents(spark, d).select(text.hits(F.col("abstract"), LEX).alias("hits")), "hits")
+
+
+@query()
+def novelty_score_all(spark, d):
+    return _documents(spark, d).select("arxiv_id", text.novelty(F.col("abstract"), list(LEX.values())).alias("novelty"))
+
+
+@query()
+def tfidf_topn_all(spark, d):
+    return text.tfidf(text.tokens(_documents(spark, d), "abstract"), n=5)
+
+
+@query()
+def cooccurrence_all(spark, d):
+    return text.cooccurrence(text.tokens(_documents(spark, d), "abstract"), words=40)
+
+
+@query()
+def corpus_topics_all(spark, d):
+    return text.topics(text.tokens(_documents(spark, d), "abstract"))
+
+
+@query()
+def emerging_terms_all(spark, d):
+    docs = _documents(spark, d)
+    toks = text.tokens(docs, "abstract").join(docs.select(F.col("arxiv_id").alias("id"), F.col("source").alias("period")), "id")
+    return text.emerging(toks)
+
+
+@query()
+def doc_keywords_all(spark, d):
+    docs = _documents(spark, d).withColumn("title", F.element_at(F.split("abstract", "\n"), 1))
+    return text.doc_keywords(docs, stop=["the", "and", "that"], merges={"thth": "the"}).select("arxiv_id", F.array_join("keywords", "|").alias("keywords"))
+
+
 # --- full text --------------------------------------------------------------------------------------------------------
 @query("SELECT doc_id AS arxiv_id, length(text) AS chars, len(string_split(text, chr(10))) AS lines FROM documents")
 def structure_stats(spark, d):
