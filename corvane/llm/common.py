@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of (id or hash, small payload) that one broadcast may hold: about 64 MB as a hashed relation.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that one broadcast may hold as a hashed relation.
+BROADCAST_BYTES = 48_000_000
 #: Rows handed to Python at once; documents can be long, so far below Spark's default of 10,000.
 ARROW_ROWS = 1_000
 #: Bytes handed to Python at once, for the same reason.
@@ -19,11 +20,11 @@ ARROW_BYTES = 16_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a local one only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder every executor sees: spark.checkpoint.dir. Unset, a temporary one, but only if all runs in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -33,16 +34,58 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Write a result to the shared folder and read it back: cuts the lineage, survives lost executors.
 
     Tables stand under one folder per application, ``<shared>/corvane-<application id>``, for the cluster to sweep.
+    The returned DataFrame knows its rows (``rows_of``), counted while they were written, and can be removed (``forget``).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/corvane-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved = (path, seen.get["rows"])
+    return out
+
+
+def rows_of(saved: DataFrame) -> int:
+    """Rows of a saved table."""
+    return saved._saved[1]
+
+
+def forget(saved: DataFrame) -> None:
+    """Remove a saved table that nothing reads any more."""
+    spark = saved.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(saved._saved[0])
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded_broadcast(saved: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only where the written table proves it small; else Spark shuffles and AQE splits skew.
+
+    What is bounded is rows times an estimate of a row's bytes in a hashed relation, arrays counted by the file's size.
+    """
+    spark, (path, rows) = saved.sparkSession, saved._saved
+    if rows * (16 + 16 * len(saved.columns)) > most:
+        return saved
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stored = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return F.broadcast(saved) if 4 * stored <= most + (1 << 24) else saved
+
+
+def text_key(text: Column) -> Column:
+    """16 bytes for a text: rows with equal texts have equal keys, whatever their ids; null stays null."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def row_key(id_: Column, text: Column) -> Column:
+    """16 bytes for an id with its text: tells rows apart that share an id, or have none."""
+    return text_key(F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))))
 
 
-def bounded_broadcast(saved: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only where a count of the saved table proves it small; else Spark shuffles, AQE splits skew."""
-    return F.broadcast(saved) if saved.count() <= rows else saved
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with as many underscores before it as make it differ from all taken ones (case is ignored)."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
 
 
 def small_batches(spark: SparkSession) -> None:

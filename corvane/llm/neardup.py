@@ -2,17 +2,21 @@
 
 A document's set is its distinct five-word shingles. ``HASHES`` minima are taken; ``BANDS`` groups of ``ROWS`` minima
 make the band keys, and the low ``BITS`` bits of all minima are packed as the signature. Texts with equal sets form one
-class, and one document stands for it from then on. Two documents that share a band key are candidates; their
-similarity is estimated from the signatures' equal fields, less the 2**-BITS that agree by chance, and a pair far below
-the threshold (``SLACK``) is left. The rest is confirmed on the full sets of shingles, computed anew from the texts.
-
-Only who is connected matters for the result, so no group's pairs are all made. First every document is compared with
-the first of its bucket, then those still apart with another one; a connected bucket is done. What then still lies in one
-bucket but in different components is compared pair by pair: exact, and little is left. No link that the bands find is lost.
+class, which is one vertex from then on: what is linked are classes, so ids may repeat or be null. Two classes that share
+a band key are candidates; their similarity is estimated from the signatures' equal fields, less the 2**-BITS that agree
+by chance, and a pair far below the threshold (``SLACK``) is left. The rest is confirmed on the full sets of shingles,
+computed anew from the texts.
+
+Only who is connected matters for the result, so no group's pairs are all made. First every class is compared with one
+other: the first of a bucket, namely the one it shares most buckets with. Those still apart are compared with another one;
+a connected bucket is done. What then still lies in one bucket but in different components is compared pair by pair in the
+join's condition: exact, and little is left. No link that the bands find is lost.
 At similarity 0.85, 24 bands of 5 miss a link with probability 1e-6, at 0.8 with 7e-5.
 
 Null text or no words: no shingles, linked with nothing. Fewer than five words: the whole sequence is one shingle.
-Null id: never linked, component null, kept. Repeated rows: each row is returned. Ties: the smallest id. Empty: empty.
+Very long text: worked on alone, whole. Null id: linked like any other; a component's id is its smallest id that is not
+null, or null if it has none. Repeated ids with different texts: each text is linked for itself. Repeated rows: each row is
+returned. Ties: the smallest id. Other columns are never read, whatever their names. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, save, small_batches, tidy
+from .common import bounded_broadcast, free_name, rows_of, save, small_batches, tidy
 from .graph import components
 from .vectext import Words, blocks, mix, shingles
 
@@ -36,7 +40,9 @@ _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
-SIGNATURES = "id long, n_shingles long, set_a long, set_b long, bands array<long>, packed array<long>"
+SIGNATURES = "id long, row long, n_shingles long, set_a long, set_b long, bands array<long>, packed array<long>"
+#: Pairs that meet one text in one task at most, in the confirmation.
+PAIRS_A_TASK = 200
 
 
 def signature_rows(texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -75,16 +81,21 @@ def signature_rows(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 def signatures(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     def compute(frames):
         for f in frames:
-            ids = f["id"].astype("Int64").array
+            ids, row = f["id"].astype("Int64").array, f["row"].to_numpy()
             for first, part in blocks(list(f["text"])):
                 count, a, b, bands, packed = signature_rows(part)
-                out = pd.DataFrame({"id": ids[first : first + len(part)], "n_shingles": count.astype(np.int64), "set_a": a.view(np.int64), "set_b": b.view(np.int64)})
+                out = pd.DataFrame({"id": ids[first : first + len(part)], "row": row[first : first + len(part)], "n_shingles": count.astype(np.int64), "set_a": a.view(np.int64), "set_b": b.view(np.int64)})
                 out["bands"] = list(bands.view(np.int64))
                 out["packed"] = list(packed.view(np.int64))
                 yield out
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).mapInPandas(tidy(compute), SIGNATURES)
+    return _rows(docs, id_column, text).mapInPandas(tidy(compute), SIGNATURES)
+
+
+def _rows(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """id, text, and row: 64 bits of the text, by which the confirmation finds it again."""
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("row"), "text")
 
 
 def estimate(x: Column, y: Column) -> Column:
@@ -103,93 +114,137 @@ def estimate(x: Column, y: Column) -> Column:
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b) those with den * |intersection| >= num * |union| on the full sets of their texts."""
+    """Of pairs (a, b) with the texts' numbers (ra, rb) those with den * |intersection| >= num * |union| on full sets.
+
+    A text that many pairs share is sent to several tasks, ``PAIRS_A_TASK`` pairs to each, and cut into shingles once there.
+    """
+
+    def sets(texts: list) -> list[np.ndarray]:
+        out = []
+        for _, part in blocks(texts):
+            s, doc = shingles(Words(part), SHINGLE)
+            edge = np.searchsorted(doc, np.arange(len(part) + 1))
+            out += [np.unique(s[edge[d] : edge[d + 1]]) for d in range(len(part))]
+        return out
 
     def confirm(frames):
+        known, y = None, np.zeros(0, np.uint64)
         for f in frames:
             keep = np.zeros(len(f), bool)
-            both = [t for pair in zip(f["ta"], f["tb"], strict=True) for t in pair]
-            for first, part in blocks(both):
-                s, doc = shingles(Words(part), SHINGLE)
-                edge = np.searchsorted(doc, np.arange(len(part) + 1))
-                for d in range(len(part)):
-                    y = np.unique(s[edge[d] : edge[d + 1]])
-                    i, second = divmod(first + d, 2)
-                    if second:
-                        same = len(np.intersect1d(x, y, assume_unique=True))
-                        keep[i] = same > 0 and den * same >= num * (len(x) + len(y) - same)
-                    x = y
+            hubs, xs = f["rb"].to_numpy(), sets(list(f["ta"]))
+            for i, x in enumerate(xs):
+                if hubs[i] != known:
+                    known, (y,) = hubs[i], sets([f["tb"].iloc[i]])
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = same > 0 and den * same >= num * (len(x) + len(y) - same)
             yield f.loc[keep, ["a", "b"]]
 
-    wanted = save(pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct(), "wanted")
-    texts = texts.join(bounded_broadcast(wanted), "id", "left_semi").dropDuplicates(["id"])
-    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return joined.select("a", "b", "ta", "tb").mapInPandas(tidy(confirm), "a long, b long")
+    hubs = pairs.groupBy(F.col("rb").alias("row")).agg(F.count(F.lit(1)).alias("n"))
+    wanted = save(pairs.select(F.col("ra").alias("row"), F.lit(0).alias("n")).unionByName(hubs).groupBy("row").agg(F.ceil(F.max("n") / PAIRS_A_TASK).cast("int").alias("parts")), "wanted")
+    texts = texts.join(bounded_broadcast(wanted), "row").groupBy("row").agg(F.max("parts").alias("parts"), F.first("text").alias("text"))
+    texts = save(texts, "texts")
+    left = texts.select(F.col("row").alias("ra"), F.col("text").alias("ta"))
+    right = texts.where("parts > 0").select(F.col("row").alias("rb"), "parts", F.col("text").alias("tb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    parts = wanted.where("parts > 0").select(F.col("row").alias("rb"), "parts")
+    dealt = pairs.join(parts, "rb").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
+    joined = dealt.join(left, "ra").join(right.drop("parts"), ["rb", "part"])
+    return joined.select("a", "b", "rb", "ta", "tb").mapInPandas(tidy(confirm), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", num: int = 80, den: int = 100) -> DataFrame:
     """id, n_shingles, component_id, kept, n_links of every row; linked are sets with den * both >= num * either.
 
-    n_links: confirmed links of the document's class that joined components (not all links of a group are made).
+    kept: the row has its component's id (rows of a component without an id are all kept). n_links: confirmed links of
+    the document's class that joined components (not all links of a group are made).
+    """
+    sigs, known = linked(docs, id_column, text, num, den)
+    out = sigs.select("id", "n_shingles", "set_a", "set_b").join(bounded_broadcast(known), (F.col("set_a") == F.col("ka")) & (F.col("set_b") == F.col("kb")) & (F.col("n_shingles") > 0), "left")
+    component = F.when(F.col("ka").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias(id_column), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def linked(docs: DataFrame, id_column: str, text: str, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Saved tables: the rows' signatures, and of each class of several rows or with links (ka, kb) its component.
+
+    component: 64 bits that its classes share; component_id: its smallest id; first_id and first_row: the row to keep, the
+    one with the smallest id, then the smallest number of its text.
     """
     spark = docs.sparkSession
     sigs = save(signatures(docs, id_column, text), "signatures")
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
-    linkable = sigs.where("n_shingles > 0 and id is not null")
-    classes = save(linkable.groupBy("set_a", "set_b").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
-    # One document for each set: its signature again, by set and id; a hot set has one row on the other side.
-    heads = linkable.join(classes.select("set_a", "set_b", "id"), ["set_a", "set_b", "id"], "left_semi").dropDuplicates(["id"]).select("id", "bands", "packed")
-    heads = save(heads, "heads")
-    banded = heads.select("id", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).where("n > 1").select("key", "lead")
+    texts = _rows(docs, id_column, text).select("row", "text")
+    linkable = sigs.where("n_shingles > 0")
+    # v, the vertex, is half of a class's hash: among vertices with links, two alike are not to be expected.
+    lead = F.struct(F.col("id").isNull().alias("z"), "id", "row")
+    classes = save(linkable.groupBy("set_a", "set_b").agg(F.min(lead).alias("lead"), F.min("row").alias("row"), F.count(F.lit(1)).alias("copies")).withColumn("v", F.col("set_a")), "classes")
+    heads = save(linkable.select(F.col("set_a").alias("v"), "set_b", "bands", "packed").dropDuplicates(["v", "set_b"]).drop("set_b"), "heads")
+    row = classes.select("v", "row")
+    banded = heads.select("v", F.explode("bands").alias("key"))
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lead")).where("n > 1").select("key", "lead")
     buckets = save(banded.join(shared, "key"), "buckets")
-    packed = heads.select("id", "packed")
+    packed = heads.select("v", "packed")
     floor = num / den - SLACK
 
     def likely(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) whose estimate is near the threshold or above it."""
-        p = pairs.distinct().join(packed.select(F.col("id").alias("a"), F.col("packed").alias("pa")), "a").join(packed.select(F.col("id").alias("b"), F.col("packed").alias("pb")), "b")
-        return p.select("a", "b", estimate(F.col("pa"), F.col("pb")).alias("e")).where(F.col("e") >= floor)
+        """One pair for each a at most: with the b of most buckets in common, if the estimate is near the threshold or above."""
+        best = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("a").agg(F.max_by("b", F.struct("n", -F.xxhash64("a", "b"))).alias("b"))
+        p = best.join(packed.select(F.col("v").alias("a"), F.col("packed").alias("pa")), "a").join(packed.select(F.col("v").alias("b"), F.col("packed").alias("pb")), "b")
+        return p.where(estimate(F.col("pa"), F.col("pb")) >= floor).select("a", "b")
 
-    links = tested = labels = None
+    links = tested = spark.createDataFrame([], "a long, b long")
+    labels = spark.createDataFrame([], "id long, component long")
     for turn in ("first", "other", "rest"):
         if turn == "first":
-            pairs = buckets.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b"))
+            pairs = likely(buckets.where("v <> lead").select(F.col("v").alias("a"), F.col("lead").alias("b")))
         else:
             part = labels.withColumnRenamed("id", "lid")
-            placed = buckets.join(part, F.col("id") == F.col("lid"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-            split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id", "component")).alias("lead")).where("lo <> hi").select("key", "lead")
+            placed = buckets.join(part, F.col("v") == F.col("lid"), "left").select("key", "v", F.coalesce("component", "v").alias("component"))
+            split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("v", "key").alias("h"), "v", "component")).alias("lead")).where("lo <> hi").select("key", "lead")
             placed = save(placed.join(split, "key"), "split")
             if turn == "other":
-                pairs = placed.where("component <> lead.component").select(F.col("id").alias("a"), F.col("lead.id").alias("b"))
+                pairs = likely(placed.where("component <> lead.component").select(F.col("v").alias("a"), F.col("lead.v").alias("b")))
             else:
                 # The estimate stands in the join's condition: pairs that it rules out are never made into rows.
                 # So does the first key they share: each pair is made once.
-                placed = placed.join(heads, "id")
-                x = placed.select(F.col("key").alias("kx"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("packed").alias("pa"), F.col("bands").alias("ba"))
-                y = placed.select(F.col("key").alias("ky"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("packed").alias("pb"), F.col("bands").alias("bb"))
+                placed = placed.join(heads, "v")
+                x = placed.select(F.col("key").alias("kx"), F.col("v").alias("a"), F.col("component").alias("ca"), F.col("packed").alias("pa"), F.col("bands").alias("ba"))
+                y = placed.select(F.col("key").alias("ky"), F.col("v").alias("b"), F.col("component").alias("cb"), F.col("packed").alias("pb"), F.col("bands").alias("bb"))
                 once = F.coalesce(*[F.when(F.col("ba")[i] == F.col("bb")[i], F.col("ba")[i]) for i in range(BANDS)]) == F.col("kx")
                 pairs = x.join(y, (F.col("kx") == F.col("ky")) & (F.col("ca") < F.col("cb")) & (estimate(F.col("pa"), F.col("pb")) >= floor) & once).select("a", "b")
-            pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        if turn != "rest":  # the likeliest for each document; the others may be connected by then
-            pairs = likely(pairs).groupBy("a").agg(F.max_by("b", F.struct("e", -F.col("b"))).alias("b"))
-        else:
-            pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        if turn != "first":
+            pairs = pairs.join(tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+        pairs = pairs.join(row.select(F.col("v").alias("a"), F.col("row").alias("ra")), "a").join(row.select(F.col("v").alias("b"), F.col("row").alias("rb")), "b")
         pairs = save(pairs, "pairs")
-        if not pairs.isEmpty():
+        if rows_of(pairs):
+            tested = tested.unionByName(pairs.select("a", "b"))
             found = save(_similar(pairs, texts, num, den), "links")
-            links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if links is None:
-            links = spark.createDataFrame([], "a long, b long")
-        labels = save(components(links), "components") if turn != "other" or not pairs.isEmpty() else labels
+            if rows_of(found):
+                links = links.unionByName(found)
+                labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    # The class's component; only classes of several rows or with links need the join.
-    known = classes.join(labels, "id", "left").join(degree, "id", "left").where("copies > 1 or component is not null")
-    known = known.select(F.col("set_a").alias("ka"), F.col("set_b").alias("kb"), F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    known = bounded_broadcast(save(known, "known"))
-    out = sigs.select("id", "n_shingles", "set_a", "set_b").join(known, (F.col("set_a") == F.col("ka")) & (F.col("set_b") == F.col("kb")) & (F.col("n_shingles") > 0) & F.col("id").isNotNull(), "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_column), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # The component of each class; only classes of several rows or with links need the join.
+    placed = classes.join(labels.withColumnRenamed("id", "v"), "v", "left").where("copies > 1 or component is not null")
+    placed = save(placed.select("v", F.col("set_a").alias("ka"), F.col("set_b").alias("kb"), "lead", F.coalesce("component", "v").alias("component")), "placed")
+    first = placed.groupBy("component").agg(F.min("lead").alias("first"))
+    known = placed.drop("lead").join(first, "component").join(degree.withColumnRenamed("id", "v"), "v", "left")
+    return sigs, save(known.select("ka", "kb", "component", F.col("first.id").alias("component_id"), F.col("first.row").alias("first_row"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "known")
+
+
+def thinned(docs: DataFrame, id_column: str = "doc_id", text: str = "text", num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs, all columns, without near-duplicates: of each group one row stays, of repeated rows as well.
+
+    Rows without a word are linked with nothing and stay. A row is known by its id with its text.
+    """
+    sigs, known = linked(docs, id_column, text, num, den)
+    hit = sigs.join(bounded_broadcast(known), (F.col("set_a") == F.col("ka")) & (F.col("set_b") == F.col("kb")) & (F.col("n_shingles") > 0))
+    stays = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("row") == F.col("first_row"))
+    # Rows of groups: gone, or repeated so often that one of them must be picked.
+    found = hit.groupBy("id", "row").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("n"))
+    number, id_, row_ = (free_name(c, docs.columns) for c in ("__number", "__id", "__row"))
+    found = save(found.where("not stays or n > 1").select(F.col("id").alias(id_), F.col("row").alias(row_), "stays"), "near-duplicates")
+    rows = docs.withColumn(number, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    same = F.col(id_column).cast("long").eqNullSafe(F.col(id_)) & (F.col(number) == F.col(row_))
+    rest = rows.join(bounded_broadcast(found), same, "left_anti").select(*docs.columns)
+    again = save(found.where("stays").drop("stays"), "repeated")
+    if not rows_of(again):
+        return rest
+    return rest.unionByName(rows.join(bounded_broadcast(again), same, "left_semi").dropDuplicates([id_column, number]).select(*docs.columns))
