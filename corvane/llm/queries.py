@@ -51,14 +51,13 @@ def op6_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     record lost where id % 193 = 7. Its records stand at the offsets of the manifest, which the originals give.
     """
     pages = table(spark, sf_dir, "pages")
-    first = save(warc.with_offsets(warc.records(pages)), "manifest")
-    hurt = pages.where("page_id is null or page_id % 193 <> 7")
-    hurt = hurt.withColumn("html", F.when(F.col("page_id") % 97 == 13, F.concat(F.coalesce("html", F.lit("")).substr(F.lit(1), F.greatest(F.length("html") - 1, F.lit(0))), F.lit("\x00"))).otherwise(F.col("html")))
-    read = warc.records(hurt).select(F.col("id").alias("rid"), F.col("digest").alias("now"))
-    second = first.join(read, F.col("id").eqNullSafe(F.col("rid"))).select("archive", "id", "offset", "length", F.col("now").alias("digest"))
-    found = warc.audit(first, save(second, "replica"))
-    status = found.select(F.col("id").alias("fid"), F.col("offset").alias("foffset"), "status", F.col("replica_digest").alias("now"), F.lit(True).alias("found"))
-    out = first.join(status, F.col("id").eqNullSafe(F.col("fid")) & (F.col("offset") == F.col("foffset")), "left")
+    html = F.coalesce("html", F.lit(""))
+    hurt = F.when(F.col("page_id") % 97 == 13, F.concat(html.substr(F.lit(1), F.greatest(F.length(html) - 1, F.lit(0))), F.lit("\x00"))).otherwise(F.col("html"))
+    both = save(warc.with_offsets(warc.records(pages, also={"now": hurt})), "manifest")
+    second = both.where("id is null or id % 193 <> 7").select("archive", "id", "offset", "length", F.col("now").alias("digest"))
+    found = warc.audit(both.drop("now"), second)
+    status = found.select(F.col("archive").alias("farchive"), F.col("offset").alias("foffset"), "status", F.col("replica_digest").alias("now"), F.lit(True).alias("found"))
+    out = both.drop("now").join(status, F.col("archive").eqNullSafe(F.col("farchive")) & (F.col("offset") == F.col("foffset")), "left")
     replica = F.when(F.col("found"), F.col("now")).otherwise(F.col("digest"))
     return out.select(F.col("id").alias("page_id"), "archive", "offset", "length", "digest", replica.alias("replica_digest"), F.coalesce("status", F.lit("ok")).alias("status"))
 
