@@ -7,8 +7,10 @@ an unbounded-knapsack dynamic program finds the pattern worth most at these pric
 more than a sequence. Patterns are used as often as the rounded-down solution says; the few pieces that remain are
 packed best fit. Documents, ranked inside their length class, then take the places that the patterns open, by range.
 
-Nulls: a null text is empty, its ids are the end id alone. Empty table: empty result. Repeated rows: each row is packed;
-rows with the same or a null doc_id are told apart by a row number. Ties in length are ranked by doc_id.
+Nulls: a null text is empty, its ids are the end id alone. Empty table: empty result. Repeated rows: each row is packed,
+rows with the same or a null doc_id too. Very long text: encoded alone, whole, and cut into as many pieces as it takes.
+Ties in length are ranked by doc_id, then place and ids; what ties then is alike. Other columns: never read, whatever their
+names. The string of a special token in a text gives that token's id, as the tokenizer does by default.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ from .common import save, small_batches, tidy
 #: Words whose ids a task keeps (about 200 bytes each); the cache starts anew when it is full, so it is bounded.
 CACHE_WORDS = 500_000
 
+#: Pieces that one task ranks at a time: at least so many; and so many runs of them at most, beside one for each class.
+LEAST_RUN, MOST_RUNS = 250, 50_000
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 _encoders: dict = {}
@@ -59,12 +64,14 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # A special token that holds white space could lie across runs: then texts are encoded as they are.
+        self.by_runs = not any(re.search(r"\s", t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.model, self.letters, self.tails = self.tokenizer.model, _byte_letters(), {"": []}
         self.short = False
         self.tails |= {c: self._whole(c) for c in ".,"}
-        self.short = all(self._short(w) in (None, self._whole(w)) for w in _PROBE)
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.short = not any(map(str.isalpha, special)) and all(self._short(w) in (None, self._whole(w)) for w in _PROBE)
 
     def _whole(self, run: str) -> list[int]:
         return self.tokenizer.encode(run, add_special_tokens=False).ids
@@ -84,7 +91,7 @@ class WordEncoder(dict):
     def encode(self, text: str) -> np.ndarray:
         if len(self) > CACHE_WORDS:
             self.clear()
-        if _ODD.search(text):
+        if not self.by_runs or _ODD.search(text):
             return np.array(self._whole(text), "<u4")
         return np.frombuffer(b"".join(map(self.__getitem__, text.split())), self.kind).astype("<u4")
 
@@ -265,9 +272,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     lengths = np.array([r["length"] for r in histogram], dtype=np.int64)
     counts = np.array([r["count"] for r in histogram], dtype=np.int64)
     places = plan(lengths, counts, capacity, grain)
-    # Ranks in a class without one task for it: a class is dealt over salts, whose counts give where each salt begins.
-    salts = max(1, -(-rows // 20_000))
-    classed = classed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
+    # Ranks in a class without one task for it: a class is dealt over salts, by its own count; theirs give where each begins.
+    held: dict[int, int] = {}
+    for length, n in zip(lengths.tolist(), counts.tolist(), strict=True):
+        held[-(-length // grain)] = held.get(-(-length // grain), 0) + n
+    run = max(LEAST_RUN, rows // MOST_RUNS)
+    salts = F.create_map(*[F.lit(x).cast("long") for k, n in held.items() for x in (k, -(-n // run))]) if held else F.create_map(F.lit(0).cast("long"), F.lit(1).cast("long"))
+    classed = classed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), salts[F.col("class")]))
     begins = classed.groupBy("class", "salt").agg(F.count("*").alias("n"))
     begins = begins.withColumn("begin", F.sum("n").over(W.partitionBy("class").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)))
     local = F.row_number().over(W.partitionBy("class", "salt").orderBy("doc_id", "start", "ids_crc32"))
