@@ -5,8 +5,11 @@ for each track the codec, timescale, duration, sample count, and the byte ranges
 stts, stsz or stz2, stsc, stco or co64, and stss (without stss every sample is a key frame). ``mux`` writes a payload
 losslessly as 8-bit samples of one track, 64 samples to an access unit.
 
-Null content: no tracks. Truncated or foreign bytes: the boxes that are whole count, the rest is ignored; a track with
-inconsistent tables has no ranges. Empty table: empty result. Equal contents give equal results.
+Null or empty content: no tracks. Truncated, foreign or hostile bytes: the boxes that are whole count, down to ``DEEPEST``
+nested ones, the rest is ignored; a track with inconsistent tables, or with a sample outside the file, has no ranges, and
+nothing raises. No table makes the reader hold more than a few numbers for each byte of the file. Very long contents: read
+alone. Empty table: empty result. Repeated rows: one result each; equal contents give equal results. Ties do not arise.
+Other columns of ``index_media`` pass through as asked for; one named tracks is replaced. ``digest`` reads doc_id and text.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from .common import small_batches, tidy
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"edts": 0, b"dinf": 0, b"udta": 0, b"mvex": 0, b"moof": 0, b"traf": 0}
 UNIT = 64
 RATE = 8000
+#: Boxes within boxes that are walked; the standard nests six.
+DEEPEST = 32
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -79,24 +84,27 @@ def mux(payload: bytes, unit: int = UNIT, rate: int = RATE, key_every: int = 16)
     return ftyp + moov(at) + box(b"mdat", payload)
 
 
-def walk(data: memoryview, lo: int = 0, hi: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+def walk(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
     """Every box, outer before inner: its path of types, and where its body begins and ends."""
-    hi = len(data) if hi is None else hi
-    while lo + 8 <= hi:
+    open_: list[tuple[tuple[bytes, ...], int, int]] = [((), 0, len(data))]
+    while open_:
+        path, lo, hi = open_.pop()
+        if lo + 8 > hi:
+            continue
         size, kind = struct.unpack_from(">I4s", data, lo)
         head = 8
         if size == 1:
             if lo + 16 > hi:
-                return
+                continue
             size, head = struct.unpack_from(">Q", data, lo + 8)[0], 16
         elif size == 0:
             size = hi - lo
         if size < head or lo + size > hi:
-            return
+            continue
+        open_.append((path, lo + size, hi))
         yield (*path, kind), lo + head, lo + size
-        if kind in CONTAINERS:
-            yield from walk(data, lo + head + CONTAINERS[kind], lo + size, (*path, kind))
-        lo += size
+        if kind in CONTAINERS and len(path) < DEEPEST:
+            open_.append(((*path, kind), lo + head + CONTAINERS[kind], lo + size))
 
 
 def _ints(data: memoryview, lo: int, hi: int, kind: str, n: int) -> np.ndarray:
@@ -122,7 +130,8 @@ def _track(data: memoryview, boxes: dict[bytes, tuple[int, int]]) -> dict:
             out["codec"] = bytes(data[lo + 12 : lo + 16]).decode("latin-1")
     if not out["duration"] and b"stts" in boxes:
         t = _table(data, *boxes[b"stts"], 2)
-        out["duration"] = int((t[:, 0] * t[:, 1]).sum())
+        out["duration"] = sum(n * d for n, d in t.tolist())
+    out["duration"] = min(out["duration"], (1 << 63) - 1)
     size = np.zeros(0, np.int64)
     if b"stsz" in boxes:
         lo, hi = boxes[b"stsz"]
@@ -146,12 +155,16 @@ def _track(data: memoryview, boxes: dict[bytes, tuple[int, int]]) -> dict:
     if not len(chunk) or not len(runs) or runs[0, 0] != 1:
         return out
     run = np.searchsorted(runs[:, 0], np.arange(1, len(chunk) + 1), side="right") - 1
-    of = np.repeat(np.arange(len(chunk)), np.minimum(runs[run, 1], len(size)))[: len(size)]
+    # Past the last sample chunks are empty: what is made has as many places as there are samples, whatever the table says.
+    upto = np.minimum(np.cumsum(np.minimum(runs[run, 1], len(size)).astype(float)), len(size)).astype(np.int64)
+    of = np.repeat(np.arange(len(chunk)), np.diff(upto, prepend=0))
     if len(of) < len(size):
         return out
     before = np.concatenate(([0], np.cumsum(size)))[:-1]
     first = np.searchsorted(of, np.arange(len(chunk)))
     at = chunk[of] + before - before[np.minimum(first, len(size) - 1)][of]
+    if ((at < 0) | (size > len(data) - at)).any():
+        return out
     key = np.arange(len(size))
     if b"stss" in boxes:
         key = _table(data, *boxes[b"stss"], 1)[:, 0] - 1
@@ -172,7 +185,7 @@ def tracks(content: bytes | None) -> list[dict]:
     for boxes in found:
         try:
             out.append(_track(data, boxes))
-        except (struct.error, ValueError):  # a table cut short: what is known of the track is not kept
+        except (struct.error, ValueError, IndexError, OverflowError):  # a table cut short: what is known of the track is not kept
             out.append(_track(data, {}))
     return out
 
