@@ -95,7 +95,8 @@ def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     of = F.expr(r"try_cast(regexp_extract(url, '://[^/?#]*/[^?#]*?([0-9]+)[^0-9?#]*(?:[?#].*)?$', 1) as bigint)")
     pages = pages.select(urls.host_of(F.col("url")).alias("host"), of.alias("doc_id")).where("doc_id is not null")
-    bad = labels.select("doc_id", F.when((F.col("quality") == 0) | (F.coalesce("toxic", F.lit(0)) == 1), 1).otherwise(0).alias("bad")).where("quality is not null")
+    bad = labels.where("quality is not null").select("doc_id", F.when((F.col("quality") == 0) | (F.coalesce("toxic", F.lit(0)) == 1), 1).otherwise(0).alias("bad"))
+    bad = bad.groupBy("doc_id").agg(F.max("bad").alias("bad"))
     return pages.join(bad, "doc_id").select("host", "bad")
 
 

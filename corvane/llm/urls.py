@@ -5,8 +5,13 @@ follows from how far the rates below spread beyond what counting alone explains
 if the lower bound of its posterior rate of bad outcomes exceeds ``limit``; a host without outcomes has its domain's prior.
 Rules (allow or block, host and path) go before the method; the longest that fits wins.
 
-Null url or no ``://``: host and path empty, judged by the overall prior. Outcomes without a host are left out.
-Empty tables: empty result; without outcomes nothing is blocked but by rule. Repeated rows each count.
+The registered domain is the suffix and one label more; suffixes of several labels come as a parameter (``SUFFIXES`` has a
+few, the public list can be given). User names and ports do not count, addresses of numbers are domains of their own.
+
+Null url or no ``://``: host and path empty, judged by the overall prior. Very long urls: read whole. Outcomes without a host
+are left out. Empty tables: empty result; without outcomes nothing is blocked but by rule. Repeated rows each count; repeated
+or null ids do no harm. Of rules that fit and are equally long, the last by name wins. Columns asked for pass through, but for
+those named like the output's.
 """
 
 from __future__ import annotations
@@ -23,6 +28,9 @@ LIMIT, Z = 0.5, 1.645
 #: Bounds of a prior's strength, in outcomes.
 WEAKEST, STRONGEST = 1.0, 1000.0
 
+#: Suffixes of two labels under which domains are registered, beside all of one label; the caller may give more.
+SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "co.nz", "co.za", "com.br", "com.cn", "com.mx", "com.tr", "co.in", "co.kr")
+
 _AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -34,13 +42,31 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain, taken as the last two labels."""
-    return F.substring_index(host, ".", -2)
+def bare(host: Column) -> Column:
+    """A host without user name and port."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
+
+
+def suffix_of(host: Column, suffixes=SUFFIXES) -> Column:
+    """The longest of the given suffixes that the host ends in, with its label before it; else the last label."""
+    name, out = bare(host), F.substring_index(bare(host), ".", -1)
+    for n in sorted({s.count(".") + 1 for s in suffixes}):
+        last = F.substring_index(name, ".", -n)
+        out = F.when(last.isin([s for s in suffixes if s.count(".") + 1 == n]), last).otherwise(out)
+    return F.when(_numbers(name), F.lit("")).otherwise(out)
+
+
+def domain_of(host: Column, suffixes=SUFFIXES) -> Column:
+    """The registered domain: the suffix and the label before it; an address of numbers is its own."""
+    name, suffix = bare(host), suffix_of(host, suffixes)
+    out = F.substring_index(name, ".", -2)
+    for n in sorted({s.count(".") + 1 for s in suffixes}):
+        out = F.when(suffix == F.substring_index(name, ".", -n), F.substring_index(name, ".", -n - 1)).otherwise(out) if n > 1 else out
+    return F.when(_numbers(name), name).otherwise(out)
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def _numbers(name: Column) -> Column:
+    return name.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$") | name.startswith("[")
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -63,15 +89,15 @@ def _strength(n: Column, bad: Column, mean: Column) -> Column:
     return F.when((beyond <= 0) | (unit <= 0), F.lit(STRONGEST)).otherwise(F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), unit / beyond - 1)))
 
 
-def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def reputation(outcomes: DataFrame, suffixes=SUFFIXES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """From (host, bad 0 or 1): tables of host, domain, suffix and overall priors.
 
     host: (host, n, bad, a, b) posterior; domain, suffix: (key, mean, strength) prior for what is below; overall: one row.
     """
     rows = outcomes.where("host <> '' and bad is not null")
     host = save(rows.groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("bad").cast("double").alias("bad")), "hosts")
-    host = host.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
-    domain = host.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    host = host.withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes))
+    domain = save(host.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
     suffix = domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     overall = suffix.agg((F.sum("bad") / F.sum("n")).alias("mean"))
     of_all = suffix.crossJoin(F.broadcast(overall)).groupBy("mean").agg(_strength(F.col("n"), F.col("bad"), F.col("mean")).alias("strength"))  # one row beside each suffix
@@ -83,21 +109,22 @@ def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Da
         spread = parts.join(mean.select(own, "mean"), own).groupBy(own, "mean").agg(_strength(F.col("n"), F.col("bad"), F.col("mean")).alias("strength"))
         return spread.join(groups.select(own, *({"suffix"} - {own})), own)
 
-    of_suffix = below(suffix, of_all, "suffix", domain)
-    of_domain = below(domain, of_suffix, "domain", host)
+    of_all = save(of_all, "overall")
+    of_suffix = save(below(suffix, of_all, "suffix", domain), "suffix-priors")
+    of_domain = save(below(domain, of_suffix, "domain", host), "domain-priors")
     host = host.join(of_domain.select("domain", "mean", "strength"), "domain")
     host = host.select("host", "n", "bad", (F.col("bad") + F.col("strength") * F.col("mean")).alias("a"), (F.col("n") - F.col("bad") + F.col("strength") * (1 - F.col("mean"))).alias("b"))
     return host, of_domain.select("domain", "mean", "strength"), of_suffix.select("suffix", "mean", "strength"), of_all
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, url: str = "url", keep: list[str] | None = None, rules=RULES, limit: float = LIMIT, z: float = Z) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, url: str = "url", keep: list[str] | None = None, rules=RULES, limit: float = LIMIT, z: float = Z, suffixes=SUFFIXES) -> DataFrame:
     """Columns ``keep`` with host, path, rule, verdict, and the posterior's mean and lower bound."""
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "bad_rate", "bad_bound")] if keep is None else keep
-    host, domain, suffix, overall = reputation(outcomes)
+    keep = [c for c in (pages.columns if keep is None else keep) if c.lower() not in ("host", "path", "rule", "verdict", "bad_rate", "bad_bound")]
+    host, domain, suffix, overall = reputation(outcomes, suffixes)
     # Every host of the pages gets its posterior once, from the nearest level that has outcomes.
     rows = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     seen = pages.select(host_of(F.col(url)).alias("host")).distinct()
-    seen = seen.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    seen = seen.withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes))
     beta = lambda t, k, p: t.select(k, (F.col("mean") * F.col("strength")).alias(f"a{p}"), ((1 - F.col("mean")) * F.col("strength")).alias(f"b{p}"))
     seen = seen.join(host.select("host", F.col("a").alias("ah"), F.col("b").alias("bh")), "host", "left").join(beta(domain, "domain", "d"), "domain", "left").join(beta(suffix, "suffix", "s"), "suffix", "left")
     seen = seen.crossJoin(F.broadcast(overall.agg(F.first("mean").alias("m"), F.first("strength").alias("k"))))  # one row
