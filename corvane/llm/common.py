@@ -16,7 +16,7 @@ BROADCAST_BYTES = 48_000_000
 #: Rows handed to Python at once; documents can be long, so far below Spark's default of 10,000.
 ARROW_ROWS = 1_000
 #: Bytes handed to Python at once, for the same reason.
-ARROW_BYTES = 16_000_000
+ARROW_BYTES = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -32,7 +32,7 @@ SAMPLE_DOCS = 3_000
 UNKNOWN = "und"
 #: Languages to a word of bits.
 WORD = 64
-_CHARS = 1_000_000
+_CHARS = 200_000
 
 _letters: list[np.ndarray] = []
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text that are worked on at once; about 25 times as much memory is used meanwhile. One longer text goes alone.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 500_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
