@@ -357,6 +357,35 @@ VENUE_MENTIONS = [
     r"to\s+appear\s+(?:at|in)\s+([A-Z][A-Za-z0-9\s\-\']+(?:\s+\d{4})?)",
     r"published\s+(?:at|in)\s+([A-Z][A-Za-z0-9\s\-\']+(?:\s+\d{4})?)",
 ]
+ALGORITHM_MENTIONS = [
+    r"Algorithm\s+\d+",
+    r"(?:we\s+use|using|employ)\s+(?:the\s+)?([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*)\s+algorithm",
+    r"(?:SGD|Adam|AdamW|RMSprop|Momentum)",
+]
+
+HYPERPARAMETERS = [
+    r"learning\s+rate\s+(?:of\s+)?([0-9.e\-]+)",
+    r"batch\s+size\s+(?:of\s+)?(\d+)",
+    r"(?:trained\s+for\s+)?(\d+)\s+epochs?",
+    r"dropout\s+(?:rate\s+)?(?:of\s+)?([0-9.]+)",
+    r"weight\s+decay\s+(?:of\s+)?([0-9.e\-]+)",
+    r"hidden\s+(?:dimension|size)\s+(?:of\s+)?(\d+)",
+    r"(\d+)\s+(?:attention\s+)?heads?",
+    r"(\d+)\s+(?:transformer\s+)?layers?",
+]
+
+MODEL_COMPONENTS = r"(?:encoder|decoder|attention|transformer|embedding|layer|module|block|head)"
+
+TRAINING_MENTIONS = [
+    r"(?:trained|fine-tuned?)\s+(?:on|using|with)\s+([^.]+)",
+    r"(?:GPU|TPU)s?\s+(?:with\s+)?(\d+\s*GB)?",
+    r"training\s+(?:took|required)\s+([^.]+)",
+]
+
+OPPORTUNITY_LABELS = [
+    "Hot topic needs survey", "Growing area needs implementations", "Rapidly emerging field",
+    "Niche with high impact potential", "Established area",
+]
 # End of the fixed values.
 
 

@@ -11,6 +11,22 @@ def c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder; a folder of its own only where the session has none and all runs in one process."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found:
+            import re
+            import tempfile
+
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            found = tempfile.mkdtemp(prefix="corvane-")
+        sc.setCheckpointDir(found)
+    return df.checkpoint()
+
+
 def explode_pairs(df: DataFrame, array: str, a: str = "a", b: str = "b", keep: tuple[str, ...] = ()) -> DataFrame:
     """Unordered pairs of distinct elements of a row's array, a < b, made inside the row before any shuffle."""
     own = df.select(*keep, F.array_sort(F.array_distinct(F.filter(array, lambda x: x.isNotNull()))).alias("__arr"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.macros import h_index, ordinal, slope, top, top_per
+from ..functions.macros import explode_pairs, h_index, ordinal, slope, top, top_per
 
 
 def authorships(papers: DataFrame, array: str = "author_list") -> DataFrame:
@@ -132,3 +132,50 @@ def cumulative_coauthors(papers: DataFrame) -> DataFrame:
     first = coauthors(papers).groupBy("author", "other").agg(F.min("year").alias("year"))
     per = first.groupBy("author", "year").agg(F.count(F.lit(1)).alias("truly_new"))
     return per.withColumn("cumulative", F.sum("truly_new").over(W.partitionBy("author").orderBy("year").rowsBetween(W.unboundedPreceding, 0)))
+
+
+def citation_growth(papers: DataFrame, last: int = 3, up: float = 1.2, down: float = 0.8) -> DataFrame:
+    """Mean citations a year over an author's last active years against all of them."""
+    x = ordinal(timeline(papers), ["author"], "year")
+    out = x.groupBy("author").agg(F.count(F.lit(1)).alias("years"), F.sum("citations").alias("citations"), F.avg("citations").alias("overall"), F.avg(F.when(F.col("x") >= F.col("n") - last, F.col("citations"))).alias("recent"))
+    label = F.when(F.col("recent") > up * F.col("overall"), "accelerating").when(F.col("recent") < down * F.col("overall"), "decelerating").otherwise("steady")
+    return out.select("author", "years", "citations", F.round("overall", 4).alias("overall"), F.round("recent", 4).alias("recent"), label.alias("trend"))
+
+
+def collaboration_patterns(papers: DataFrame) -> DataFrame:
+    """Papers, solo share, distinct co-authors and co-authorships a paper of each author; in joint papers the author counts, too."""
+    rows = papers.select("arxiv_id", F.array_distinct("author_list").alias("arr")).select("arxiv_id", "arr", F.explode("arr").alias("author"))
+    own = rows.groupBy("author").agg(F.count(F.lit(1)).alias("papers"), F.count_if(F.size("arr") <= 1).alias("solo"), F.sum(F.when(F.size("arr") > 1, F.size("arr")).otherwise(0)).alias("met"))
+    others = rows.where("size(arr) > 1").select("author", F.explode("arr").alias("other")).groupBy("author").agg(F.count_distinct("other").alias("coauthors"))
+    out = own.join(others, "author", "left").na.fill(0, ["coauthors"])
+    return out.select("author", "papers", "solo", F.round(F.col("solo") * 100.0 / F.col("papers"), 1).alias("solo_rate"), "coauthors", F.round(F.col("met") / F.col("papers"), 2).alias("coauthors_per_paper"))
+
+
+def closest(papers: DataFrame, n: int = 10) -> DataFrame:
+    """The authors with whom each author shares most papers."""
+    met = coauthors(papers).groupBy("author", "other").agg(F.count(F.lit(1)).alias("papers"))
+    return top_per(met, ["author"], n, F.desc("papers"), F.asc("other"))
+
+
+def index_summary(papers: DataFrame) -> DataFrame:
+    """One row: authors, their papers on average and at most, those with several papers."""
+    own = authorships(papers).groupBy("author").agg(F.count(F.lit(1)).alias("k"))
+    return own.agg(F.count(F.lit(1)).alias("authors"), F.round(F.avg("k"), 4).alias("avg_papers"), F.max("k").alias("max_papers"), F.count_if(F.col("k") > 1).alias("with_several"))
+
+
+def top_pairs(papers: DataFrame, n: int = 20) -> DataFrame:
+    """Pairs of authors with most shared papers."""
+    return top(explode_pairs(papers, "author_list").groupBy("a", "b").agg(F.count(F.lit(1)).alias("papers")), n, F.desc("papers"), F.asc("a"), F.asc("b"))
+
+
+def best_h(papers: DataFrame) -> DataFrame:
+    """(arxiv_id, max_h): the highest h-index among a paper's authors, inside the corpus."""
+    a = authorships(papers)
+    return a.join(h_index(a, ["author"], "y"), "author").groupBy("arxiv_id").agg(F.max("h_index").alias("max_h"))
+
+
+def profile(papers: DataFrame, author) -> dict[str, DataFrame]:
+    """All that is known of one author, as lazy tables over the papers of theirs alone."""
+    own = papers.where(F.array_contains("author_list", author))
+    only = lambda df: df.where(F.col("author") == author)
+    return {"timeline": only(timeline(own)), "trend": only(timeline_trend(own)), "growth": only(citation_growth(own)), "topics": only(topics(own)), "momentum": only(momentum(own)), "collaboration": only(collaboration_patterns(own)), "closest": only(closest(own)), "breadth": only(cumulative_coauthors(own))}

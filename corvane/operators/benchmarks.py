@@ -79,3 +79,28 @@ def gaps(tasks: DataFrame, sota: DataFrame, few: int = 3) -> DataFrame:
     """Tasks with fewer than ``few`` rows, those without any among them."""
     n = sota.groupBy("task_name").agg(F.count(F.lit(1)).alias("n"))
     return tasks.join(n, "task_name", "left").na.fill(0, ["n"]).where(F.col("n") < few)
+
+
+def ranked(sota: DataFrame) -> DataFrame:
+    """Rows with their rank by value on their benchmark and metric; the earlier row first among equals."""
+    w = W.partitionBy(*FULL).orderBy(F.desc("metric_value"), "evaluation_date", "row_id")
+    return numeric(sota).where("metric_value is not null").withColumn("rank", F.row_number().over(w))
+
+
+def coverage(evaluations: DataFrame, paper: str = "arxiv_id") -> DataFrame:
+    """Evaluations, tasks, data sets and first ranks of each paper that has evaluations (rows with a rank)."""
+    e = evaluations.where(F.col(paper).isNotNull())
+    return e.groupBy(paper).agg(F.count(F.lit(1)).alias("evaluations"), F.count_distinct("task_name").alias("tasks"), F.count_distinct("dataset_name").alias("datasets"), F.count_if(F.col("rank") == 1).alias("firsts"), F.bool_or(F.coalesce(F.col("rank") == 1, F.lit(False))).alias("is_sota"))
+
+
+def sota_papers(evaluations: DataFrame, paper: str = "arxiv_id") -> DataFrame:
+    """Papers that hold a first rank, or are said to have held one (``was_sota``), with their tasks; the most first."""
+    held = F.coalesce(F.col("rank") == 1, F.lit(False))
+    ever = held | F.coalesce(F.col("was_sota"), F.lit(False)) if "was_sota" in evaluations.columns else held
+    out = evaluations.where(F.col(paper).isNotNull() & ever).groupBy(paper).agg(F.count(F.lit(1)).alias("total"), F.array_sort(F.collect_set("task_name")).alias("tasks"), F.bool_or(held).alias("current"))
+    return out.orderBy(F.desc("total"), F.asc(paper))
+
+
+def leading(evaluations: DataFrame, key: str, n: int = 20) -> DataFrame:
+    """Tasks or data sets with most evaluations."""
+    return top(evaluations.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")), n, F.desc("n"), F.asc(key))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
 from ..functions.macros import explode_pairs, top
 
 
@@ -81,11 +82,11 @@ def opportunity_scores(papers: DataFrame, key: str = "primary_category", least:
     s = _shares(papers, key, recent_days).where(F.col("n") >= least)
     score = F.least(2 * F.col("v"), F.lit(3.0)) + 2 * F.col("recency") + 2 * (1 - F.col("survey_ratio")) + (1 - F.least(F.col("n") / 500.0, F.lit(1.0))) + F.least(F.col("avg_c") / 20, F.lit(2.0))
     advice = (
-        F.when((F.col("v") > 1) & (F.col("survey_ratio") < 0.02), "Hot topic needs survey")
-        .when((F.col("v") > 0.5) & (F.col("code") < 0.2), "Growing area needs implementations")
-        .when(F.col("recency") > 0.5, "Rapidly emerging field")
-        .when((F.col("n") < 100) & (F.col("v") > 0.3), "Niche with high impact potential")
-        .otherwise("Established area")
+        F.when((F.col("v") > 1) & (F.col("survey_ratio") < 0.02), L.OPPORTUNITY_LABELS[0])
+        .when((F.col("v") > 0.5) & (F.col("code") < 0.2), L.OPPORTUNITY_LABELS[1])
+        .when(F.col("recency") > 0.5, L.OPPORTUNITY_LABELS[2])
+        .when((F.col("n") < 100) & (F.col("v") > 0.3), L.OPPORTUNITY_LABELS[3])
+        .otherwise(L.OPPORTUNITY_LABELS[4])
     )
     return s.select(key, "n", F.round(score, 4).alias("score"), advice.alias("recommendation"))
 
@@ -94,3 +95,38 @@ def without_survey(papers: DataFrame, key: str = "primary_category", more_than:
     """Large categories that no survey covers (anti join)."""
     large = papers.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > more_than)
     return large.join(papers.where("is_survey").select(key).distinct(), key, "left_anti")
+
+
+def simple_pair_gaps(papers: DataFrame, array: str = "category_list", min_expected: float = 10, factor: float = 0.5, n: int = 15) -> DataFrame:
+    """Pairs of labels that meet in fewer papers than chance would have it, by the share that is missing."""
+    rows = papers.select(F.array_distinct(array).alias("__labels"))
+    size = rows.select(F.explode("__labels").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("size"))
+    met = explode_pairs(rows, "__labels", "cat1", "cat2").groupBy("cat1", "cat2").agg(F.count(F.lit(1)).alias("actual"))
+    total = papers.agg(F.count(F.lit(1)).alias("total"))
+    out = met.join(size.select(F.col("c").alias("cat1"), F.col("size").alias("s1")), "cat1").join(size.select(F.col("c").alias("cat2"), F.col("size").alias("s2")), "cat2").crossJoin(F.broadcast(total))  # one row
+    out = out.withColumn("expected", F.col("s1") * F.col("s2") / F.col("total")).where((F.col("expected") > min_expected) & (F.col("actual") < factor * F.col("expected")))
+    return top(out.select("cat1", "cat2", "actual", F.round("expected", 1).alias("expected"), F.round((F.col("expected") - F.col("actual")) / F.col("expected"), 4).alias("score")), n, F.desc("score"), F.asc("cat1"), F.asc("cat2"))
+
+
+def simple_survey_gaps(papers: DataFrame, survey: Column, key: str = "primary_category", largest: int = 20, more_than: int = 50, rate: float = 0.05, n: int = 10) -> DataFrame:
+    """Of the largest categories those with few surveys."""
+    size = papers.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(survey).alias("surveys"))
+    out = top(size, largest, F.desc("n"), F.asc(key)).where((F.col("n") > more_than) & (F.col("surveys") < rate * F.col("n")))
+    return top(out, n, F.desc("n"), F.asc(key))
+
+
+def view_scores(papers: DataFrame, key: str = "primary_category", least: int = 20, quarter: int = 4) -> DataFrame:
+    """The four-term score of the opportunities view: velocity of cited papers, recency over the last quarter of all months, size, citations."""
+    months = papers.where("month is not null").select("month").distinct()  # one row for each calendar month
+    last = months.agg(F.array_sort(F.collect_set("month")).alias("ms")).select(F.element_at("ms", F.size("ms") - F.ceil(F.size("ms") / quarter).cast("int") + 1).alias("since"))
+    y = F.coalesce("citations", F.lit(0))
+    rows = papers.where(F.col(key).isNotNull()).crossJoin(F.broadcast(last))  # one row
+    out = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.when(y > 0, F.coalesce("velocity", F.lit(0.0)))), F.lit(0.0)).alias("v"), F.avg(F.when(F.col("month") >= F.col("since"), 1.0).otherwise(0.0)).alias("recency"), F.avg(y).alias("c"))
+    score = F.least(2 * F.col("v"), F.lit(3.0)) + 2 * F.col("recency") + (1 - F.least(F.col("n") / 500.0, F.lit(1.0))) + F.least(F.col("c") / 20, F.lit(2.0))
+    return out.where(F.col("n") >= least).select(key, "n", F.round(score, 4).alias("score"))
+
+
+def low_rates(papers: DataFrame, flag: Column, key: str = "primary_category", least: int = 20, rate: float = 0.3, n: int = 15) -> DataFrame:
+    """Categories where few papers have something, the lowest shares first."""
+    out = papers.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce(flag, F.lit(False)).cast("double")), 4).alias("rate"))
+    return top(out.where((F.col("n") >= least) & (F.col("rate") < rate)), n, F.asc("rate"), F.asc(key))

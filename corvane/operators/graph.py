@@ -8,19 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.macros import cut as _cut
 from ..functions.macros import explode_pairs, top
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder; a folder of its own only where the session has none."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-"))
-    return df.checkpoint()
-
-
 def coauthor_edges(papers: DataFrame, least: int = 1, array: str = "author_list") -> DataFrame:
     """(a, b, w): pairs of authors, a < b, by shared papers."""
     return explode_pairs(papers, array).groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")).where(F.col("w") >= least)
@@ -34,19 +25,54 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, component): smallest reachable id of each vertex, by neighbour minima and pointer jumping."""
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): smallest reachable id of each vertex, by neighbour minima and pointer jumping, until none changes."""
     sym = _cut(both_ways(edges).where("a <> b").distinct())
     labels = _cut(sym.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).withColumnRenamed("a", "id"))
-    for _ in range(rounds):
+    while True:
         near = sym.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
         new = labels.join(near, "id").select("id", F.least("c", "m").alias("c"), F.col("c").alias("old"))
         jump = labels.select(F.col("id").alias("c"), F.col("c").alias("j"))
         new = _cut(new.join(jump, "c", "left").select("id", F.least("c", F.coalesce("j", "c")).alias("c"), "old"))
         labels = new.select("id", "c")
         if new.where("c <> old").isEmpty():
-            break
-    return labels.withColumnRenamed("c", "component")
+            return labels.withColumnRenamed("c", "component")
+
+
+def component_sizes(edges: DataFrame) -> DataFrame:
+    """One row for the weak components of (src, dst): how many, the largest, how many vertices in all."""
+    size = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return size.agg(F.count(F.lit(1)).alias("components"), F.max("size").alias("largest"), F.sum("size").alias("nodes"))
+
+
+def degree_spread(edges: DataFrame) -> DataFrame:
+    """Least, greatest, mean and upper median of the in- and out-degrees of (src, dst), and whether it has no cycle."""
+    d = degrees_both(edges)
+    n = d.count()
+    exact = lambda c: F.percentile(c, F.lit((n // 2) / max(1, n - 1)))  # noqa: E731  a histogram of degrees, not a sort
+    parts = [f(c).alias(f"{k}_{c}") for c in ("in", "out") for k, f in (("min", F.min), ("max", F.max), ("avg", lambda c: F.round(F.avg(c), 4)), ("median", lambda c: F.round(exact(c)).cast("long")))]
+    return d.agg(*parts).withColumn("is_dag", F.lit(is_acyclic(edges)))
+
+
+def degrees_both(edges: DataFrame) -> DataFrame:
+    ends = edges.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    return ends.groupBy("id").agg(F.sum("o").alias("out"), F.sum("i").alias("in"))
+
+
+def export(edges: DataFrame, papers: DataFrame) -> dict[str, DataFrame]:
+    """Nodes with their degrees, edges and statistics, as tables to write."""
+    nodes = degrees_both(edges).join(papers.select(F.col("arxiv_id").alias("id"), "primary_category", "citations"), "id", "left")
+    return {"nodes": nodes, "edges": edges, "stats": degree_spread(edges)}
+
+
+def citation_bridges(edges: DataFrame, papers: DataFrame, n: int = 50, sources: int | None = 500, separator: str = ".") -> DataFrame:
+    """Papers on many shortest paths: betweenness times 1 + 0.1 for each top-level category among the neighbours."""
+    label = papers.select(F.col("arxiv_id").alias("far"), F.explode(F.transform("category_list", lambda x: F.substring_index(x, separator, 1))).alias("top"))
+    near = edges.select(F.col("src").alias("id"), F.col("dst").alias("far")).unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("far")))
+    kinds = near.join(label, "far").groupBy("id").agg(F.count_distinct("top").alias("diversity"))
+    out = directed_betweenness(edges, sources).where("betweenness > 0").join(kinds, "id", "left").na.fill(0, ["diversity"])
+    out = out.select(F.col("id").alias("arxiv_id"), F.round("betweenness", 6).alias("betweenness"), "diversity", F.round(F.col("betweenness") * (1 + 0.1 * F.col("diversity")), 6).alias("score"))
+    return top(out, n, F.desc("score"), F.asc("arxiv_id"))
 
 
 def network_stats(edges: DataFrame) -> DataFrame:
@@ -144,17 +170,16 @@ def graph_stats(edges: DataFrame) -> DataFrame:
     return d.agg(n.alias("nodes"), F.sum("out").alias("edges"), F.round(F.sum("out") / (n * (n - 1)), 8).alias("density"), F.max("in").alias("max_in"), F.max("out").alias("max_out"), F.count_if(F.col("in") == 0).alias("sources"), F.count_if(F.col("out") == 0).alias("sinks"))
 
 
-def is_acyclic(edges: DataFrame, rounds: int = 1000) -> bool:
-    """Peel vertices that nothing points to until none or only cycles are left."""
-    left = edges
-    for _ in range(rounds):
-        if left.isEmpty():
-            return True
-        kept = _cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
-        if kept.count() == left.count():
+def is_acyclic(edges: DataFrame) -> bool:
+    """Peel vertices that nothing points to, or that point to nothing, until none or only cycles are left."""
+    left, n = edges, edges.count()
+    while n:
+        inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        left = _cut(inner.join(inner.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        before, n = n, left.count()
+        if n == before:
             return False
-        left = kept
-    return False
+    return True
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -204,12 +229,21 @@ def maximal_cliques(edges: DataFrame, least: int = 3, schema: str = "clique arra
 
 
 def betweenness(edges: DataFrame, sources: int | None = None, seed: int = 42) -> DataFrame:
-    """Betweenness of an undirected graph by breadth-first search from each source (all, or a seeded sample).
+    """Betweenness of an undirected graph (a, b); see ``paths_through``."""
+    return paths_through(_cut(both_ways(edges).distinct()), sources, seed)
+
+
+def directed_betweenness(edges: DataFrame, sources: int | None = None, seed: int = 42) -> DataFrame:
+    """Betweenness along the edges (src, dst); see ``paths_through``."""
+    return paths_through(_cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b").distinct()), sources, seed)
+
+
+def paths_through(sym: DataFrame, sources: int | None, seed: int) -> DataFrame:
+    """Share of the shortest paths along steps (a, b) that lead through each vertex, by search from each source (all, or a seeded sample).
 
     Level by level over tables keyed by source: distances and path counts forwards, dependencies backwards.
     """
-    sym = _cut(both_ways(edges).distinct())
-    nodes = sym.select(F.col("a").alias("id")).distinct()
+    nodes = sym.select(F.col("a").alias("id")).union(sym.select("b")).distinct()
     n = nodes.count()
     src = nodes if sources is None or sources >= n else nodes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sources)
     seen = _cut(src.select(F.col("id").alias("s"), "id", F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
@@ -226,7 +260,7 @@ def betweenness(edges: DataFrame, sources: int | None = None, seed: int = 42) ->
     for d in range(levels, 0, -1):
         here = seen.where(F.col("d") == d).join(dep, ["s", "id"], "left").select("s", "id", "sigma", F.coalesce("dep", F.lit(0.0)).alias("dep"))
         total = here.select("id", "dep") if total is None else total.unionByName(here.select("id", "dep"))
-        up = here.join(sym.withColumnRenamed("a", "id"), "id").select("s", F.col("b").alias("id"), ((1 + F.col("dep")) / F.col("sigma")).alias("part"))
+        up = here.join(sym.withColumnRenamed("b", "id"), "id").select("s", F.col("a").alias("id"), ((1 + F.col("dep")) / F.col("sigma")).alias("part"))
         before = seen.where(F.col("d") == d - 1).select("s", "id", F.col("sigma").alias("own"))
         dep = _cut(up.join(before, ["s", "id"]).groupBy("s", "id").agg(F.sum(F.col("part") * F.col("own")).alias("dep")))
     if total is None:

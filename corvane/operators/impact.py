@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.macros import bucket, lift, upper_median
-
-
+from ..functions.macros import bucket, cut, lift, upper_median
 
 def cites() -> Column:
     return F.coalesce(F.col("citations"), F.lit(0)).cast("double")
@@ -38,8 +36,11 @@ def quartiles(papers: DataFrame, feature: str, least: int = 20) -> DataFrame:
 
 
 def global_rank(rows: DataFrame, keys: list[Column], out: str = "rank") -> DataFrame:
-    """0-based rank over a whole table without one task for it: sort by range, count each range, add what stands before."""
-    ranged = rows.orderBy(*keys).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    """0-based rank over a whole table without one task for it: sort by range, count each range, add what stands before.
+
+    The sorted rows with their places are written once: sizes and ranks are read from the same table.
+    """
+    ranged = cut(rows.orderBy(*keys).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
     ranged = ranged.withColumn("__local", F.col("__at") - F.shiftleft(F.col("__part").cast("long"), 33))
     sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
@@ -71,6 +72,15 @@ def buckets(papers: DataFrame, value: Column, bounds: list[tuple[float, str]], r
     return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 4).alias("avg_citations"), F.median("y").alias("median_citations"))
 
 
+def simple_impact(papers: DataFrame, features: dict[str, Column], more_than: int = 10) -> DataFrame:
+    """Mean of each feature among papers cited more than so often over that among the others; only where the latter is above 0."""
+    high = F.col("y") > more_than
+    rows = papers.select(cites().alias("y"), F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), F.coalesce(v.cast("double"), F.lit(0.0)).alias("v")) for k, v in features.items()])).alias("s")).select("y", "s.*")
+    mean = lambda cond: F.sum(F.when(cond, F.col("v")).otherwise(0.0)) / F.greatest(F.count_if(cond), F.lit(1))
+    out = rows.groupBy("feature").agg(mean(high).alias("high"), mean(~high).alias("low")).where("low > 0")
+    return out.select("feature", F.round("high", 4).alias("high"), F.round("low", 4).alias("low"), F.round(F.col("high") / F.col("low"), 4).alias("multiplier"))
+
+
 H_BUCKETS = [(5, "0-5"), (15, "6-15"), (30, "16-30"), (50, "31-50")]
 TEAM_BUCKETS = [(1, "solo"), (3, "2-3"), (6, "4-6")]
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import lexicon as L
 from ..functions.macros import top
 from .impact import global_rank
 
@@ -95,3 +96,46 @@ def histogram(papers: DataFrame, value: str, width: float, bins: int) -> DataFra
     """Counts in bins of equal width from 0; the last takes the rest."""
     v = F.least(F.floor(F.col(value) / width), F.lit(bins - 1)).cast("long")
     return papers.where(F.col(value).isNotNull()).groupBy(v.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def derive(papers: DataFrame, signals: list[Column], venue: str = "venue", venues: list[str] | None = None, array: str = "category_list", separator: str = ".") -> DataFrame:
+    """Derived columns of every paper: rank and percentile by velocity (none counts as 0), breadth, top venue, quality signals."""
+    name = F.lower(F.coalesce(venue, F.lit("")))
+    known = F.exists(F.array(*[F.lit(v) for v in venues or L.TOP_VENUES]), lambda v: F.contains(name, v))
+    rows = papers.withColumn("is_top_venue", known).withColumn("__v", F.coalesce("velocity", F.lit(0.0)))
+    n = rows.agg(F.count(F.lit(1)).alias("__n"))
+    total = sum((F.coalesce(s, F.lit(False)).cast("int") for s in [*signals, F.col("is_top_venue")]), F.lit(0))
+    rows = rows.select("arxiv_id", "__v", F.coalesce(interdisciplinary(array, separator), F.lit(0)).alias("interdisciplinary"), "is_top_venue", total.alias("quality_signals"))
+    out = global_rank(rows, [F.desc("__v"), F.asc("arxiv_id")]).crossJoin(F.broadcast(n))  # one row
+    return out.select("arxiv_id", (F.col("rank") + 1).cast("long").alias("velocity_rank"), F.round(100 * (1 - (F.col("rank") + 1) / F.col("__n")), 1).alias("velocity_percentile"), "interdisciplinary", "is_top_venue", "quality_signals")
+
+
+def top_in_category(papers: DataFrame, category, n: int = 15) -> DataFrame:
+    rows = papers.where(F.array_contains("category_list", category)).select("arxiv_id", "primary_category", F.coalesce("citations", F.lit(0)).alias("citations"))
+    return top(rows, n, F.desc("citations"), F.asc("arxiv_id"))
+
+
+def search(papers: DataFrame, words: Column, text: str, n: int = 20) -> DataFrame:
+    """Papers whose words hold a text, whatever the case, the most cited first."""
+    rows = papers.where(F.contains(F.lower(words), F.lit(text.lower()))).select("arxiv_id", F.coalesce("citations", F.lit(0)).alias("citations"))
+    return top(rows, n, F.desc("citations"), F.asc("arxiv_id"))
+
+
+def labelled(papers: DataFrame, names: dict[str, str], key: str = "primary_category", out: str = "category_name") -> DataFrame:
+    """With the name of each category; the category itself where it has none."""
+    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else None
+    return papers.withColumn(out, F.coalesce(F.try_element_at(table, F.col(key)), F.col(key)) if names else F.col(key))
+
+
+def text_for_vectors(papers: DataFrame, title: str = "title", abstract: str = "abstract", id_column: str = "arxiv_id") -> DataFrame:
+    """(id, text): title and abstract as one text; papers without an id get 16 digits of the title's MD5."""
+    own = F.coalesce(F.col(id_column).cast("string"), F.substring(F.md5(F.coalesce(title, F.lit("")).cast("binary")), 1, 16))
+    return papers.select(own.alias("id"), F.concat_ws(". ", F.nullif(F.coalesce(title, F.lit("")), F.lit("")), F.nullif(F.coalesce(abstract, F.lit("")), F.lit(""))).alias("text"))
+
+
+def by_category(papers: DataFrame, key: str = "primary_category") -> DataFrame:
+    """Papers, mean citations, code rate, mean team and distinct authors of each category."""
+    rows = papers.where(F.col(key).isNotNull())
+    size = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce("citations", F.lit(0))), 4).alias("avg_citations"), F.round(F.avg(F.col("has_code").cast("double")), 4).alias("code_rate"), F.round(F.avg(F.size(F.coalesce("author_list", F.array()))), 4).alias("avg_team"))
+    people = rows.select(key, F.explode("author_list").alias("a")).groupBy(key).agg(F.count_distinct("a").alias("authors"))
+    return size.join(people, key, "left").na.fill(0, ["authors"])

@@ -98,3 +98,38 @@ def month_matrix(papers: DataFrame, key: str = "primary_category", values: list[
 
 def share_of(a: str, b: str) -> Column:
     return F.round(ratio(a, b), 4)
+
+
+def keyword_trends(papers: DataFrame, array: str = "keywords", period: str = "month", first: int = 5, least: int = 5, min_periods: int = 2, quarter: int = 4) -> DataFrame:
+    """Series of each keyword (the first few of a paper): total, slope, first and last period, and whether it is emerging.
+
+    Emerging: first seen in the last quarter of all periods (of fewer than ``quarter`` periods, at any time) and rising.
+    """
+    rows = papers.where(F.col(period).isNotNull())
+    every = rows.select(period).distinct().agg(F.array_sort(F.collect_set(period)).alias("ps"))  # one row for each period of the calendar
+    late = F.size("ps") - F.ceil(F.size("ps") / quarter).cast("int") + 1
+    cutoff = every.select(F.when(F.size("ps") >= quarter, F.try_element_at("ps", late)).otherwise(F.try_element_at("ps", F.lit(1))).alias("cutoff"))
+    counts = series(rows.withColumn("__first", F.slice(array, 1, first)), "keyword", "__first", period)
+    out = ordinal(counts, ["keyword"], period).groupBy("keyword").agg(F.sum("n_papers").alias("total"), F.count(F.lit(1)).alias("periods"), F.round(slope("n_papers"), 4).alias("slope"), F.min(period).alias("first_seen"), F.max(period).alias("last_seen"))
+    out = out.where((F.col("total") >= least) & (F.col("periods") >= min_periods)).crossJoin(F.broadcast(cutoff))  # one row
+    return out.withColumn("emerging", (F.col("first_seen") >= F.col("cutoff")) & (F.col("slope") > 0)).drop("cutoff")
+
+
+def emerging_keywords(trends: DataFrame, n: int = 30) -> DataFrame:
+    return top(trends.where("emerging"), n, F.desc("total"), F.asc("keyword"))
+
+
+def emerging_words(docs: DataFrame, text: Column, date: str = "published_date", pattern: str = r"\b[a-z]{4,}\b", leading: int = 100, growth: float = 0.5, fresh: int = 10, n: int = 20) -> DataFrame:
+    """Of the most frequent words of the last two quarters those that grew over the two before, or are new and frequent.
+
+    Without four quarters: no rows. growth is null for new words, which come first.
+    """
+    quarter = F.concat(F.year(date).cast("string"), F.lit("-Q"), F.quarter(date).cast("string"))
+    rows = docs.where(F.col(date).isNotNull()).select(quarter.alias("q"), F.lower(text).alias("t"))
+    last = rows.select("q").distinct().agg(F.array_sort(F.collect_set("q")).alias("qs")).where("size(qs) >= 4")  # one row, if any
+    last = last.select(F.element_at("qs", -2).alias("late"), F.element_at("qs", -4).alias("early"))
+    rows = rows.crossJoin(F.broadcast(last)).where("q >= early").select((F.col("q") >= F.col("late")).alias("late"), F.explode(F.regexp_extract_all("t", F.lit(f"({pattern})"), F.lit(1))).alias("word"))
+    counts = rows.groupBy("word").agg(F.count_if("late").alias("recent"), F.count_if(~F.col("late")).alias("earlier"))
+    out = top(counts.where("recent > 0"), leading, F.desc("recent"), F.asc("word"))
+    out = out.withColumn("growth", F.round((F.col("recent") - F.col("earlier")) / F.nullif(F.col("earlier").cast("double"), F.lit(0.0)), 4))
+    return top(out.where((F.col("growth") > growth) | (F.col("growth").isNull() & (F.col("recent") >= fresh))), n, F.desc_nulls_first("growth"), F.asc("word"))

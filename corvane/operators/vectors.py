@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.macros import top
+from ..functions.macros import top, top_per
 
 #: Bytes of vectors that one broadcast holds; larger tables are compared with one broadcast after the other.
 CHUNK_BYTES = 64_000_000
@@ -209,3 +209,37 @@ def embed(docs: DataFrame, text: str, id_column: str = "arxiv_id", dims: int = 3
     counts = rows.groupBy(id_column, "dim").agg(F.sum("one").cast("double").alias("c"))
     held = counts.groupBy(id_column).agg(F.map_from_entries(F.collect_list(F.struct("dim", "c"))).alias("m"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("n"))
     return held.select(id_column, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0.0)) / F.greatest("n", F.lit(1e-12))).cast("float")).alias("embedding"))
+
+
+def silhouette(vectors: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
+    """(cluster, n, silhouette): mean silhouette of each cluster with squared distances, from the clusters' sums alone.
+
+    The mean squared distance of a vector to a cluster is |x|^2 + mean |y|^2 - 2 x . mean(y), so no pairs are made. A cluster
+    of one vector has 0, and so has everything if there is one cluster. Vectors without a label are left out.
+    """
+    size = len(vectors.where(F.col(vector).isNotNull()).select(vector).first()[0]) if not vectors.isEmpty() else 0
+    rows = vectors.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(F.col(label).alias("cluster"), F.col(vector).alias("x"), dot(vector, vector).alias("xx"))
+    sums = [F.avg(F.col("x")[i].cast("double")).alias(f"m{i}") for i in range(size)]
+    own = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("xx").alias("yy"), *sums).select("cluster", "n", "yy", F.array(*[F.col(f"m{i}") for i in range(size)]).alias("mean"))
+    own = own.agg(F.collect_list(F.struct("cluster", "n", "yy", "mean")).alias("own"))  # a row for each cluster: few
+    rows = rows.crossJoin(F.broadcast(own))
+    far = F.transform("own", lambda c: F.struct(c["cluster"].alias("cluster"), c["n"].alias("n"), F.greatest(F.lit(0.0), F.col("xx") + c["yy"] - 2 * F.aggregate(F.zip_with("x", c["mean"], lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, b: a + b)).alias("d")))
+    rows = rows.select("cluster", far.alias("far"))
+    mine = F.filter("far", lambda c: c["cluster"] == F.col("cluster"))[0]
+    rows = rows.select("cluster", mine.alias("mine"), F.array_min(F.transform(F.filter("far", lambda c: c["cluster"] != F.col("cluster")), lambda c: c["d"])).alias("b"))
+    a = F.col("mine.d") * F.col("mine.n") / F.greatest(F.col("mine.n") - 1, F.lit(1))
+    s = F.when((F.col("mine.n") == 1) | F.col("b").isNull(), 0.0).otherwise(F.coalesce((F.col("b") - a) / F.nullif(F.greatest("b", a), F.lit(0.0)), F.lit(0.0)))
+    return rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(s), 4).alias("silhouette"))
+
+
+def title_words(rows: DataFrame, group: str | None, title: str, longer_than: int, n: int, stop: list[str] = ()) -> DataFrame:
+    """The most frequent words of titles, of letters alone, in each group or over all rows: labels of clusters, topics of gaps."""
+    words = rows.select(*([group] if group else []), F.explode(F.split(F.lower(title), r"\s+")).alias("word"))
+    words = words.where((F.length("word") > longer_than) & F.col("word").rlike(r"^\p{L}+$") & ~F.col("word").isin(list(stop)))
+    keys = [group] if group else []
+    counts = words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
+    ranked = top_per(counts, keys, n, F.desc("n"), F.asc("word")) if group else top(counts, n, F.desc("n"), F.asc("word"))
+    if not group:
+        return ranked
+    parts = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "word"))), lambda x: x["word"])
+    return ranked.groupBy(group).agg(F.array_join(parts, ", ").alias("words"))

@@ -5,8 +5,9 @@ import datetime
 import duckdb
 import pytest
 
-from corvane.plans import catalog
+from corvane.plans import catalog, views
 
+assert views.keyword_trends.__name__ in catalog.QUERIES
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
