@@ -60,9 +60,9 @@ def degrees_both(edges: DataFrame) -> DataFrame:
 
 
 def export(edges: DataFrame, papers: DataFrame) -> dict[str, DataFrame]:
-    """Nodes with their degrees, edges and statistics, as tables to write."""
+    """Nodes with their degrees, and edges, as tables to write."""
     nodes = degrees_both(edges).join(papers.select(F.col("arxiv_id").alias("id"), "primary_category", "citations"), "id", "left")
-    return {"nodes": nodes, "edges": edges, "stats": degree_spread(edges)}
+    return {"nodes": nodes, "edges": edges}
 
 
 def citation_bridges(edges: DataFrame, papers: DataFrame, n: int = 50, sources: int | None = 500, separator: str = ".") -> DataFrame:

@@ -80,27 +80,47 @@ def pdfs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).where(F.substring("content", 1, 4) == F.lit(b"%PDF")).select("path", "content")
 
 
-def pdf_text(files: DataFrame) -> DataFrame:
-    """Text of PDFs by whichever extraction package the executors have; null text where there is none."""
+def pdf_text(files: DataFrame, package: str = "pdfplumber") -> DataFrame:
+    """(path, text, error): text of PDFs by a package that the executors must have; a broken file has its error instead of a text."""
 
     def read(frames):
+        import importlib
         import io
 
-        try:
-            import pdfplumber as lib
-        except ImportError:
-            lib = None
+        lib = importlib.import_module(package)
         for f in frames:
-            texts = []
+            got = []
             for c in f["content"]:
                 try:
                     with lib.open(io.BytesIO(c)) as doc:
-                        texts.append("\n".join(p.extract_text() or "" for p in doc.pages))
-                except Exception:  # a broken file or no package: the row stays, without text
-                    texts.append(None)
-            yield f[["path"]].assign(text=texts)
+                        got.append(("\n".join(p.extract_text() or "" for p in doc.pages), None))
+                except Exception as e:  # noqa: BLE001  whatever a broken file raises is told in its row
+                    got.append((None, f"{type(e).__name__}: {e}"))
+            yield f[["path"]].assign(text=[t for t, _ in got], error=[e for _, e in got])
 
-    return files.select("path", "content").mapInPandas(read, "path string, text string")
+    return files.select("path", "content").mapInPandas(read, "path string, text string, error string")
+
+
+def existing(spark: SparkSession, folder: str) -> DataFrame:
+    """Papers that a collection left in a folder (JSON); an error that says so where there are none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/papers_json")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        raise FileNotFoundError(f"no papers in {folder}: collect some first")
+    return spark.read.json(f"{folder}/papers_json")
+
+
+def statistics_json(spark: SparkSession, path: str) -> DataFrame:
+    """Statistics that an analysis wrote."""
+    return spark.read.option("multiLine", True).json(path)
+
+
+def analysis_json(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, json): every file of analyses below a folder, by the name of its own folder or file."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("wholetext", True).text(folder)
+    parts = F.split(F.input_file_name(), "/")
+    last = F.element_at(parts, -1)
+    name = F.when(last.startswith("part-"), F.element_at(parts, -2)).otherwise(F.regexp_replace(last, r"\.json$", ""))
+    return raw.select(name.alias("name"), F.col("value").alias("json"))
 
 
 def citations_lookup(papers: DataFrame, service: DataFrame) -> DataFrame:

@@ -1,5 +1,9 @@
-"""A paged HTTP feed as a Spark data source: one partition for each category and span of dates, read on the executors.
+"""A paged HTTP feed as a Spark data source, read on the executors: pages of every category and span of dates until one is short.
 
+Options: endpoint; categories and spans (start/end), by commas; pagesize; pause, the seconds between two requests of all
+tasks together; tasks, over which the spans are dealt (each then waits ``tasks`` times as long, so the service sees one
+rate); maxresults, the most rows of a span (none: all); dated=false leaves the dates out of the query (filter afterwards);
+skipfailed=true goes on with the next page where one fails for good.
 ``fetch`` is a module-level function of (url) -> bytes given by dotted name, so tests and sites without a network can
 put their own in its place.
 """
@@ -7,6 +11,7 @@ put their own in its place.
 from __future__ import annotations
 
 import importlib
+import re
 import time
 import urllib.parse
 import xml.etree.ElementTree as ET
@@ -25,31 +30,52 @@ def urlopen(url: str) -> bytes:
         return r.read()
 
 
-class Span(InputPartition):
-    def __init__(self, category: str, start: str, end: str):
-        self.category, self.start, self.end = category, start, end
+class Spans(InputPartition):
+    """Some (category, start, end), read one after the other."""
+
+    def __init__(self, spans: list[tuple[str, str, str]]):
+        self.spans = spans
 
 
 class PaperReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = dict(options)
 
-    def partitions(self) -> list[Span]:
+    def partitions(self) -> list[Spans]:
         cats = self.options["categories"].split(",")
         spans = [s.split("/") for s in self.options["spans"].split(",")]
-        return [Span(c, a, b) for c in cats for a, b in spans]
+        every = [(c, a, b) for c in cats for a, b in spans]
+        tasks = int(self.options.get("tasks", 1))
+        return [Spans(every[i::tasks]) for i in range(tasks) if every[i::tasks]]
+
+    def read(self, partition: Spans) -> Iterator[tuple]:
+        for span in partition.spans:
+            yield from self._span(*span)
 
-    def read(self, partition: Span) -> Iterator[tuple]:
+    def _span(self, category: str, start: str, end: str) -> Iterator[tuple]:
         o = self.options
         module, name = o.get("fetch", f"{__name__}.urlopen").rsplit(".", 1)
         fetch = getattr(importlib.import_module(module), name)
-        size, most, pause = int(o.get("pagesize", 100)), int(o.get("maxresults", 500)), float(o.get("pause", 3))
-        query = f"cat:{partition.category} AND submittedDate:[{partition.start} TO {partition.end}]"
-        for at in range(0, most, size):
-            url = o["endpoint"] + "?" + urllib.parse.urlencode({"search_query": query, "start": at, "max_results": min(size, most - at), "sortBy": "submittedDate", "sortOrder": "descending"})
-            rows = list(parse(self._tries(fetch, url, pause), partition.category))
+        size, pause = int(o.get("pagesize", 100)), float(o.get("pause", 3)) * int(o.get("tasks", 1))
+        most = int(o["maxresults"]) if o.get("maxresults") else None
+        query = f"cat:{category}" + (f" AND submittedDate:[{start} TO {end}]" if o.get("dated", "true") == "true" else "")
+        at = failed = 0
+        while most is None or at < most:
+            ask = size if most is None else min(size, most - at)
+            url = o["endpoint"] + "?" + urllib.parse.urlencode({"search_query": query, "start": at, "max_results": ask, "sortBy": "submittedDate", "sortOrder": "descending"})
+            at += size
+            try:
+                rows = list(parse(self._tries(fetch, url, pause), category))
+            except OSError:
+                if o.get("skipfailed", "false") != "true":
+                    raise
+                failed += 1
+                if failed >= 3:  # the service is gone, not one page
+                    return
+                continue
             yield from rows
-            if len(rows) < size:
+            failed = 0
+            if len(rows) < ask:
                 return
             time.sleep(pause)
 
@@ -70,7 +96,7 @@ def parse(feed: bytes, category: str) -> Iterator[tuple]:
     for e in ET.fromstring(feed).findall("a:entry", NS):
         cats = [c.get("term") for c in e.findall("a:category", NS)]
         primary = e.find("x:primary_category", NS)
-        yield (text(e, "a:id").rsplit("/abs/", 1)[-1], text(e, "a:title"), text(e, "a:summary"), [text(a, "a:name") for a in e.findall("a:author", NS)], text(e, "a:published"), cats, primary.get("term") if primary is not None else category)
+        yield (re.sub(r"v\d+$", "", text(e, "a:id").rsplit("/abs/", 1)[-1]), text(e, "a:title"), text(e, "a:summary"), [text(a, "a:name") for a in e.findall("a:author", NS)], text(e, "a:published"), cats, primary.get("term") if primary is not None else category)
 
 
 class PaperSource(DataSource):

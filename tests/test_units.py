@@ -77,7 +77,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert r["pdf_url"].endswith("2301.00001v1.pdf")
     chunks = readers.date_chunks(spark, "2020-01-01", "2024-01-01", 12).orderBy("chunk_start").collect()
     assert len(chunks) >= 3 and str(chunks[0]["chunk_start"]) == "2020-01-01" and str(chunks[-1]["chunk_end"]) == "2024-01-01"
-    assert list(service.parse(FEED, "cs.AI"))[0][0] == "2301.00001v1"
+    assert list(service.parse(FEED, "cs.AI"))[0][0] == "2301.00001"
     sinks.dataset(p, str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out/papers_csv")).first()["author_list"] == "John; Jane"
     assert "<td>2301.00001</td>" in sinks.report("R", {"p": p.select("arxiv_id")}, kind="html")
