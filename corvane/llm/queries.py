@@ -16,10 +16,12 @@ def tokenizer_path() -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens; null text: the end id alone."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned from rows with a text and a language that are not held out. Null text or none with a letter: und, 0."""
     docs = table(spark, sf_dir, "documents")
     held = (id_crc("doc_id") % 4) == 2
     filters = language.learn(docs.where(~held))
@@ -28,15 +30,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of nearly equal bytes; equal texts share a shard."""
     out = sharding.shard(table(spark, sf_dir, "documents"), 8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a media file of 8-bit samples, read back through its sample table; null text: 64 bytes 0."""
     return media.digest(table(spark, sf_dir, "documents"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document; learned from labels that are not held out. Null text: the bias alone."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
     model = quality.train(docs, labels.where(id_crc("doc_id") % 3 != 1))
@@ -86,6 +91,7 @@ FROM d
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of chunks and runs that an earlier document has; null text stays null."""
     out = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", "n_lines", "removed_chunks", "removed_lines")
 
@@ -101,6 +107,7 @@ def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page by rule or by its host's posterior; null url: host and path empty, the overall prior."""
     pages = table(spark, sf_dir, "pages")
     out = urls.judge(pages, page_outcomes(spark, sf_dir), keep=["page_id"], limit=OP8_LIMIT)
     return out.select("page_id", "host", "path", "rule", "verdict", F.round("bad_rate", 6).alias("bad_rate"))
@@ -111,10 +118,12 @@ OP8_LIMIT = 0.3
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items that a window of it matches; null text matches nothing."""
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document at similarity 0.85; null text or no words: linked with nothing."""
     out = neardup.near_duplicates(table(spark, sf_dir, "documents"), num=85, den=100)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 

@@ -5,8 +5,9 @@ found by binary search; a capacity is feasible if cutting greedily, as late as i
 groups themselves never reach the driver: it sees sums over hash ranges. A range that a cut could fall into is split
 into finer ranges until it holds one group, which bounds what is fetched and still gives the exact optimum.
 
-Null text: as empty, with no bytes. Empty table: empty result. Copies: one group, so they share a shard. Repeated rows
-each get a slot; ties in order are broken by doc_id.
+Null text: as empty, with no bytes. Very long text: one size among others; its own bytes bound the capacity from below. Empty
+table: empty result. Copies: one group, so they share a shard, whatever their ids. Repeated rows, and rows with a null or
+repeated id, each get a slot; ties in order are broken by doc_id. Other columns: never read, whatever their names.
 """
 
 from __future__ import annotations
