@@ -30,15 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write a result to the shared folder and read it back: cuts the lineage, survives lost executors.
 
+    files: the most files, for tables that are small by what bounds them.
+
     Tables stand under one folder per application, ``<shared>/corvane-<application id>``, for the cluster to sweep.
     The returned DataFrame knows its rows (``rows_of``), counted while they were written, and can be removed (``forget``).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/corvane-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     seen = Observation()
+    df = df.coalesce(files) if files else df
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved = (path, seen.get["rows"])

@@ -28,6 +28,8 @@ SHINGLE, NUM, DEN = 5, 80, 100
 #: At similarity 0.8 two fingerprints differ in 9.7 bits of 64 on average, with deviation 2.9; 20 is 3.5 deviations on.
 #: Seven blocks of nine or ten bits: two flips for each, about 320 rows of index for an item, which meet 63 % of the pairs once.
 RADIUS, BLOCKS = 20, 7
+#: Files of what the benchmark alone gives.
+FILES = 16
 
 
 def words_of(text: Column) -> Column:
@@ -107,11 +109,11 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", item_column: str
         at_k = F.col("words") == k if k < SHINGLE else F.col("words") >= k
         shingled = F.when(at_k, runs_of(F.col("h"), k)).otherwise(shingled)
     own = own.select("item_id", "words", F.least("words", F.lit(SHINGLE)).alias("width"), shingled.alias("sh"))
-    own = save(fingerprinted(own, "sh", max(sizes)).withColumn("set", numbered(F.col("sh"))), "items")
+    own = save(fingerprinted(own, "sh", max(sizes)).withColumn("set", numbered(F.col("sh"))), "items", FILES)
     rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t")).select(text_key(F.col("t")).alias("id"), words_of(F.col("t")).alias("w"))
     rows = rows.select("id", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     # Shingles of the items, with the window sizes in which they occur.
-    anchors = bounded_broadcast(save(own.select("words", "width", F.explode("sh").alias("s")).groupBy("width", "s").agg(F.collect_set("words").alias("sizes")), "anchors"))
+    anchors = bounded_broadcast(save(own.select("words", "width", F.explode("sh").alias("s")).groupBy("width", "s").agg(F.collect_set("words").alias("sizes")), "anchors", FILES))
     windows = None
     for k in widths:  # posexplode_outer: posexplode brings a filter that is pushed below and makes the array again
         if anchored:

@@ -30,6 +30,8 @@ from .vectext import mix
 #: Texts a language from which the filters are learned, chosen by hash (the bound of the classifier's sample).
 SAMPLE_DOCS = 3_000
 UNKNOWN = "und"
+#: Files of what the bounded sample gives.
+FILES = 8
 #: Languages to a word of bits.
 WORD = 64
 _CHARS = 200_000
@@ -140,11 +142,11 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", n: int =
             yield pd.DataFrame({"bit": k, "gram": h.view(np.int64), "c": c})
 
     got = sample.select("bit", "text").mapInPandas(tidy(count), "bit int, gram long, c long").groupBy("bit", "gram").agg(F.sum("c").alias("c"))
-    got = save(got.where(F.col("c") >= least), "grams")
+    got = save(got.where(F.col("c") >= least), "grams", FILES)
     total = got.groupBy("bit").agg(F.sum("c").alias("total"))
     rate = got.join(F.broadcast(total), "bit").select("bit", "gram", (F.col("c") / F.col("total")).alias("rate"))
     member = rate.withColumn("most", F.max("rate").over(W.partitionBy("gram"))).where(F.col("rate") >= share * F.col("most")).select("bit", "gram")
-    member = save(member, "members")
+    member = save(member, "members", FILES)
     # Slots: about ten for each n-gram of the largest language, so that few are false.
     largest = member.groupBy("bit").count().agg(F.max("count")).first()[0] or 1
     size = 1 << max(12, int(10 * largest).bit_length())

@@ -109,8 +109,8 @@ def reputation(outcomes: DataFrame, suffixes=SUFFIXES) -> tuple[DataFrame, DataF
         spread = parts.join(mean.select(own, "mean"), own).groupBy(own, "mean").agg(_strength(F.col("n"), F.col("bad"), F.col("mean")).alias("strength"))
         return spread.join(groups.select(own, *({"suffix"} - {own})), own)
 
-    of_all = save(of_all, "overall")
-    of_suffix = save(below(suffix, of_all, "suffix", domain), "suffix-priors")
+    of_all = save(of_all, "overall", 1)
+    of_suffix = save(below(suffix, of_all, "suffix", domain), "suffix-priors", 8)
     of_domain = save(below(domain, of_suffix, "domain", host), "domain-priors")
     host = host.join(of_domain.select("domain", "mean", "strength"), "domain")
     host = host.select("host", "n", "bad", (F.col("bad") + F.col("strength") * F.col("mean")).alias("a"), (F.col("n") - F.col("bad") + F.col("strength") * (1 - F.col("mean"))).alias("b"))
