@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -60,6 +61,12 @@ def forget(saved: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Drop the shuffles and broadcasts of steps that are done: Spark's cleaner follows the driver's garbage collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def bounded_broadcast(saved: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only where the written table proves it small; else Spark shuffles and AQE splits skew.
 

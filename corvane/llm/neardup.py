@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import bounded_broadcast, free_name, rows_of, save, small_batches, tidy
+from .common import bounded_broadcast, free_name, rows_of, save, small_batches, sweep, tidy
 from .graph import components
 from .vectext import Words, blocks, mix, shingles
 
@@ -200,6 +200,7 @@ def linked(docs: DataFrame, id_column: str, text: str, num: int, den: int) -> tu
     links = tested = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "id long, component long")
     for turn in ("first", "other", "rest"):
+        sweep(spark)
         if turn == "first":
             pairs = likely(buckets.join(leads, "key").where("v <> lead").select(F.col("v").alias("a"), F.col("lead").alias("b")))
         else:
@@ -227,6 +228,7 @@ def linked(docs: DataFrame, id_column: str, text: str, num: int, den: int) -> tu
             if rows_of(found):
                 links = links.unionByName(found)
                 labels = components(links)
+    sweep(spark)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     # The component of each class; only classes of several rows or with links need the join.
     placed = classes.join(labels.withColumnRenamed("id", "v"), "v", "left").where("copies > 1 or component is not null")
