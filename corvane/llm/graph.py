@@ -20,8 +20,8 @@ def components(edges: DataFrame) -> DataFrame:
     while rows_of(now) and not _stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # Small star: a vertex and its smaller neighbours are linked to the smallest of them.
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        # Small star (repeated edges go at its end): a vertex and its smaller neighbours are linked to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         before, now = now, save(small, "edges")
@@ -32,5 +32,5 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _stars(edges: DataFrame) -> bool:
     """Whether each larger end stands in one edge alone and none is the smaller end of another."""
-    ends = edges.select("a").unionByName(edges.select(F.col("b").alias("a")).distinct())
-    return ends.groupBy("a").count().where("count > 1").isEmpty()
+    ends = edges.select("a", F.lit(1).alias("larger"), F.lit(0).alias("smaller")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("larger"), F.lit(1).alias("smaller")))
+    return ends.groupBy("a").agg(F.sum("larger").alias("larger"), F.max("smaller").alias("smaller")).where("larger + smaller > 1").isEmpty()

@@ -177,25 +177,24 @@ def linked(docs: DataFrame, id_column: str, text: str, num: int, den: int) -> tu
     linkable = sigs.where("n_shingles > 0")
     # v, the vertex, is half of a class's hash: among vertices with links, two alike are not to be expected.
     lead = F.struct(F.col("id").isNull().alias("z"), "id", "row")
-    classes = save(linkable.groupBy("set_a", "set_b").agg(F.min(lead).alias("lead"), F.min("row").alias("row"), F.count(F.lit(1)).alias("copies")).withColumn("v", F.col("set_a")), "classes")
-    heads = save(linkable.select(F.col("set_a").alias("v"), "set_b", "bands", "packed").dropDuplicates(["v", "set_b"]).drop("set_b"), "heads")
-    row = classes.select("v", "row")
+    classes = save(linkable.groupBy("set_a", "set_b").agg(F.min(lead).alias("lead"), F.count(F.lit(1)).alias("copies")).withColumn("v", F.col("set_a")), "classes")
+    # row: any text of the class, since all of them have the same shingles.
+    heads = save(linkable.select(F.col("set_a").alias("v"), "set_b", "row", "bands", "packed").dropDuplicates(["v", "set_b"]).drop("set_b"), "heads")
     banded = heads.select("v", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = save(banded.join(shared, "key"), "buckets")
     # A bucket's lead is the class that meets most others in all of its buckets: of copies of one text most likely that text.
     meets = buckets.groupBy("v").agg(F.sum("n").alias("meets"))
     leads = buckets.join(meets, "v").groupBy("key").agg(F.max(F.struct("meets", "v")).alias("lead")).select("key", F.col("lead.v").alias("lead"))
-    packed = heads.select("v", "packed")
+    side = lambda x: heads.select(F.col("v").alias(x), F.col("row").alias(f"r{x}"), F.col("packed").alias(f"p{x}"))
     floor = num / den - SLACK
 
     def likely(pairs: DataFrame) -> DataFrame:
         """One pair for each a at most: of the ``LEADS`` b with most buckets in common the likeliest, if near the threshold or above."""
         order = W.partitionBy("a").orderBy(F.desc("n"), F.xxhash64("a", "b"))
         few = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= LEADS).drop("n", "r")
-        p = few.join(packed.select(F.col("v").alias("a"), F.col("packed").alias("pa")), "a").join(packed.select(F.col("v").alias("b"), F.col("packed").alias("pb")), "b")
-        p = p.select("a", "b", estimate(F.col("pa"), F.col("pb")).alias("e")).where(F.col("e") >= floor)
-        return p.groupBy("a").agg(F.max_by("b", F.struct("e", "b")).alias("b"))
+        p = few.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", estimate(F.col("pa"), F.col("pb")).alias("e")).where(F.col("e") >= floor)
+        return p.groupBy("a").agg(F.max(F.struct("e", "b", "ra", "rb")).alias("best")).select("a", "best.b", "best.ra", "best.rb")
 
     links = tested = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "id long, component long")
@@ -214,20 +213,20 @@ def linked(docs: DataFrame, id_column: str, text: str, num: int, den: int) -> tu
                 # The estimate stands in the join's condition: pairs that it rules out are never made into rows.
                 # So does the first key they share, before it: each pair is estimated and made once.
                 placed = placed.join(heads, "v")
-                x = placed.select(F.col("key").alias("kx"), F.col("v").alias("a"), F.col("component").alias("ca"), F.col("packed").alias("pa"), F.col("bands").alias("ba"))
-                y = placed.select(F.col("key").alias("ky"), F.col("v").alias("b"), F.col("component").alias("cb"), F.col("packed").alias("pb"), F.col("bands").alias("bb"))
+                x = placed.select(F.col("key").alias("kx"), F.col("v").alias("a"), F.col("component").alias("ca"), F.col("row").alias("ra"), F.col("packed").alias("pa"), F.col("bands").alias("ba"))
+                y = placed.select(F.col("key").alias("ky"), F.col("v").alias("b"), F.col("component").alias("cb"), F.col("row").alias("rb"), F.col("packed").alias("pb"), F.col("bands").alias("bb"))
                 once = F.coalesce(*[F.when(F.col("ba")[i] == F.col("bb")[i], F.col("ba")[i]) for i in range(BANDS)]) == F.col("kx")
-                pairs = x.join(y, (F.col("kx") == F.col("ky")) & (F.col("ca") < F.col("cb")) & once & (estimate(F.col("pa"), F.col("pb")) >= floor)).select("a", "b")
+                pairs = x.join(y, (F.col("kx") == F.col("ky")) & (F.col("ca") < F.col("cb")) & once & (estimate(F.col("pa"), F.col("pb")) >= floor)).select("a", "b", "ra", "rb")
         if turn != "first":
             pairs = pairs.join(tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-        pairs = pairs.join(row.select(F.col("v").alias("a"), F.col("row").alias("ra")), "a").join(row.select(F.col("v").alias("b"), F.col("row").alias("rb")), "b")
         pairs = save(pairs, "pairs")
         if rows_of(pairs):
             tested = tested.unionByName(pairs.select("a", "b"))
             found = save(_similar(pairs, texts, num, den), "links")
             if rows_of(found):
                 links = links.unionByName(found)
-                labels = components(links)
+                # What is known goes in as stars: fewer rounds than from all links anew.
+                labels = components(found.unionByName(labels.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))))
     sweep(spark)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     # The component of each class; only classes of several rows or with links need the join.
