@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: Bytes that one broadcast may hold as a hashed relation.
 BROADCAST_BYTES = 48_000_000
@@ -80,6 +81,21 @@ def bounded_broadcast(saved: DataFrame, most: int = BROADCAST_BYTES) -> DataFram
     return F.broadcast(saved) if 4 * stored <= most + (1 << 24) else saved
 
 
+def ranked(df: DataFrame, keys: list[Column], out: str = "rank") -> DataFrame:
+    """With the 0-based rank over all rows, without one task for them: sorted by range and written, then each range's place is added.
+
+    The result knows its rows like a saved table. The sizes of the ranges are one row for each task of the sort.
+    """
+    part, at, before = (free_name(c, df.columns) for c in ("part", "at", "before"))
+    held = save(df.orderBy(*keys).withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()), "sorted")
+    sizes = held.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select(part, F.coalesce(F.sum("n").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    local = F.col(at) - F.shiftleft(F.col(part).cast("long"), 33)
+    ranks = held.join(F.broadcast(starts), part).withColumn(out, F.col(before) + local).drop(part, at, before)
+    ranks._saved = held._saved
+    return ranks
+
+
 def text_key(text: Column) -> Column:
     """16 bytes for a text: rows with equal texts have equal keys, whatever their ids; null stays null."""
     return F.unhex(F.md5(text.cast("binary")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language, lines, media, neardup, packing, quality, sharding, urls, warc
+from . import chat, decontam, language, lines, media, neardup, packing, quality, resample, sharding, urls, warc
 from .common import id_crc, save, table
 
 
@@ -128,5 +128,67 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_sharding, op4_media, op5_quality, op6_fixity, op7_line_dedup, op8_reputation, op9_decontamination, op10_near_dedup)}
-ORACLE_SQL = {"op6_fixity": OP6_SQL}
+#: The turns of conversation -1: control strings inside texts.
+OP12_TURNS = [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one of control strings, formatted, written, read back; null role or text: empty."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.round_trip(turns.unionByName(spark.createDataFrame(OP12_TURNS, "conv_id long, turn long, role string, text string")))
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+f AS (
+  SELECT conv_id, turn, role, text,
+    CASE WHEN regexp_matches(text, '<\\*\|(im_start|im_end|im_line)\|>') THEN len(regexp_extract_all(text, '<\\*\|(im_start|im_end|im_line)\|>')) ELSE 0 END AS hits
+  FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)) + hits) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its weight towards the benchmark's texts, its score and its rank among the drawn 5 %; null text: no features."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: crc32 in SQL: one step of the table's polynomial, eight times, and the table by byte.
+OP13_STEPS = "\n".join(f"s{k + 1} AS (SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END AS c FROM s{k})," for k in range(8))
+OP13_SQL = r"""
+WITH b8 AS (SELECT range AS i FROM range(256)),
+s0 AS (SELECT i, i AS c FROM b8),
+{STEPS}
+tab AS (SELECT list(c ORDER BY i) AS t FROM s8),
+w AS (SELECT row_number() OVER () AS row, doc_id, false AS target, regexp_extract_all({LOWER}, '{WORD}') AS w FROM documents
+  UNION ALL SELECT -row_number() OVER (), NULL, true, regexp_extract_all({LOWER}, '{WORD}') FROM benchmark),
+f AS (
+  SELECT row, target, unnest(w) AS f FROM w
+  UNION ALL SELECT row, target, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+  UNION ALL SELECT row, target, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+c AS (SELECT row, target, f, count(*) AS n FROM f GROUP BY ALL),
+d AS (SELECT DISTINCT f, hex(encode(f)) AS h FROM c),
+k AS (
+  SELECT f, xor(list_reduce(list_transform(range(1, len(h), 2), lambda i: ('0x' || h[i:i + 1])::BIGINT), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM d, tab),
+p AS (SELECT row, target, bucket, sum(n)::BIGINT AS n FROM c JOIN k USING (f) GROUP BY ALL),
+g AS (SELECT bucket, coalesce(sum(n) FILTER (NOT target), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (target), 0)::DOUBLE AS t FROM p GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1) * (SELECT sum(s) + 10000 FROM g) / ((s + 1) * (SELECT sum(t) + 10000 FROM g))))::BIGINT AS gain FROM g),
+x AS (SELECT row, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM p JOIN gain USING (bucket) WHERE NOT target GROUP BY row),
+e AS (
+  SELECT row, doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || sha256('42:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5) / 4294967296)))::BIGINT AS score
+  FROM w LEFT JOIN x USING (row) WHERE NOT target),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= (SELECT 5 * count(*) // 100 FROM e WHERE n_words >= 20) THEN place END AS rank FROM r
+""".replace("{STEPS}", OP13_STEPS).replace("{LOWER}", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')").replace("{WORD}", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_sharding, op4_media, op5_quality, op6_fixity, op7_line_dedup, op8_reputation, op9_decontamination, op10_near_dedup, op12_chat, op13_resampling)}
+ORACLE_SQL = {"op6_fixity": OP6_SQL, "op12_chat": OP12_SQL, "op13_resampling": OP13_SQL}
