@@ -38,8 +38,18 @@ _LOWER[65:91] += 32
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
-POSTINGS = "part int, block long, ids array<long>, features array<long>, words array<long>, data binary"
-_POSTING = np.dtype([("doc", "<u4"), ("bucket", "<u2"), ("count", "<u4")])
+POSTINGS = "part int, block long, ids array<long>, features array<long>, words array<long>, per_bucket binary, docs binary, counts binary"
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as the largest takes, which the first byte says."""
+    most = int(numbers.max(initial=0))
+    size = next(k for k in (1, 2, 4, 8) if most < 1 << (8 * k))
+    return bytes([size]) + numbers.astype(f"<u{size}").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
 @cache
@@ -120,15 +130,15 @@ def postings(rows: DataFrame, buckets: int = BUCKETS, ranges: int = RANGES) -> D
             ids = [None if x is None else int(x) for x in f["id"]]
             for first, part in blocks(list(f["text"])):
                 doc, bucket, words = feature_buckets(part, buckets)
-                key, times = np.unique((bucket << 32) | doc, return_counts=True)
-                data = np.empty(len(key), _POSTING)
-                data["doc"], data["bucket"], data["count"] = key & 0xFFFFFFFF, key >> 32, times
-                edge = np.searchsorted(data["bucket"], np.arange(ranges + 1) * width)
+                key, times = np.unique(bucket * len(part) + doc, return_counts=True)
+                bucket, at = np.divmod(key, len(part))
+                edge = np.searchsorted(bucket, np.arange(ranges + 1) * width)
                 filled = [p for p in range(ranges) if edge[p] < edge[p + 1]]
-                held = [ids[first : first + len(part)]] + [None] * len(filled)
-                n = [np.bincount(doc, minlength=len(part)).astype(np.int64)] + [None] * len(filled)
-                packed = [None] + [data[edge[p] : edge[p + 1]].tobytes() for p in filled]
-                yield pd.DataFrame({"part": [-1, *filled], "block": block, "ids": held, "features": n, "words": [words.astype(np.int64)] + [None] * len(filled), "data": packed})
+                cut = lambda a: [None] + [_packed(a[edge[p] : edge[p + 1]]) for p in filled]  # noqa: E731, B023
+                sizes = [None] + [_packed(np.bincount(bucket[edge[p] : edge[p + 1]] - p * width, minlength=width)) for p in filled]
+                blank = [None] * len(filled)
+                n = np.bincount(doc, minlength=len(part)).astype(np.int64)
+                yield pd.DataFrame({"part": [-1, *filled], "block": block, "ids": [ids[first : first + len(part)], *blank], "features": [n, *blank], "words": [words.astype(np.int64), *blank], "per_bucket": sizes, "docs": cut(at), "counts": cut(times)})
                 block += 1
 
     small_batches(rows.sparkSession)
@@ -141,25 +151,27 @@ def _by_range(packed: DataFrame, name: str, salts: int) -> DataFrame:
     return save(packed.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts))).repartition(tasks, "part", "salt"), name)
 
 
-def bucket_sums(packed: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def bucket_sums(packed: DataFrame, buckets: int = BUCKETS, ranges: int = RANGES) -> DataFrame:
     """(bucket, n): occurrences, summed where the postings lie before sums of salts meet."""
+    width = -(-buckets // ranges)
 
     def add(frames):
-        held = np.zeros(buckets, np.int64)
+        held = np.zeros(ranges * width, np.int64)
         for f in frames:
-            for data in f["data"]:
-                a = np.frombuffer(data, _POSTING)
-                held += np.bincount(a["bucket"], weights=a["count"], minlength=buckets).astype(np.int64)
+            for part, sizes, counts in zip(f["part"], f["per_bucket"], f["counts"], strict=True):
+                upto = np.concatenate(([0], np.cumsum(_unpacked(counts))))
+                edge = np.concatenate(([0], np.cumsum(_unpacked(sizes))))
+                held[part * width : (part + 1) * width] += np.diff(upto[edge])
         on = np.flatnonzero(held)
         yield pd.DataFrame({"bucket": on, "n": held[on]})
 
-    return packed.where("part >= 0").select("data").mapInPandas(tidy(add), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return packed.where("part >= 0").select("part", "per_bucket", "counts").mapInPandas(tidy(add), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def bucket_gains(source: DataFrame, target: DataFrame, buckets: int = BUCKETS, ranges: int = RANGES) -> DataFrame:
     """(part, gains): the buckets of both corpora co-grouped; gains of a range in order of its buckets."""
     width = -(-buckets // ranges)
-    both = bucket_sums(source, buckets).select("bucket", F.col("n").alias("s"), F.lit(0).alias("t")).unionByName(bucket_sums(target, buckets).select("bucket", F.lit(0).alias("s"), F.col("n").alias("t")))
+    both = bucket_sums(source, buckets, ranges).select("bucket", F.col("n").alias("s"), F.lit(0).alias("t")).unionByName(bucket_sums(target, buckets, ranges).select("bucket", F.lit(0).alias("s"), F.col("n").alias("t")))
     each = save(source.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).alias("s"), F.lit(0).alias("t")).unionByName(both).groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")), "bucket-sums", 8)
     all_ = each.agg((F.sum("s") + float(buckets)).alias("all_s"), (F.sum("t") + float(buckets)).alias("all_t"))
     gain = F.floor(1000 * F.log((F.col("t") + 1.0) * F.col("all_s") / ((F.col("s") + 1.0) * F.col("all_t"))))
@@ -167,21 +179,20 @@ def bucket_gains(source: DataFrame, target: DataFrame, buckets: int = BUCKETS, r
     return gains.groupBy("part").agg(F.transform(F.array_sort(F.collect_list("g")), lambda g: g["gain"]).alias("gains"))  # width numbers a range
 
 
-def contributions(source: DataFrame, gains: DataFrame, buckets: int = BUCKETS, ranges: int = RANGES) -> DataFrame:
+def contributions(source: DataFrame, gains: DataFrame) -> DataFrame:
     """(block, at, weight): what each range of buckets gives to each document of a block."""
-    width = -(-buckets // ranges)
 
     def emit(frames):
         for f in frames:
-            for part, block, data, gain in zip(f["part"], f["block"], f["data"], f["gains"], strict=True):
-                a, g = np.frombuffer(data, _POSTING), np.asarray(gain, np.int64)
-                worth = g[a["bucket"].astype(np.int64) - part * width] * a["count"].astype(np.int64)
-                order = np.argsort(a["doc"], kind="stable")
-                doc = a["doc"][order]
+            for block, sizes, docs, counts, gain in zip(f["block"], f["per_bucket"], f["docs"], f["counts"], f["gains"], strict=True):
+                sizes, doc, gain = _unpacked(sizes), _unpacked(docs), np.asarray(gain, np.int64)
+                worth = np.repeat(gain, sizes[: len(gain)]) * _unpacked(counts)
+                order = np.argsort(doc, kind="stable")
+                doc = doc[order]
                 first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
                 yield pd.DataFrame({"block": block, "at": doc[first].astype(np.int32), "weight": np.add.reduceat(worth[order], first)})
 
-    joined = source.where("part >= 0").select("part", "block", "data").join(F.broadcast(gains), "part")  # one number for each bucket
+    joined = source.where("part >= 0").select("part", "block", "per_bucket", "docs", "counts").join(F.broadcast(gains), "part").drop("part")  # one number for each bucket
     return joined.mapInPandas(tidy(emit), "block long, at int, weight long")
 
 
@@ -197,7 +208,7 @@ def weigh(docs: DataFrame, target: DataFrame, id_column: str = "doc_id", text: s
     wanted = _by_range(postings(target.select(F.lit(None).cast("long").alias("id"), F.col(target_text).alias("text")), buckets, ranges), "target-postings", SALTS)
     gains = bucket_gains(source, wanted, buckets, ranges)
     own = source.where("part < 0").select("block", F.posexplode(F.arrays_zip("ids", "features", "words")).alias("at", "d")).select("block", "at", F.lit(0).cast("long").alias("weight"), F.col("d.ids").alias("id"), F.col("d.features").alias("n_features"), F.col("d.words").alias("n_words"))
-    rows = own.unionByName(contributions(source, gains, buckets, ranges), allowMissingColumns=True)
+    rows = own.unionByName(contributions(source, gains), allowMissingColumns=True)
     return rows.groupBy("block", "at").agg(F.max("id").alias("id"), F.max("n_features").alias("n_features"), F.max("n_words").alias("n_words"), F.sum("weight").alias("weight"))
 
 
