@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, language, lines, media, neardup, packing, quality, resample, sharding, urls, warc
+from . import align, chat, decontam, language, lines, media, neardup, packing, quality, resample, sharding, urls, warc
 from .common import id_crc, save, table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +128,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens of two tokenizers in aligned groups, with how its links rank in the corpus; null text: zeros."""
+    return align.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 #: The turns of conversation -1: control strings inside texts.
 OP12_TURNS = [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
 
@@ -190,5 +195,5 @@ r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DES
 SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= (SELECT 5 * count(*) // 100 FROM e WHERE n_words >= 20) THEN place END AS rank FROM r
 """.replace("{STEPS}", OP13_STEPS).replace("{LOWER}", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')").replace("{WORD}", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_sharding, op4_media, op5_quality, op6_fixity, op7_line_dedup, op8_reputation, op9_decontamination, op10_near_dedup, op12_chat, op13_resampling)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_sharding, op4_media, op5_quality, op6_fixity, op7_line_dedup, op8_reputation, op9_decontamination, op10_near_dedup, op11_alignment, op12_chat, op13_resampling)}
 ORACLE_SQL = {"op6_fixity": OP6_SQL, "op12_chat": OP12_SQL, "op13_resampling": OP13_SQL}
