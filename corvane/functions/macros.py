@@ -86,23 +86,6 @@ def upper_median(values: Column) -> Column:
     return F.element_at(F.array_sort(values), F.floor(F.size(values) / 2).cast("int") + 1)
 
 
-def gini(df: DataFrame, group: list[str], value: str, mode: str = "standard") -> DataFrame:
-    """Gini coefficient per group, in [0, 1]; mode "reference": the sign-reversed form, which clamps to 0."""
-    w = W.partitionBy(*group)
-    ranked = df.withColumn("__i", F.row_number().over(w.orderBy(value)))
-    n, total = F.count(F.lit(1)), F.sum(value).cast("double")
-    weighted = F.sum(F.col("__i") * F.col(value)).cast("double")
-    standard = 2 * weighted / (n * total) - (n + 1) / n
-    form = standard if mode == "standard" else -standard
-    return ranked.groupBy(*group).agg(F.when(total > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), form))).otherwise(0.0).alias("gini"))
-
-
-def h_index(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Largest h with h values of at least h."""
-    rn = F.row_number().over(W.partitionBy(*group).orderBy(F.desc(value)))
-    return df.withColumn("__rn", rn).groupBy(*group).agg(F.count_if(F.col(value) >= F.col("__rn")).alias("h_index"))
-
-
 def bucket(value: Column, bounds: list[tuple[float, str]], rest: str) -> Column:
     """Label of the first bound that the value does not exceed."""
     out = F.lit(rest)

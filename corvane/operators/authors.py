@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.macros import explode_pairs, h_index, ordinal, slope, top, top_per
+from ..functions.macros import explode_pairs, ordinal, slope, top, top_per
+from ..functions.ranks import h_index
 
 
 def authorships(papers: DataFrame, array: str = "author_list") -> DataFrame:

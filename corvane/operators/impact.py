@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.macros import bucket, cut, lift, upper_median
+from ..functions.ranks import at, percentile, runs
 
 def cites() -> Column:
     return F.coalesce(F.col("citations"), F.lit(0)).cast("double")
@@ -51,16 +52,13 @@ def group_success(papers: DataFrame, key: str | Column, least: int = 10, name: s
     """Mean, maximum, upper median and top-tenth threshold of the citations of each group."""
     k = F.col(key) if isinstance(key, str) else key
     rows = papers.select(k.alias(name), cites().alias("y")).where(F.col(name).isNotNull())
-    ranked = rows.withColumn("rn", F.row_number().over(W.partitionBy(name).orderBy("y")) - 1).withColumn("n", F.count(F.lit(1)).over(W.partitionBy(name)))
-    pick = lambda i: F.max(F.when(F.col("rn") == i, F.col("y")))
-    out = ranged_pick(ranked, name, pick)
+    out = runs(rows, [name], "y").groupBy(name).agg(
+        F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("y")) / F.sum("n"), 4).alias("avg_citations"), F.max("y").alias("max_citations"),
+        at(F.floor(F.col("size") / 2), "y").alias("median_citations"), at(F.col("size") - 1 - F.floor(F.col("size") / 10), "y").alias("top10_threshold"),
+    )
     return out.where(F.col("n") >= least)
 
 
-def ranged_pick(ranked: DataFrame, name: str, pick) -> DataFrame:
-    return ranked.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 4).alias("avg_citations"), F.max("y").alias("max_citations"), pick(F.floor(F.col("n") / 2)).alias("median_citations"), pick(F.col("n") - 1 - F.floor(F.col("n") / 10)).alias("top10_threshold"))
-
-
 def item_success(papers: DataFrame, items: str = "methods", least: int = 10) -> DataFrame:
     rows = papers.select(F.explode(F.array_distinct(items)).alias("item"), cites().alias("y"))
     return rows.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 4).alias("avg_citations"), F.max("y").alias("max_citations")).where(F.col("n") >= least)
@@ -69,7 +67,7 @@ def item_success(papers: DataFrame, items: str = "methods", least: int = 10) ->
 def buckets(papers: DataFrame, value: Column, bounds: list[tuple[float, str]], rest: str) -> DataFrame:
     """Papers and mean, median citations by bucket of a value."""
     rows = papers.select(bucket(value, bounds, rest).alias("bucket"), cites().alias("y"))
-    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 4).alias("avg_citations"), F.median("y").alias("median_citations"))
+    return runs(rows, ["bucket"], "y").groupBy("bucket").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("y")) / F.sum("n"), 4).alias("avg_citations"), percentile("y", 0.5).alias("median_citations"))
 
 
 def simple_impact(papers: DataFrame, features: dict[str, Column], more_than: int = 10) -> DataFrame:

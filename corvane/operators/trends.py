@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.macros import early, gini, ordinal, r2, ratio, recent, slope, top
+from ..functions.macros import early, ordinal, r2, ratio, recent, slope, top
+from ..functions.ranks import gini
 
 
 def direction(s: Column, fit: Column, eps: float = 0.1, min_r2: float = 0.2) -> Column:

@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.macros import top, top_per
-
-#: Bytes of vectors that one broadcast holds; larger tables are compared with one broadcast after the other.
-CHUNK_BYTES = 64_000_000
-#: Rows of either side that are multiplied at once.
-BLOCK_ROWS = 1_024
+from ..functions.macros import cut, top, top_per
+from ..functions.ranks import percentile, runs
+from .neighbours import neighbours
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -38,128 +30,31 @@ def similar(vectors: DataFrame, query: list[float], n: int = 10, exclude=None, i
     return top(rows.select(id_column, F.round(cosine(F.col(vector), q), 6).alias("similarity")), n, F.desc("similarity"), F.asc(id_column))
 
 
-def _by_length(vectors) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Places and unit vectors by length; those without a direction (null, zero, not finite) stand under -1."""
-    places, rows = defaultdict(list), defaultdict(list)
-    for i, v in enumerate(vectors):
-        v = np.zeros(0) if v is None else np.asarray(v, dtype="float64")
-        n = np.sqrt(v @ v)
-        length = len(v) if n > 0 and np.isfinite(n) else -1
-        places[length].append(i)
-        rows[length].append(v / n if length >= 0 else v[:0])
-    return {k: (np.array(places[k]), np.array(rows[k]).reshape(len(places[k]), max(k, 0))) for k in places}
-
-
-def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        for length, (at, m) in _by_length(f["v"]).items():
-            yield pd.DataFrame({"length": [length], "ids": [f["id"].to_numpy()[at]], "m": [m.tobytes()]})
-
-
-def _chunks(packed: DataFrame) -> Iterator[dict]:
-    """Packed vectors by length, ids ascending, about CHUNK_BYTES at once."""
-
-    def sorted_by_id(parts: dict) -> dict:
-        out = {}
-        for length, held in parts.items():
-            ids = [x for i, _ in held for x in i]
-            order = sorted(range(len(ids)), key=ids.__getitem__)
-            m = np.frombuffer(b"".join(m for _, m in held)).reshape(len(ids), max(length, 0))
-            out[length] = ([ids[i] for i in order], m[order])
-        return out
-
-    parts, size = defaultdict(list), 0
-    for r in packed.toLocalIterator():
-        parts[r["length"]].append((r["ids"], bytes(r["m"])))
-        size += len(r["m"]) + 16 * len(r["ids"])
-        if size >= CHUNK_BYTES:
-            yield sorted_by_id(parts)
-            parts, size = defaultdict(list), 0
-    if parts:
-        yield sorted_by_id(parts)
-
-
-def _nearest(ids, q: np.ndarray, others: list, base: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Similarity (rounded to 12 digits) and place of the k most similar with another id; place -1 where there are fewer."""
-    at = defaultdict(list)
-    for j, x in enumerate(others):
-        at[x].append(j)
-    own = [(r, j) for r, x in enumerate(ids) for j in at.get(x, ())]
-    own_row, own_at = np.array(own, dtype="int64").reshape(-1, 2).T
-    best, place = np.full((len(q), k), -np.inf), np.full((len(q), k), -1)
-    for start in range(0, len(base), BLOCK_ROWS):
-        near = q @ base[start : start + BLOCK_ROWS].T
-        here = (own_at >= start) & (own_at < start + BLOCK_ROWS)
-        near[own_row[here], own_at[here] - start] = -np.inf
-        # Places ascend, so what only equals the k-th so far comes after it.
-        least = best[:, -1:] + 4e-13
-        if start == 0 and near.shape[1] > k:
-            least = np.partition(near, -k, axis=1)[:, [-k]] - 1e-9
-        row, col = np.nonzero((near >= least) & (near > -np.inf))
-        if not len(row):
-            continue
-        held_row, held_col = np.nonzero(place >= 0)
-        rows = np.concatenate([held_row, row])
-        sims = np.concatenate([best[held_row, held_col], np.round(near[row, col], 12)])
-        places = np.concatenate([place[held_row, held_col], col + start])
-        order = np.lexsort((places, -sims, rows))
-        rows, sims, places = rows[order], sims[order], places[order]
-        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        keep = rank < k
-        best[rows[keep], rank[keep]], place[rows[keep], rank[keep]] = sims[keep], places[keep]
-    return best, place
-
-
-def neighbours(vectors: DataFrame, k: int = 10, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, other, distance): the k nearest of each by cosine distance, exact at every size; equal distances by id.
-
-    All rows are multiplied block by block with a running top k. A pair without a distance (a zero or null vector, or
-    other lengths) comes last, with a null. Rows without an id are left out.
-    """
-    rows = vectors.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    spark, kind = rows.sparkSession, rows.schema["id"].dataType.simpleString()
-    tasks = max(spark.sparkContext.defaultParallelism, rows.count() // 2_000)
-    queries = rows.repartition(tasks)
-    schema = f"id {kind}, other {kind}, distance double"
-
-    def against(chunk):
-        def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            base = chunk.value
-            for f in frames:
-                for length, (at, m) in _by_length(f["v"]).items():
-                    same, matrix = base.get(length, ([], None)) if length >= 0 else ([], None)
-                    rest = sorted(x for n, (ids, _) in base.items() if length < 0 or n != length for x in ids)
-                    for start in range(0, len(at), BLOCK_ROWS):
-                        ids = f["id"].to_numpy()[at[start : start + BLOCK_ROWS]].tolist()
-                        out = []
-                        if same:
-                            sims, places = _nearest(ids, m[start : start + BLOCK_ROWS], same, matrix, k)
-                            out = [(ids[r], same[places[r, c]], 1 - sims[r, c]) for r, c in zip(*np.nonzero(places >= 0), strict=True)]
-                        if rest:
-                            found = defaultdict(int)
-                            for x in out:
-                                found[x[0]] += 1
-                            for x in ids:
-                                more = [y for y in rest[: k + rest.count(x)] if y != x] if found[x] < k else []
-                                out += [(x, y, None) for y in more[: k - found[x]]]
-                        if out:
-                            yield pd.DataFrame({"id": [x[0] for x in out], "other": [x[1] for x in out], "distance": pd.Series([x[2] for x in out], dtype="object")})
-
-        return work
-
-    packed = rows.mapInPandas(_packed, f"length int, ids array<{kind}>, m binary")
-    pairs = spark.createDataFrame([], schema)
-    for n, chunk in enumerate(_chunks(packed)):
-        found = queries.mapInPandas(against(spark.sparkContext.broadcast(chunk)), schema)
-        pairs = found if n == 0 else pairs.unionByName(found)
-    return pairs.withColumn("rn", F.row_number().over(W.partitionBy("id").orderBy(F.asc_nulls_last("distance"), "other"))).where(F.col("rn") <= k).drop("rn")
-
-
 def isolation(vectors: DataFrame, k: int = 10, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Mean distance to the k nearest."""
     return neighbours(vectors, k, id_column, vector).groupBy(F.col("id").alias(id_column)).agg(F.round(F.avg("distance"), 4).alias("isolation"))
 
 
+def embedding_gaps(vectors: DataFrame, k: int = 10, share: float = 0.25, least: int = 10, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Sparse regions and boundaries: of each row with neighbours the mean and variance of its distances to the k nearest, its isolation
+    between 0 and 1, and whether it is in the most isolated ``share`` or has a variance in the upper quarter. Fewer than ``least`` rows: none.
+
+    The thresholds are percentiles with linear interpolation, found by rank over ranges of values. Rows without a direction have no distance and are left out.
+    """
+    own = neighbours(vectors, k, id_column, vector).groupBy(F.col("id").alias(id_column)).agg(F.avg("distance").alias("avg_distance"), F.var_pop("distance").alias("variance"))
+    own = cut(own.where(F.col("avg_distance").isNotNull()))
+    place = lambda value, at: runs(own.select(F.lit(1).alias("all"), value), ["all"], value).agg(percentile(value, at).alias(f"{value}_limit"))
+    one = own.agg(F.count(F.lit(1)).alias("n"), F.min("avg_distance").alias("lo"), F.max("avg_distance").alias("hi")).crossJoin(place("avg_distance", 1 - share)).crossJoin(place("variance", 0.75))  # one row each
+    rows = own.crossJoin(F.broadcast(one)).where(F.col("n") >= least)
+    isolation = F.when(F.col("hi") > F.col("lo"), (F.col("avg_distance") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+    return rows.select(id_column, "avg_distance", isolation.alias("isolation"), (1 - isolation).alias("density"), "variance", (F.col("avg_distance") >= F.col("avg_distance_limit")).alias("sparse"), (F.col("variance") >= F.col("variance_limit")).alias("boundary"))
+
+
+def coverage(gaps: DataFrame) -> DataFrame:
+    """One row over the gaps: how many, how many are sparse and at boundaries, and one less the mean isolation (1 if there are none)."""
+    return gaps.agg(F.count(F.lit(1)).alias("n"), F.count_if("sparse").alias("sparse"), F.count_if("boundary").alias("boundary"), F.round(1 - F.coalesce(F.avg("isolation"), F.lit(0.0)), 6).alias("coverage"))
+
+
 def cluster_shift(rows: DataFrame, cluster: str = "label", order: str = "vec_id", share: float = 0.75, up: float = 1.5, down: float = 0.7) -> DataFrame:
     """Clusters whose rate changed between the first part (by time) and the rest."""
     from .impact import global_rank

@@ -743,6 +743,22 @@ def knn_isolation(spark, d):
     return vectors.isolation(read(spark, d, "embeddings"))
 
 
+_GAPS = "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT x.vec_id, 1 - (" + _COS.format(a="x.e", b="y.e") + """) AS dist, y.vec_id AS o FROM v x JOIN v y ON x.vec_id <> y.vec_id),
+r AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, o) <= 10), a AS (SELECT vec_id, avg(dist) AS d, var_pop(dist) AS v FROM r GROUP BY vec_id),
+g AS (SELECT vec_id, d, v, (d - min(d) OVER ()) / (max(d) OVER () - min(d) OVER ()) AS i, d >= quantile_cont(d, 0.75) OVER () AS sparse, v >= quantile_cont(v, 0.75) OVER () AS boundary FROM a)"""
+
+
+@query(_GAPS + " SELECT vec_id, round(d, 6) AS avg_distance, round(i, 6) AS isolation, round(1 - i, 6) AS density, round(v, 8) AS variance, sparse, boundary FROM g")
+def embedding_gaps(spark, d):
+    g = vectors.embedding_gaps(read(spark, d, "embeddings"))
+    return g.select("vec_id", *[F.round(c, 6).alias(c) for c in ("avg_distance", "isolation", "density")], F.round("variance", 8).alias("variance"), "sparse", "boundary")
+
+
+@query(_GAPS + " SELECT count(*) AS n, count(*) FILTER (sparse) AS sparse, count(*) FILTER (boundary) AS boundary, round(1 - avg(i), 6) AS coverage FROM g")
+def embedding_coverage(spark, d):
+    return vectors.coverage(vectors.embedding_gaps(read(spark, d, "embeddings")))
+
+
 @query("""WITH r AS (SELECT label AS cluster, row_number() OVER (ORDER BY vec_id) - 1 AS k, count(*) OVER () AS n FROM embeddings), c AS (SELECT cluster, count(*) FILTER (WHERE k < floor(n * 0.75)) AS early, count(*) FILTER (WHERE k >= floor(n * 0.75)) AS late, any_value(n) AS n FROM r GROUP BY cluster),
 q AS (SELECT *, (late / CAST(n - floor(n * 0.75) AS DOUBLE)) / nullif(early / CAST(floor(n * 0.75) AS DOUBLE), 0) AS ratio FROM c) SELECT cluster, early, late, round(ratio, 4) AS ratio, CASE WHEN early = 0 THEN 'new' WHEN ratio > 1.5 THEN 'emerging' WHEN ratio < 0.7 THEN 'declining' ELSE 'stable' END AS state FROM q""")
 def emerging_clusters(spark, d):

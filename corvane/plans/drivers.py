@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.macros import cut
 from ..operators import authors, benchmarks, fulltext, gaps, graph, impact, stats, text, trajectories, trends, vectors
 from ..sources import sinks
 
@@ -114,11 +115,11 @@ def vector_tables(rows: DataFrame, titles: DataFrame | None = None, k: int = 20,
     found = vectors.kmeans(rows, k)
     label = "cluster" if "cluster" in found.columns else found.columns[-1]
     labelled = rows.drop("label").join(found.select("vec_id", F.col(label).alias("label")), "vec_id")
-    alone = vectors.isolation(rows, near)
-    out = {"clusters": labelled.select("vec_id", "label"), "silhouette": vectors.silhouette(labelled), "isolation": alone, "landscape": vectors.landscape(rows)}
+    gaps = cut(vectors.embedding_gaps(rows, near))
+    out = {"clusters": labelled.select("vec_id", "label"), "silhouette": vectors.silhouette(labelled), "gaps": gaps, "coverage": vectors.coverage(gaps), "landscape": vectors.landscape(rows)}
     if titles is not None:
         named = labelled.select("vec_id", "label").join(titles, "vec_id")
-        far = alone.orderBy(F.desc(alone.columns[1]), F.asc("vec_id")).limit(20).join(titles, "vec_id")
+        far = gaps.where("sparse").orderBy(F.desc("isolation"), F.asc("vec_id")).limit(20).join(titles, "vec_id")
         out |= {"labels": vectors.title_words(named, "label", "title", 3, 3), "gap_topics": vectors.title_words(far, None, "title", 4, 10)}
     return out
 
@@ -133,6 +134,7 @@ class Corpus:
     history: DataFrame | None = None
     sota: DataFrame | None = None
     texts: DataFrame | None = None
+    embeddings: DataFrame | None = None
     items: str = "methods"
 
     def tables(self, parts: set[str] | None = None) -> dict[str, Table]:
@@ -152,6 +154,9 @@ class Corpus:
             have["benchmarks"] = lambda: benchmark_tables(self.sota, f"{self.now - 1}-01-01")
         if self.texts is not None:
             have["fulltext"] = lambda: fulltext_tables(self.texts)
+        if self.embeddings is not None:
+            titles = p.select(F.col("arxiv_id").alias("vec_id"), "title") if "title" in p.columns else None
+            have["vectors"] = lambda: vector_tables(self.embeddings, titles)
         return {f"{part}/{name}": t for part, make in have.items() if parts is None or part in parts for name, t in make().items()}
 
     def analyze(self, folder: str, only: list[str] | None = None) -> list[str]:

@@ -7,20 +7,20 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corvane.functions import lexicon, macros
-from corvane.operators import fulltext, graph, text, vectors
+from corvane.operators import fulltext, graph, neighbours, text, vectors
 from corvane.sources import readers, service, sinks
 
 
 def test_gini(spark):
     df = spark.createDataFrame([("a", 0), ("a", 0), ("a", 0), ("a", 10), ("b", 5), ("b", 5)], "g string, v int")
-    got = {r["g"]: r["gini"] for r in macros.gini(df, ["g"], "v").collect()}
+    got = {r["g"]: r["gini"] for r in ranks.gini(df, ["g"], "v").collect()}
     assert got == {"a": 0.75, "b": 0.0}
-    assert {r["gini"] for r in macros.gini(df, ["g"], "v", "reference").collect()} == {0.0}
+    assert {r["gini"] for r in ranks.gini(df, ["g"], "v", "reference").collect()} == {0.0}
 
 
 def test_h_index_and_constant_fit(spark):
     df = spark.createDataFrame([("a", v) for v in (10, 8, 5, 4, 3)], "g string, v int")
-    assert macros.h_index(df, ["g"], "v").first()["h_index"] == 4
+    assert ranks.h_index(df, ["g"], "v").first()["h_index"] == 4
     flat = spark.createDataFrame([("a", i, 3) for i in range(4)], "g string, x int, y int")
     assert flat.groupBy("g").agg(macros.r2("y").alias("r")).first()["r"] == 0
 
