@@ -27,11 +27,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def explode_pairs(df: DataFrame, array: str, a: str = "a", b: str = "b", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Unordered pairs of distinct elements of a row's array, a < b, made inside the row before any shuffle."""
+#: Elements of a list whose pairs one task makes by themselves; longer lists are cut into blocks of so many.
+LIST_BLOCK = 256
+
+
+def explode_pairs(df: DataFrame, array: str, a: str = "a", b: str = "b", keep: tuple[str, ...] = (), block: int = LIST_BLOCK) -> DataFrame:
+    """Unordered pairs of distinct elements of a row's array, a < b.
+
+    Lists of at most ``block`` elements give their pairs where they lie, before any shuffle. Longer ones are cut into blocks, and
+    pairs of blocks, each with at most block squared pairs, are dealt over tasks; only these short lists move.
+    """
     own = df.select(*keep, F.array_sort(F.array_distinct(F.filter(array, lambda x: x.isNotNull()))).alias("__arr"))
-    first = own.select(*keep, "__arr", F.posexplode("__arr").alias("__i", a))
-    return first.select(*keep, a, F.explode(F.expr("slice(__arr, __i + 2, size(__arr))")).alias(b))
+    first = own.where(F.size("__arr") <= block).select(*keep, "__arr", F.posexplode("__arr").alias("__i", a))
+    short = first.select(*keep, a, F.explode(F.expr("slice(__arr, __i + 2, size(__arr))")).alias(b))
+    cut_ = own.where(F.size("__arr") > block).select(*keep, "__arr", F.explode(F.sequence(F.lit(0), F.floor((F.size("__arr") - 1) / block).cast("int"))).alias("__x"))
+    cut_ = cut_.select("*", F.explode(F.sequence(F.col("__x"), F.floor((F.size("__arr") - 1) / block).cast("int"))).alias("__y"))
+    part = lambda i: F.slice("__arr", F.col(i) * block + 1, F.lit(block))
+    dealt = cut_.select(*keep, "__x", "__y", part("__x").alias("__left"), part("__y").alias("__right"))
+    # A given number of tasks: blocks are small before their pairs are made, so adaptive execution would put them together.
+    dealt = dealt.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), F.xxhash64("__left", "__right", "__x", "__y"))
+    first = dealt.select(*keep, "__x", "__y", "__right", F.posexplode("__left").alias("__i", a))
+    rest = F.when(F.col("__x") == F.col("__y"), F.expr("slice(__right, __i + 2, size(__right))")).otherwise(F.col("__right"))
+    return short.unionByName(first.select(*keep, a, F.explode(rest).alias(b)))
 
 
 def top(df: DataFrame, n: int, *keys: Column) -> DataFrame:

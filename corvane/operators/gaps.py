@@ -26,10 +26,37 @@ def prefixes(papers: DataFrame, array: str = "category_list", separator: str = "
     return papers.withColumn(out, F.array_distinct(F.transform(array, lambda x: F.substring_index(x, separator, 1))))
 
 
+#: Items, and categories, that meet in one task for one pair of cells.
+CELL_ROWS = 1_024
+
+
+def admissible(item: DataFrame, cat: DataFrame, total: DataFrame, min_expected: float) -> DataFrame:
+    """Pairs of (item, item_total) and (cat, cat_total) with item_total * cat_total > min_expected * total, total being one row.
+
+    A range join on a product: categories lie in cells by the power of two of their total; an item looks only into cells that can
+    reach the bound, so at most half of the pairs made in its lowest cell are in vain, and all others are wanted. An item of a
+    total x has at most x / min_expected partners, as no more categories are that large: the pairs follow the rows, not the product
+    of the vocabularies. Full cells are dealt in squares of ``CELL_ROWS``.
+    """
+    power = lambda c: F.floor(F.log2(c.cast("double"))).cast("int")
+    cats = cat.withColumn("cell", power(F.col("cat_total")))
+    cells = cats.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))  # at most 63 rows
+    cells = cells.select("cell", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("cat_parts"))
+    need = F.col("total") * F.lit(float(min_expected)) / F.col("item_total")
+    lowest = F.greatest(F.lit(0), power(F.greatest(need, F.lit(1.0))))
+    asked = item.crossJoin(F.broadcast(total)).select("item", "item_total", "total", F.explode(F.sequence(lowest, F.lit(62))).alias("cell")).join(F.broadcast(cells), "cell")
+    many = F.ceil(F.count(F.lit(1)).cast("double") / CELL_ROWS).cast("int")
+    parts = asked.groupBy("cell").agg(many.alias("item_parts"))  # at most 63 rows
+    asked = asked.join(F.broadcast(parts), "cell").withColumn("item_part", F.pmod(F.xxhash64("item"), "item_parts").cast("int")).withColumn("cat_part", F.explode(F.sequence(F.lit(0), F.col("cat_parts") - 1)))
+    offered = cats.join(F.broadcast(cells), "cell").join(F.broadcast(parts), "cell").withColumn("cat_part", F.pmod(F.xxhash64("cat"), "cat_parts").cast("int")).withColumn("item_part", F.explode(F.sequence(F.lit(0), F.col("item_parts") - 1)))
+    met = asked.select("cell", "item_part", "cat_part", "item", "item_total", "total").join(offered.select("cell", "item_part", "cat_part", "cat", "cat_total"), ["cell", "item_part", "cat_part"])
+    return met.where(F.col("cat_total") * F.col("item_total") / F.col("total") > min_expected).select("item", "item_total", "cat", "cat_total", "total")
+
+
 def domain_gaps(papers: DataFrame, items: str = "methods", key: str = "primary_category", min_item: int = 20, min_key: int = 30, min_expected: float = 3, factor: float = 0.3, n: int = 50) -> DataFrame:
     """Items (methods, data sets) used in a category less than their overall rate promises; unseen pairs count as 0.
 
-    All pairs of frequent items and frequent categories are wanted: two vocabularies, not rows.
+    Only pairs that chance would have meet more than ``min_expected`` times are made.
     """
     rows = papers.where(F.col(key).isNotNull())
     used = rows.select(F.explode(F.array_distinct(items)).alias("item"), F.col(key).alias("cat"))
@@ -37,9 +64,8 @@ def domain_gaps(papers: DataFrame, items: str = "methods", key: str = "primary_c
     item = used.groupBy("item").agg(F.count(F.lit(1)).alias("item_total")).where(F.col("item_total") >= min_item)
     cat = rows.groupBy(F.col(key).alias("cat")).agg(F.count(F.lit(1)).alias("cat_total")).where(F.col("cat_total") >= min_key)
     total = papers.agg(F.count(F.lit(1)).alias("total"))
-    out = item.crossJoin(cat).crossJoin(F.broadcast(total)).join(actual, ["item", "cat"], "left").na.fill(0, ["actual"])
-    out = out.withColumn("e", F.col("cat_total") * F.col("item_total") / F.col("total"))
-    out = out.where((F.col("e") > min_expected) & (F.col("actual") < factor * F.col("e")))
+    out = admissible(item, cat, total, min_expected).join(actual, ["item", "cat"], "left").na.fill(0, ["actual"])
+    out = out.withColumn("e", F.col("cat_total") * F.col("item_total") / F.col("total")).where(F.col("actual") < factor * F.col("e"))
     return top(out.select("item", "cat", "actual", F.round("e", 1).alias("expected"), F.round(F.col("e") - F.col("actual"), 1).alias("gap")), n, F.desc("gap"), F.asc("item"), F.asc("cat"))
 
 

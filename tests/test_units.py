@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from corvane.functions import lexicon, macros
+from corvane.functions import lexicon, macros, ranks
 from corvane.operators import fulltext, graph, neighbours, text, vectors
 from corvane.sources import readers, service, sinks
 
