@@ -11,11 +11,11 @@ def c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder; a folder of its own only where the session has none and all runs in one process."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark) -> str:
+    """The folder of spark.checkpoint.dir; one of its own only where the session has none and all runs in one process."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        found = spark.conf.get("spark.checkpoint.dir", None)
         if not found:
             import re
             import tempfile
@@ -24,9 +24,26 @@ def cut(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             found = tempfile.mkdtemp(prefix="corvane-")
         sc.setCheckpointDir(found)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A table in the shared folder, read back. For loops: a checkpoint keeps the size that the optimizer guessed, and the guess of
+    a join is a product, so that over some rounds it grows beyond what the planner can multiply; a file has its own size.
+    """
+    import uuid
+
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Elements of a list whose pairs one task makes by themselves; longer lists are cut into blocks of so many.
 LIST_BLOCK = 256
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.macros import cut as _cut
-from ..functions.macros import explode_pairs, top
+from ..functions.macros import explode_pairs, top, written
 
 
 def coauthor_edges(papers: DataFrame, least: int = 1, array: str = "author_list") -> DataFrame:
@@ -27,13 +27,13 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): smallest reachable id of each vertex, by neighbour minima and pointer jumping, until none changes."""
-    sym = _cut(both_ways(edges).where("a <> b").distinct())
-    labels = _cut(sym.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).withColumnRenamed("a", "id"))
+    sym = written(both_ways(edges).where("a <> b").distinct())
+    labels = written(sym.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).withColumnRenamed("a", "id"))
     while True:
         near = sym.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
         new = labels.join(near, "id").select("id", F.least("c", "m").alias("c"), F.col("c").alias("old"))
         jump = labels.select(F.col("id").alias("c"), F.col("c").alias("j"))
-        new = _cut(new.join(jump, "c", "left").select("id", F.least("c", F.coalesce("j", "c")).alias("c"), "old"))
+        new = written(new.join(jump, "c", "left").select("id", F.least("c", F.coalesce("j", "c")).alias("c"), "old"))
         labels = new.select("id", "c")
         if new.where("c <> old").isEmpty():
             return labels.withColumnRenamed("c", "component")

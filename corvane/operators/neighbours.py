@@ -59,6 +59,8 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 def fitted(sample: np.ndarray, cells: int, rounds: int = 4) -> np.ndarray:
     """Centres on the unit sphere: a few rounds of means over the sample."""
+    if not len(sample):
+        return np.zeros((cells, sample.shape[1]))
     centres = sample[:cells].copy()
     for _ in range(rounds):
         own = (sample @ centres.T).argmax(axis=1)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import authors, benchmarks, fulltext, gaps, graph, impact, stats, text, trajectories, trends, vectors
+from ..operators import authors, benchmarks, fulltext, gaps, graph, impact, linkage, stats, text, trajectories, trends, vectors
 from ..sources.adapters import HISTORY_SQL, PAPERS_SQL, SOTA_SQL, history, papers, read, sota
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -770,6 +770,17 @@ def kmeans(spark, d):
     return vectors.kmeans(read(spark, d, "embeddings"), 10)
 
 
+@query("WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id WHERE 1 - (" + _COS.format(a="x.e", b="y.e") + ") <= 0.62), c(vec_id, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT p.b, c.r FROM c JOIN p ON p.a = c.vec_id) SELECT vec_id, min(r) AS component FROM c GROUP BY vec_id")
+def single_linkage(spark, d):
+    return linkage.within(read(spark, d, "embeddings"), 0.62)
+
+
+@query()
+def agglomerative_clusters(spark, d):
+    v = read(spark, d, "embeddings")
+    return linkage.centre_distances(v, linkage.clusters(v, 10)).withColumn("distance", F.round("distance", 6))
+
+
 @query()
 def pca_landscape(spark, d):
     return vectors.landscape(read(spark, d, "embeddings"))
