@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import authors, benchmarks, fulltext, gaps, graph, impact, linkage, stats, text, trajectories, trends, vectors
+from ..operators import authors, benchmarks, fulltext, gaps, graph, impact, landscape, linkage, stats, text, trajectories, trends, vectors
 from ..sources.adapters import HISTORY_SQL, PAPERS_SQL, SOTA_SQL, history, papers, read, sota
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -781,6 +781,11 @@ def agglomerative_clusters(spark, d):
     return linkage.centre_distances(v, linkage.clusters(v, 10)).withColumn("distance", F.round("distance", 6))
 
 
+@query()
+def neighbour_landscape(spark, d):
+    return landscape.landscape(read(spark, d, "embeddings"))
+
+
 @query()
 def pca_landscape(spark, d):
     return vectors.landscape(read(spark, d, "embeddings"))
