@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as L
 from ..operators import authors, benchmarks, fulltext, gaps, graph, impact, landscape, linkage, stats, text, trajectories, trends, vectors
 from ..sources.adapters import HISTORY_SQL, PAPERS_SQL, SOTA_SQL, history, papers, read, sota
 
@@ -502,12 +503,55 @@ def structure_stats(spark, d):
     return fulltext.structure(docs).select("arxiv_id", F.col("chars").cast("long").alias("chars"), F.col("lines").cast("long").alias("lines"))
 
 
-@query()
+def _any_sql(patterns) -> str:
+    return "|".join(f"(?:{p})" for p in patterns).replace("'", "''")
+
+
+_HEADER = " ".join(f"WHEN regexp_matches(t, '(?i){_any_sql(ps)}') THEN '{name}'" for name, ps in L.SECTIONS.items())
+_WHITE = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)"
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+h AS (SELECT *, CASE {_HEADER} END AS h FROM (SELECT *, trim(line, {_WHITE}) AS t FROM l)), n AS (SELECT *, count(h) OVER (PARTITION BY doc_id ORDER BY i) AS ord FROM h),
+p AS (SELECT doc_id, ord, coalesce(max(h), 'preamble') AS section, trim(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (h IS NULL), ''), {_WHITE}) AS content FROM n GROUP BY ALL),
+s AS (SELECT doc_id, section, arg_max(content, ord) AS content FROM p WHERE content <> '' GROUP BY ALL) SELECT section, count(*) AS n, round(avg(length(content)), 4) AS avg_chars FROM s GROUP BY section""")
 def sections(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("arxiv_id"), "text")
     return fulltext.section_frequency(fulltext.sections(docs))
 
 
+def _named_sql(named: dict[str, list[str]], out: str) -> str:
+    """Documents for each name: any of its patterns between word borders, as letters of all scripts have them."""
+    edge = lambda p: p.replace(r"\b", r"(?:^|$|[^\p{L}\p{N}_])")
+    rows = " UNION ALL ".join(f"SELECT '{k}' AS {out}, count(*) FILTER (regexp_matches(low, '{edge(_any_sql(ps))}')) AS n FROM d" for k, ps in named.items())
+    return f"WITH d AS (SELECT lower(coalesce(text, '')) AS low FROM documents), r AS ({rows}) SELECT * FROM r"
+
+
+@query(_named_sql({k: [p] for k, p in L.LIMITATION_THEMES.items()}, "theme"))
+def limitation_themes(spark, d):
+    docs = read(spark, d, "documents").select(fulltext.themes(F.col("text")).alias("themes"))
+    return fulltext.theme_counts(docs, names=list(L.LIMITATION_THEMES))
+
+
+@query(_named_sql(L.CONTRIBUTIONS, "theme"))
+def contribution_types(spark, d):
+    docs = read(spark, d, "documents").select(text.contributions(F.col("text")).alias("types"))
+    return fulltext.theme_counts(docs, "types", list(L.CONTRIBUTIONS))
+
+
+@query(rf"""WITH s AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '[.!?]\s+')) AS s FROM documents), c AS (SELECT doc_id, regexp_replace(trim(s, {_WHITE}), '\s+', ' ', 'g') AS s FROM s WHERE length(trim(s, {_WHITE})) >= 20 AND regexp_matches(s, '(?i){_any_sql(L.DIRECTIONS)}'))
+SELECT doc_id AS arxiv_id, CAST(least(count(DISTINCT s), 15) AS INTEGER) AS directions FROM documents LEFT JOIN c USING (doc_id) GROUP BY doc_id""")
+def future_sentences(spark, d):
+    docs = read(spark, d, "documents")
+    return docs.select(F.col("doc_id").alias("arxiv_id"), F.size(fulltext.future_directions(F.col("text"))).alias("directions"))
+
+
+@query()
+def inline_mentions(spark, d):
+    docs = read(spark, d, "documents")
+    return docs.select(F.col("doc_id").alias("arxiv_id"), fulltext.mentions(F.col("text"), L.LIMITATION_MENTIONS).alias("limitations"), fulltext.mentions(F.col("text"), L.FUTURE_MENTIONS, 62, 250).alias("future_work"))
+
+
 # --- co-author and citation graphs ------------------------------------------------------------------------------------
 _EDGES = f"""{P}, r AS (SELECT arxiv_id, unnest(author_list) AS au FROM papers), e AS (SELECT x.au AS a, y.au AS b, count(*) AS w FROM r x JOIN r y ON x.arxiv_id = y.arxiv_id AND x.au < y.au GROUP BY ALL HAVING count(*) >= {{least}}),
 s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), dg AS (SELECT a AS id, count(*) AS degree FROM s GROUP BY a)"""
