@@ -21,9 +21,9 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every document; learned from rows with a text and a language that are not held out. Null text or none with a letter: und, 0."""
+    """Language of every document; learned from rows with a text and a language that are not held out. Null text or none with a letter: und, 0. Null doc_id: held out."""
     docs = table(spark, sf_dir, "documents")
-    held = (id_crc("doc_id") % 4) == 2
+    held = F.coalesce((id_crc("doc_id") % 4) == 2, F.lit(True))
     filters = language.learn(docs.where(~held))
     out = language.predict(docs.withColumn("held_out", held), filters, ["doc_id", "held_out"])
     return out.select("doc_id", "held_out", "lang_pred", "score")
@@ -41,11 +41,11 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score of every document; learned from labels that are not held out. Null text: the bias alone."""
+    """Score of every document; learned from labels that are not held out. Null text: the bias alone. Null doc_id: held out."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
     model = quality.train(docs, labels.where(id_crc("doc_id") % 3 != 1))
-    out = quality.score(docs.withColumn("held_out", (id_crc("doc_id") % 3) == 1), model, ["doc_id", "held_out"])
+    out = quality.score(docs.withColumn("held_out", F.coalesce((id_crc("doc_id") % 3) == 1, F.lit(True))), model, ["doc_id", "held_out"])
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -571,3 +571,13 @@ def test_pipeline_on_awkward_rows(spark):
             assert not [r for r in left if r["text"] == item]
     assert corpus_pipeline.STAGES[-1][1](spark, now, SF).select("doc_id").distinct().count() == now.select("doc_id").distinct().count()
     assert corpus_pipeline.STAGES[-1][1](spark, now.limit(0), SF).count() == 0
+
+
+def test_rows_without_an_id_are_held_out(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "der Hund und die Katze", "de", "s", 1), (None, "the dog and the cat", "en", "s", 1), (1, "the dog and the cat", "en", "s", 1), (2, "der Hund und die Katze", "de", "s", 1)], DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for query in (Q.op2_language_id, Q.op5_quality):
+        rows = query(spark, str(tmp_path)).collect()
+        assert len(rows) == 4 and all(r["held_out"] is True for r in rows if r["doc_id"] is None) and not any(r["held_out"] is None for r in rows)
+    assert Q.op3_sharding(spark, str(tmp_path)).count() == Q.op4_media(spark, str(tmp_path)).count() == 4
