@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.macros import cut
-from ..operators import authors, benchmarks, fulltext, gaps, graph, impact, stats, text, trajectories, trends, vectors
+from ..operators import authors, benchmarks, fulltext, gaps, graph, impact, landscape, linkage, stats, text, trajectories, trends, vectors
 from ..sources import sinks
 
 Table = DataFrame | Callable[[], DataFrame]
@@ -116,7 +116,7 @@ def vector_tables(rows: DataFrame, titles: DataFrame | None = None, k: int = 20,
     label = "cluster" if "cluster" in found.columns else found.columns[-1]
     labelled = rows.drop("label").join(found.select("vec_id", F.col(label).alias("label")), "vec_id")
     gaps = cut(vectors.embedding_gaps(rows, near))
-    out = {"clusters": labelled.select("vec_id", "label"), "silhouette": vectors.silhouette(labelled), "gaps": gaps, "coverage": vectors.coverage(gaps), "landscape": vectors.landscape(rows)}
+    out = {"clusters": labelled.select("vec_id", "label"), "silhouette": vectors.silhouette(labelled), "gaps": gaps, "coverage": vectors.coverage(gaps), "axes": vectors.landscape(rows), "landscape": lambda: landscape.landscape(rows), "linkage": lambda: linkage.centre_distances(rows, linkage.clusters(rows, k))}
     if titles is not None:
         named = labelled.select("vec_id", "label").join(titles, "vec_id")
         far = gaps.where("sparse").orderBy(F.desc("isolation"), F.asc("vec_id")).limit(20).join(titles, "vec_id")

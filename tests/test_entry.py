@@ -21,4 +21,4 @@ def test_queries_without_the_subpackage(tmp_path):
     (repo / "corpus_pipeline.py").unlink(missing_ok=True)
     assert run() == rest
     if whole:
-        assert int(whole[0]) == int(rest[0]) + 11 and whole[1] == "True"
+        assert int(whole[0]) == int(rest[0]) + 14 and whole[1] == "True"
