@@ -17,6 +17,23 @@ def coauthor_edges(papers: DataFrame, least: int = 1, array: str = "author_list"
     return explode_pairs(papers, array).groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")).where(F.col("w") >= least)
 
 
+def strongest(edges: DataFrame, per_vertex: float) -> DataFrame:
+    """The heaviest edges (a, b, w): all from the least weight on that leaves at most per_vertex * vertices edges.
+
+    Where even the heaviest weight has more, all edges of that weight. The weight comes from a histogram, not from a sort.
+    """
+    edges = written(edges)
+    nodes = edges.select("a").union(edges.select("b")).distinct().count()
+    least = most = None
+    total = 0
+    for r in edges.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("w")).toLocalIterator():  # ends at the weight
+        most, total = r["w"] if most is None else most, total + r["n"]
+        if total > per_vertex * nodes:
+            break
+        least = r["w"]
+    return edges.where(F.col("w") >= F.lit(most if least is None else least))
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -182,50 +199,64 @@ def is_acyclic(edges: DataFrame) -> bool:
     return True
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """Cliques of three (a < b < c); each edge leads from the vertex of lower degree, which bounds the wedges."""
+def _upward(edges: DataFrame) -> DataFrame:
+    """(u, v): each edge from its vertex of lower degree (ties: id), so that no vertex has over sqrt(2 m) edges out, hubs least."""
     d = degrees(edges)
     e = edges.select("a", "b").join(d.select(F.col("id").alias("a"), F.col("degree").alias("da")), "a").join(d.select(F.col("id").alias("b"), F.col("degree").alias("db")), "b")
     up = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    o = e.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("v"))
+    return e.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("v"))
+
+
+def _closed(o: DataFrame) -> DataFrame:
+    """(u, v, w): triangles, in the order of the edges (u, v)."""
     wedge = o.join(o.withColumnRenamed("v", "w"), "u").where("v <> w").select("u", "v", "w")
-    closed = wedge.join(o.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"])
+    return wedge.join(o.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"]).select("u", "v", "w")
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """Cliques of three (a < b < c); each edge leads from the vertex of lower degree, which bounds the wedges."""
     s = F.array_sort(F.array("u", "v", "w"))
-    return closed.select(s[0].alias("a"), s[1].alias("b"), s[2].alias("c")).distinct()
+    return _closed(_upward(edges)).select(s[0].alias("a"), s[1].alias("b"), s[2].alias("c")).distinct()
 
 
 def maximal_cliques(edges: DataFrame, least: int = 3, schema: str = "clique array<long>") -> DataFrame:
-    """Maximal cliques: each vertex's later neighbourhood (in order of degree) is searched in a task of its own."""
+    """Maximal cliques of at least ``least`` (three or more) vertices.
+
+    Vertices are ordered by degree. A task holds a vertex's later neighbours and the edges among them, which are its
+    triangles; a hub's many small neighbours come before it and aren't sent. What is maximal there may still have an earlier
+    vertex next to all of it: candidates are those in a triangle with its first two vertices, kept if joined to the rest.
+    """
     import pandas as pd
 
-    d = degrees(edges)
-    sym = both_ways(edges)
-    near = sym.groupBy("a").agg(F.collect_set("b").alias("near"))
-    rows = sym.join(near.select(F.col("a").alias("b"), F.col("near").alias("far")), "b").join(d.select(F.col("id").alias("a"), F.col("degree").alias("da")), "a").join(d.select(F.col("id").alias("b"), F.col("degree").alias("db")), "b")
+    if least < 3:
+        raise ValueError("least must be 3 or more")
+    o = written(_upward(edges).distinct())
+    tri = written(_closed(o))
 
     def search(key, pdf):
-        (v,) = key
-        own = set(pdf["b"])
-        adj = {b: set(far) & own for b, far in zip(pdf["b"], pdf["far"], strict=True)}
-        rank = (pdf["da"].iloc[0], v)
-        later = {b for b, db in zip(pdf["b"], pdf["db"], strict=True) if (db, b) > rank}
-        found, stack = [], [({v}, later, own - later)]
+        first, order = key[0], set(zip(pdf["v"], pdf["w"], strict=True))
+        adj: dict = {}
+        for v, w in order:
+            adj.setdefault(v, set()).add(w)
+            adj.setdefault(w, set()).add(v)
+        found, stack = [], [(set(), set(adj), set())]
         while stack:
             r, p, x = stack.pop()
-            if not p and not x:
-                if len(r) >= least:
-                    found.append([int(u) for u in sorted(r)])
-                continue
-            if not p:
-                continue
-            pivot = max(p | x, key=lambda u: len(adj[u] & p))
-            for u in list(p - adj[pivot]):
-                stack.append((r | {u}, p & adj[u], x & adj[u]))
-                p = p - {u}
-                x = x | {u}
+            if not p and not x and len(r) + 1 >= least:
+                found.append([first, *sorted(r, key=lambda m: sum((k, m) in order for k in r))])
+            elif p:
+                pivot = max(p | x, key=lambda m: len(adj[m] & p))
+                for m in list(p - adj[pivot]):
+                    stack.append((r | {m}, p & adj[m], x & adj[m]))
+                    p = p - {m}
+                    x = x | {m}
         return pd.DataFrame({"clique": pd.Series(found, dtype=object)})
 
-    return rows.select("a", "b", "far", "da", "db").groupBy("a").applyInPandas(search, schema)
+    found = written(tri.groupBy("u").applyInPandas(search, schema))
+    near = found.join(tri.select(F.col("u").alias("x"), "v", "w"), (F.col("clique")[0] == F.col("v")) & (F.col("clique")[1] == F.col("w"))).select("clique", "x")
+    rest = near.select("clique", F.col("x").alias("u"), F.explode(F.expr("slice(clique, 3, size(clique) - 2)")).alias("v"))
+    covered = rest.join(o, ["u", "v"]).groupBy("clique", "u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.size("clique") - 2)
+    return found.join(covered.select("clique").distinct(), "clique", "left_anti").select(F.array_sort("clique").alias("clique"))
 
 
 def betweenness(edges: DataFrame, sources: int | None = None, seed: int = 42) -> DataFrame:
@@ -238,14 +269,34 @@ def directed_betweenness(edges: DataFrame, sources: int | None = None, seed: int
     return paths_through(_cut(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b").distinct()), sources, seed)
 
 
+#: Pairs of source and reached vertex that one batch of sources may hold.
+LIVE_PAIRS = 2_000_000_000
+
+
 def paths_through(sym: DataFrame, sources: int | None, seed: int) -> DataFrame:
     """Share of the shortest paths along steps (a, b) that lead through each vertex, by search from each source (all, or a seeded sample).
 
-    Level by level over tables keyed by source: distances and path counts forwards, dependencies backwards.
+    Level by level over tables keyed by source: distances and path counts forwards, dependencies backwards. Sources go in
+    batches, so that no table holds over about LIVE_PAIRS rows; each batch leaves one row a vertex.
     """
-    nodes = sym.select(F.col("a").alias("id")).union(sym.select("b")).distinct()
+    nodes = _cut(sym.select(F.col("a").alias("id")).union(sym.select("b")).distinct())
     n = nodes.count()
-    src = nodes if sources is None or sources >= n else nodes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sources)
+    asked = n if sources is None else min(sources, n)
+    src = nodes if asked == n else _cut(nodes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(asked))
+    batches = max(1, -(-asked * n // LIVE_PAIRS))
+    total = None
+    for i in range(batches):
+        part = _dependencies(sym, src.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == i) if batches > 1 else src)
+        if part is not None:
+            total = part if total is None else total.unionByName(part)
+    if total is None:
+        return nodes.withColumn("betweenness", F.lit(0.0))
+    scale = 1.0 / max(1, (n - 1) * (n - 2))
+    return nodes.join(total.groupBy("id").agg(F.sum("t").alias("t")), "id", "left").select("id", (F.coalesce("t", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def _dependencies(sym: DataFrame, src: DataFrame) -> DataFrame | None:
+    """(id, t): the dependencies of some sources on each vertex, summed; None if they reach nothing."""
     seen = _cut(src.select(F.col("id").alias("s"), "id", F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
     frontier, levels = seen, 0
     while True:
@@ -263,7 +314,4 @@ def paths_through(sym: DataFrame, sources: int | None, seed: int) -> DataFrame:
         up = here.join(sym.withColumnRenamed("b", "id"), "id").select("s", F.col("a").alias("id"), ((1 + F.col("dep")) / F.col("sigma")).alias("part"))
         before = seen.where(F.col("d") == d - 1).select("s", "id", F.col("sigma").alias("own"))
         dep = _cut(up.join(before, ["s", "id"]).groupBy("s", "id").agg(F.sum(F.col("part") * F.col("own")).alias("dep")))
-    if total is None:
-        return nodes.withColumn("betweenness", F.lit(0.0))
-    scale = 1.0 / max(1, (n - 1) * (n - 2))
-    return nodes.join(total.groupBy("id").agg(F.sum("dep").alias("t")), "id", "left").select("id", (F.coalesce("t", F.lit(0.0)) * scale).alias("betweenness"))
+    return None if total is None else _cut(total.groupBy("id").agg(F.sum("dep").alias("t")))

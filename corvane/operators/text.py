@@ -10,7 +10,9 @@ from pyspark.sql.window import Window as W
 from ..functions import lexicon as L
 from ..functions.macros import explode_pairs, top, top_per
 
-TOKEN = r"\b([a-z][a-z\-]+[a-z])\b"
+#: Borders of words of every script, the same on every Java version.
+BEFORE, AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+TOKEN = rf"{BEFORE}([a-z][a-z\-]+[a-z]){AFTER}"
 
 
 def hits(text: Column, lexicon: dict[str, str]) -> Column:
@@ -74,7 +76,7 @@ def normalise(toks: DataFrame, stop: list[str] = (), merges: dict[str, str] | No
 
 def keyword_counts(docs: DataFrame, text: str | Column, id_column: str = "arxiv_id", candidates: int = 200, n: int = 50, stop: list[str] | None = None) -> DataFrame:
     """Most frequent words of four letters and more, the stop words taken out of the first ``candidates``."""
-    t = tokens(docs, text, id_column, 4, r"\b([a-z]{4,})\b")
+    t = tokens(docs, text, id_column, 4, rf"{BEFORE}([a-z]{{4,}}){AFTER}")
     first = top(t.groupBy("term").agg(F.count(F.lit(1)).alias("n")), candidates, F.desc("n"), F.asc("term"))
     return top(first.join(_vocab(first, L.SIMPLE_STOP_WORDS if stop is None else stop), "term", "left_anti"), n, F.desc("n"), F.asc("term"))
 

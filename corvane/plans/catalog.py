@@ -386,49 +386,48 @@ def cumulative_coauthors(spark, d):
 
 
 # --- text -------------------------------------------------------------------------------------------------------------
-_ASCII = "lower(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g'))"
-
-
-def _english(spark, d):
-    docs = read(spark, d, "documents").where("lang = 'en'")
-    return docs.select(F.col("doc_id").alias("arxiv_id"), "source", F.lower(F.regexp_replace("text", r"[^\x00-\x7F]", " ")).alias("abstract"))
+def _documents(spark, d):
+    return read(spark, d, "documents").select(F.col("doc_id").alias("arxiv_id"), "source", F.lower("text").alias("abstract"))
 
 
-_E = f"WITH e AS (SELECT doc_id AS id, source, {_ASCII} AS t FROM documents WHERE lang = 'en')"
-_TOK = _E + r", w AS (SELECT id, source, unnest(regexp_extract_all(t, '\b([a-z][a-z\-]+[a-z])\b', 1)) AS term FROM e), k AS (SELECT * FROM w WHERE length(term) >= 3)"
+# Words have letters, digits and _ of every script around them as borders. DuckDB's word border knows ASCII only, so the SQL
+# first blanks other characters, then whole every word with a digit, _ or a letter outside a to z.
+_E = r"""WITH d AS (SELECT doc_id AS id, source, regexp_replace(lower(coalesce(text, '')), '[^\x00-\x7F\p{L}\p{N}]', ' ', 'g') AS t FROM documents),
+e AS (SELECT id, source, regexp_replace(t, '[a-z]*[0-9_\x{80}-\x{10FFFF}][a-z0-9_\x{80}-\x{10FFFF}]*', ' ', 'g') AS t FROM d)"""
+_TOK = _E + r", w AS (SELECT id, source, unnest(regexp_extract_all(t, '[a-z][a-z\-]+[a-z]')) AS term FROM e), k AS (SELECT * FROM w WHERE length(term) >= 3)"
 LEX = {"the": r"\bthe\b", "hand": r"\bhand\b", "their": r"\b(?:than|that)\b", "cora": r"\bcora\b", "coco": r"\b(?:ms-?)?coco\b"}
 
 
-@query(_E + r", w AS (SELECT unnest(regexp_extract_all(t, '\b([a-z]{4,})\b', 1)) AS term FROM e), c AS (SELECT term, count(*) AS n FROM w GROUP BY term ORDER BY n DESC, term LIMIT 200) SELECT term, n FROM c WHERE term NOT IN ('that', 'this', 'with', 'from', 'have', 'been', 'which', 'their', 'more', 'will', 'also', 'such', 'than', 'into', 'these', 'other', 'some', 'only', 'based', 'using', 'paper', 'method', 'approach', 'results', 'propose', 'proposed', 'show', 'shown', 'model', 'models') ORDER BY n DESC, term LIMIT 50")
+@query(_E + r", w AS (SELECT unnest(regexp_extract_all(t, '[a-z]{4,}')) AS term FROM e), c AS (SELECT term, count(*) AS n FROM w GROUP BY term ORDER BY n DESC, term LIMIT 200) SELECT term, n FROM c WHERE term NOT IN ('that', 'this', 'with', 'from', 'have', 'been', 'which', 'their', 'more', 'will', 'also', 'such', 'than', 'into', 'these', 'other', 'some', 'only', 'based', 'using', 'paper', 'method', 'approach', 'results', 'propose', 'proposed', 'show', 'shown', 'model', 'models') ORDER BY n DESC, term LIMIT 50")
 def keyword_counts(spark, d):
-    return text.keyword_counts(_english(spark, d), "abstract")
+    return text.keyword_counts(_documents(spark, d), "abstract")
 
 
 @query(_E + ", h AS (" + " UNION ALL ".join(f"SELECT '{k}' AS name FROM e WHERE regexp_matches(t, '{p}')" for k, p in LEX.items()) + ") SELECT name, count(*) AS n FROM h GROUP BY name")
 def lexicon_hits(spark, d):
-    return text.frequency(_english(spark, d).select(text.hits(F.col("abstract"), LEX).alias("hits")), "hits")
+    return text.frequency(_documents(spark, d).select(text.hits(F.col("abstract"), LEX).alias("hits")), "hits")
 
 
 @query(_E + " SELECT id AS arxiv_id, least((" + " + ".join(f"CAST(regexp_matches(t, '{p}') AS INTEGER)" for p in LEX.values()) + ") / 5.0::DOUBLE, 1.0) AS novelty FROM e")
 def novelty_score(spark, d):
-    return _english(spark, d).select("arxiv_id", text.novelty(F.col("abstract"), list(LEX.values())).alias("novelty"))
+    return _documents(spark, d).select("arxiv_id", text.novelty(F.col("abstract"), list(LEX.values())).alias("novelty"))
 
 
 @query(_TOK + """, tf AS (SELECT id, term, count(*) AS tf FROM k GROUP BY ALL), m AS (SELECT id, max(tf) AS most FROM tf GROUP BY id), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(DISTINCT id) AS total FROM tf),
 s AS (SELECT id, term, round(tf / CAST(most AS DOUBLE) * ln(total / CAST(1 + df AS DOUBLE)), 6) AS score FROM tf JOIN m USING (id) JOIN df USING (term), n) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, term) <= 5""")
 def tfidf_topn(spark, d):
-    return text.tfidf(text.tokens(_english(spark, d), "abstract"), n=5)
+    return text.tfidf(text.tokens(_documents(spark, d), "abstract"), n=5)
 
 
 @query(_TOK + """, s AS (SELECT DISTINCT id, term FROM k), v AS (SELECT term, count(*) AS n FROM s GROUP BY term ORDER BY n DESC, term LIMIT 40), h AS (SELECT id, term FROM s SEMI JOIN v USING (term))
 SELECT x.term AS a, y.term AS b, count(*) AS n FROM h x JOIN h y ON x.id = y.id AND x.term < y.term GROUP BY ALL HAVING count(*) >= 3""")
 def cooccurrence(spark, d):
-    return text.cooccurrence(text.tokens(_english(spark, d), "abstract"), words=40)
+    return text.cooccurrence(text.tokens(_documents(spark, d), "abstract"), words=40)
 
 
 @query()
 def corpus_topics(spark, d):
-    return text.topics(text.tokens(_english(spark, d), "abstract"))
+    return text.topics(text.tokens(_documents(spark, d), "abstract"))
 
 
 @query(_TOK + """, p AS (SELECT DISTINCT id, term, source AS period FROM k), o AS (SELECT period, row_number() OVER (ORDER BY period) - 1 AS i, count(*) OVER () AS m FROM (SELECT DISTINCT period FROM p)),
@@ -437,61 +436,13 @@ c AS (SELECT term, count(*) FILTER (WHERE NOT late) AS early, count(*) FILTER (W
 g AS (SELECT *, (l / CAST(ld AS DOUBLE)) / nullif(early / CAST(ed AS DOUBLE), 0) AS g FROM c, z)
 SELECT term, early, l AS late, round(g, 4) AS growth, g IS NULL AS is_new, round(l * coalesce(g, 100), 4) AS rank FROM g WHERE g IS NULL OR g > 1.5 ORDER BY rank DESC, term LIMIT 50""")
 def emerging_terms(spark, d):
-    docs = _english(spark, d)
-    toks = text.tokens(docs, "abstract").join(docs.select(F.col("arxiv_id").alias("id"), F.col("source").alias("period")), "id")
-    return text.emerging(toks)
-
-
-@query()
-def doc_keywords(spark, d):
-    docs = _english(spark, d).withColumn("title", F.element_at(F.split("abstract", "\n"), 1))
-    return text.doc_keywords(docs, stop=["the", "and", "that"], merges={"thth": "the"}).select("arxiv_id", F.array_join("keywords", "|").alias("keywords"))
-
-
-# The same over all documents in every language; no SQL, as DuckDB's word boundary knows ASCII letters only.
-def _documents(spark, d):
-    return read(spark, d, "documents").select(F.col("doc_id").alias("arxiv_id"), "source", F.lower("text").alias("abstract"))
-
-
-@query()
-def keyword_counts_all(spark, d):
-    return text.keyword_counts(_documents(spark, d), "abstract")
-
-
-@query()
-def lexicon_hits_all(spark, d):
-    return text.frequency(_documents(spark, d).select(text.hits(F.col("abstract"), LEX).alias("hits")), "hits")
-
-
-@query()
-def novelty_score_all(spark, d):
-    return _documents(spark, d).select("arxiv_id", text.novelty(F.col("abstract"), list(LEX.values())).alias("novelty"))
-
-
-@query()
-def tfidf_topn_all(spark, d):
-    return text.tfidf(text.tokens(_documents(spark, d), "abstract"), n=5)
-
-
-@query()
-def cooccurrence_all(spark, d):
-    return text.cooccurrence(text.tokens(_documents(spark, d), "abstract"), words=40)
-
-
-@query()
-def corpus_topics_all(spark, d):
-    return text.topics(text.tokens(_documents(spark, d), "abstract"))
-
-
-@query()
-def emerging_terms_all(spark, d):
     docs = _documents(spark, d)
     toks = text.tokens(docs, "abstract").join(docs.select(F.col("arxiv_id").alias("id"), F.col("source").alias("period")), "id")
     return text.emerging(toks)
 
 
 @query()
-def doc_keywords_all(spark, d):
+def doc_keywords(spark, d):
     docs = _documents(spark, d).withColumn("title", F.element_at(F.split("abstract", "\n"), 1))
     return text.doc_keywords(docs, stop=["the", "and", "that"], merges={"thth": "the"}).select("arxiv_id", F.array_join("keywords", "|").alias("keywords"))
 
@@ -553,53 +504,42 @@ def inline_mentions(spark, d):
 
 
 # --- co-author and citation graphs ------------------------------------------------------------------------------------
-_EDGES = f"""{P}, r AS (SELECT arxiv_id, unnest(author_list) AS au FROM papers), e AS (SELECT x.au AS a, y.au AS b, count(*) AS w FROM r x JOIN r y ON x.arxiv_id = y.arxiv_id AND x.au < y.au GROUP BY ALL HAVING count(*) >= {{least}}),
-s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), dg AS (SELECT a AS id, count(*) AS degree FROM s GROUP BY a)"""
-STRONG = 32
+_PAIRS = f"""{P}, r AS (SELECT arxiv_id, unnest(author_list) AS au FROM papers), every_pair AS (SELECT x.au AS a, y.au AS b, count(*) AS w FROM r x JOIN r y ON x.arxiv_id = y.arxiv_id AND x.au < y.au GROUP BY ALL)"""
+_ENDS = "s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), dg AS (SELECT a AS id, count(*) AS degree FROM s GROUP BY a)"
+_ALL_EDGES = f"{_PAIRS}, e AS (SELECT * FROM every_pair), {_ENDS}"
+_STRONG_EDGES = f"""{_PAIRS}, at_w AS (SELECT w, sum(count(*)) OVER (ORDER BY w DESC) AS upto FROM every_pair GROUP BY w), size AS (SELECT count(*) AS nodes FROM (SELECT a FROM every_pair UNION SELECT b FROM every_pair)),
+lim AS (SELECT coalesce(min(w) FILTER (upto <= 2 * nodes), max(w)) AS least FROM at_w, size), e AS (SELECT a, b, w FROM every_pair, lim WHERE w >= least), {_ENDS}"""
 
 
-@query(_EDGES.format(least=STRONG) + " SELECT id, degree FROM dg")
+def _strong(spark, d):
+    """The heaviest pairs of co-authors, about two an author: generated papers join nearly all authors, and all pairs are one clique."""
+    return graph.strongest(graph.coauthor_edges(papers(spark, d)), 2)
+
+
+@query(_ALL_EDGES + " SELECT id, degree FROM dg")
 def coauthor_degree(spark, d):
-    return graph.degrees(graph.coauthor_edges(papers(spark, d), STRONG))
+    return graph.degrees(graph.coauthor_edges(papers(spark, d)))
 
 
-@query(_EDGES.format(least=STRONG) + " SELECT count(*) AS nodes, CAST(sum(degree) / 2 AS BIGINT) AS edges, round(avg(degree), 4) AS avg_degree, max(degree) AS max_degree, round(sum(degree) / CAST(count(*) * (count(*) - 1) AS DOUBLE), 6) AS density FROM dg")
+@query(_ALL_EDGES + " SELECT count(*) AS nodes, CAST(sum(degree) / 2 AS BIGINT) AS edges, round(avg(degree), 4) AS avg_degree, max(degree) AS max_degree, round(sum(degree) / CAST(count(*) * (count(*) - 1) AS DOUBLE), 6) AS density FROM dg")
 def network_stats(spark, d):
-    return graph.network_stats(graph.coauthor_edges(papers(spark, d), STRONG))
+    return graph.network_stats(graph.coauthor_edges(papers(spark, d)))
 
 
-@query(_EDGES.format(least=STRONG).replace("WITH ", "WITH RECURSIVE ", 1) + ", c(id, r) AS (SELECT id, id FROM dg UNION SELECT s.b, c.r FROM c JOIN s ON s.a = c.id) SELECT id, min(r) AS component FROM c GROUP BY id")
+@query(_STRONG_EDGES.replace("WITH ", "WITH RECURSIVE ", 1) + ", c(id, r) AS (SELECT id, id FROM dg UNION SELECT s.b, c.r FROM c JOIN s ON s.a = c.id) SELECT id, min(r) AS component FROM c GROUP BY id")
 def components(spark, d):
-    return graph.components(graph.coauthor_edges(papers(spark, d), STRONG))
+    return graph.components(_strong(spark, d))
 
 
-@query(_EDGES.format(least=STRONG).replace("WITH ", "WITH RECURSIVE ", 1) + """, c(id, r) AS (SELECT id, id FROM dg UNION SELECT s.b, c.r FROM c JOIN s ON s.a = c.id), k AS (SELECT id, min(r) AS component FROM c GROUP BY id),
+@query(_STRONG_EDGES.replace("WITH ", "WITH RECURSIVE ", 1) + """, c(id, r) AS (SELECT id, id FROM dg UNION SELECT s.b, c.r FROM c JOIN s ON s.a = c.id), k AS (SELECT id, min(r) AS component FROM c GROUP BY id),
 z AS (SELECT component, count(*) AS size FROM k GROUP BY 1), i AS (SELECT component, count(*) AS internal FROM e JOIN k ON k.id = e.a GROUP BY 1)
 SELECT component, size, internal, round(2 * internal / CAST(size * (size - 1) AS DOUBLE), 4) AS cohesion FROM z JOIN i USING (component) WHERE size >= 3""")
 def author_clusters(spark, d):
-    p = papers(spark, d)
-    return graph.clusters(graph.coauthor_edges(p, STRONG), p)
+    return graph.clusters(_strong(spark, d), papers(spark, d))
 
 
-@query(_EDGES.format(least=STRONG) + " SELECT arxiv_id, count(*) AS team_size, CAST(sum(coalesce(degree, 0)) AS BIGINT) AS team_connections FROM r LEFT JOIN dg ON dg.id = r.au GROUP BY arxiv_id")
+@query(_ALL_EDGES + " SELECT arxiv_id, count(*) AS team_size, CAST(sum(coalesce(degree, 0)) AS BIGINT) AS team_connections FROM r LEFT JOIN dg ON dg.id = r.au GROUP BY arxiv_id")
 def paper_team_metrics(spark, d):
-    p = papers(spark, d)
-    return graph.team_metrics(p, graph.coauthor_edges(p, STRONG))
-
-
-# The same over every pair of co-authors, as the operators take them by default.
-@query(_EDGES.format(least=1) + " SELECT id, degree FROM dg")
-def coauthor_degree_all(spark, d):
-    return graph.degrees(graph.coauthor_edges(papers(spark, d)))
-
-
-@query(_EDGES.format(least=1) + " SELECT count(*) AS nodes, CAST(sum(degree) / 2 AS BIGINT) AS edges, round(avg(degree), 4) AS avg_degree, max(degree) AS max_degree, round(sum(degree) / CAST(count(*) * (count(*) - 1) AS DOUBLE), 6) AS density FROM dg")
-def network_stats_all(spark, d):
-    return graph.network_stats(graph.coauthor_edges(papers(spark, d)))
-
-
-@query(_EDGES.format(least=1) + " SELECT arxiv_id, count(*) AS team_size, CAST(sum(coalesce(degree, 0)) AS BIGINT) AS team_connections FROM r LEFT JOIN dg ON dg.id = r.au GROUP BY arxiv_id")
-def paper_team_metrics_all(spark, d):
     p = papers(spark, d)
     return graph.team_metrics(p, graph.coauthor_edges(p))
 
@@ -615,19 +555,19 @@ def bridge_by_category(spark, d):
     return graph.category_bridges(papers(spark, d), separator="#")
 
 
-@query(_EDGES.format(least=24) + " SELECT x.a, x.b, y.b AS c FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b")
+@query(_STRONG_EDGES + " SELECT x.a, x.b, y.b AS c FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b")
 def triangles_cliques(spark, d):
-    return graph.triangles(graph.coauthor_edges(papers(spark, d), 24))
+    return graph.triangles(_strong(spark, d))
 
 
 @query()
 def maximal_cliques(spark, d):
-    return graph.maximal_cliques(graph.coauthor_edges(papers(spark, d), 28)).select(F.array_join("clique", ",").alias("clique"))
+    return graph.maximal_cliques(_strong(spark, d)).select(F.array_join("clique", ",").alias("clique"))
 
 
 @query()
 def betweenness(spark, d):
-    return graph.betweenness(graph.coauthor_edges(papers(spark, d), STRONG)).select("id", F.round("betweenness", 6).alias("betweenness"))
+    return graph.betweenness(_strong(spark, d)).select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
 def _chain(spark, d):
@@ -833,3 +773,10 @@ def neighbour_landscape(spark, d):
 @query()
 def pca_landscape(spark, d):
     return vectors.landscape(read(spark, d, "embeddings"))
+
+
+# Names of earlier forms over all rows; their queries read all rows themselves now.
+for _name in ("keyword_counts", "lexicon_hits", "novelty_score", "tfidf_topn", "cooccurrence", "corpus_topics", "emerging_terms", "doc_keywords", "coauthor_degree", "network_stats", "paper_team_metrics"):
+    QUERIES[f"{_name}_all"] = QUERIES[_name]
+    if _name in ORACLE_SQL:
+        ORACLE_SQL[f"{_name}_all"] = ORACLE_SQL[_name]
