@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import argparse
+import datetime
+
+from pyspark.sql import functions as F
 
 from .plans import catalog, drivers, views  # noqa: F401  views registers its queries
 from .session import session
 from .sources import adapters, readers, service, sinks
 
 
-def collect(spark, folder: str, endpoint: str, categories: list[str], start: str, end: str, months: int = 6, fetch: str | None = None, pause: float = 3.0) -> int:
-    """Fetch categories that are not in the folder yet, one by one, each kept as soon as it is whole; then write the data set."""
+def collect(spark, folder: str, endpoint: str, categories: list[str], start: str, end: str, months: int = 6, fetch: str | None = None, pause: float = 3.0, skip_failed: bool = False) -> int:
+    """Fetch categories that are not in the folder yet, one by one, each kept as soon as it is whole; then write the data set.
+
+    skip_failed leaves out pages that fail for good; ``failed`` in the folder has them.
+    """
     landed = f"{folder}/landed"
     path = spark._jvm.org.apache.hadoop.fs.Path(landed)
     done = {r["category"] for r in sinks.completed(spark, landed).collect()} if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else set()
@@ -19,7 +25,7 @@ def collect(spark, folder: str, endpoint: str, categories: list[str], start: str
     spark.dataSource.register(service.PaperSource)
     for c in categories:
         if c not in done:
-            options = {"endpoint": endpoint, "categories": c, "spans": spans, "pause": str(pause)} | ({"fetch": fetch} if fetch else {})
+            options = {"endpoint": endpoint, "categories": c, "spans": spans, "pause": str(pause)} | ({"fetch": fetch} if fetch else {}) | ({"skipfailed": "true", "failures": f"{folder}/failed"} if skip_failed else {})
             sinks.checkpoint(spark.read.format("papers").options(**options).load().dropDuplicates(["arxiv_id"]).selectExpr("*", f"'{c}' as asked"), landed, "asked")
     papers = spark.read.parquet(landed).drop("category").dropDuplicates(["arxiv_id"])
     sinks.dataset(papers, folder)
@@ -27,7 +33,11 @@ def collect(spark, folder: str, endpoint: str, categories: list[str], start: str
 
 
 def corpus(spark, tables: str) -> drivers.Corpus:
-    """The corpus of a folder of prepared tables."""
+    """The corpus of a folder: what ``collect`` left there, or else prepared tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{tables}/papers_json")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        papers = adapters.collected(readers.existing(spark, tables), F.current_date())
+        return drivers.Corpus(papers, datetime.date.today().year)
     return drivers.Corpus(adapters.papers(spark, tables), catalog.NOW, history=adapters.history(spark, tables), sota=adapters.sota(spark, tables), citations=catalog._chain(spark, tables))
 
 
@@ -51,6 +61,7 @@ def main(argv: list[str] | None = None) -> int:
     get.add_argument("--end", required=True)
     get.add_argument("--months", type=int, default=6)
     get.add_argument("--pause", type=float, default=3.0)
+    get.add_argument("--skip-failed", action="store_true", help="leave out pages that fail for good, and say which")
     get.add_argument("--fetch", help="module.function that fetches a url in the usual one's place")
     run = sub.add_parser("analyze", help="every table of the analysis, as JSON; goes on where it broke off")
     run.add_argument("tables")
@@ -62,7 +73,9 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "query":
         catalog.QUERIES[a.name](spark, a.tables).write.mode("overwrite").parquet(a.out)
     elif a.command == "collect":
-        print(collect(spark, a.out, a.endpoint, a.categories, a.start, a.end, a.months, a.fetch, a.pause), "papers")
+        print(collect(spark, a.out, a.endpoint, a.categories, a.start, a.end, a.months, a.fetch, a.pause, a.skip_failed), "papers")
+        for r in service.failed_pages(spark, f"{a.out}/failed").toLocalIterator():
+            print("left out:", r["category"], r["start"], r["end"], "from", r["at"], r["error"], "(the rest of the span too)" if r["span_ended"] else "")
     elif a.command == "analyze":
         whole = corpus(spark, a.tables)
         print("\n".join([*whole.analyze(a.out, a.only), *drivers.summary_lines(whole)]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -78,6 +78,28 @@ def explorer(papers: DataFrame, category: str | None = None, since: str | None =
     return rows.orderBy(F.desc_nulls_last(order), F.asc("arxiv_id")).offset(page * size).limit(size)
 
 
+def save_ranks(papers: DataFrame, folder: str, order: str = "citations") -> None:
+    """All rows with their place in the explorer's order, as files that hold one range of places each."""
+    ranked = global_rank(papers, [F.desc_nulls_last(order), F.asc("arxiv_id")])
+    ranked.repartitionByRange("rank").sortWithinPartitions("rank").write.mode("overwrite").parquet(folder)
+
+
+def ranked_page(spark: SparkSession, folder: str, page: int, size: int = 20) -> DataFrame:
+    """A page of saved ranks: the files' ranges of places leave all others unread, whatever the page."""
+    first = page * size
+    return spark.read.parquet(folder).where((F.col("rank") >= first) & (F.col("rank") < first + size)).orderBy("rank").drop("rank")
+
+
+def page_after(papers: DataFrame, after: tuple | None = None, order: str = "citations", size: int = 20) -> DataFrame:
+    """The page after a row (its value of ``order`` and its id; None: the first page): a filter and a top-k, no sort of all rows."""
+    rows = papers
+    if after is not None:
+        value, last = after
+        v, tie = F.col(order), F.col("arxiv_id") > F.lit(last)
+        rows = rows.where((v.isNull() & tie) if value is None else (v < F.lit(value)) | v.isNull() | ((v == F.lit(value)) & tie))
+    return top(rows, size, F.desc_nulls_last(order), F.asc("arxiv_id"))
+
+
 def top_lists(papers: DataFrame, lists: dict[str, tuple[Column, Column]], n: int = 100) -> DataFrame:
     """Several top lists (name: condition, key) of ids, one below the other."""
     out = None

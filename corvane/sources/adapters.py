@@ -6,7 +6,7 @@ citations the quantity ordered. ``as_of`` stands for today wherever ages are tak
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = "2001-12-31"
@@ -45,6 +45,22 @@ def papers(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
     return out.withColumn("velocity", velocity)
 
 
+def collected(raw: DataFrame, as_of: Column) -> DataFrame:
+    """Papers from a feed with the columns that the analyses take: what only a look-up knows (citations, venue) is 0 or null until then."""
+    from ..operators import text as words
+    from ..operators.stats import is_survey
+
+    typed = {"citations": "long", "venue": "string"}
+    out = raw.withColumns({c: F.col(c).cast(t) if c in raw.columns else F.lit(None).cast(t) for c, t in typed.items()})
+    both = F.concat_ws(" ", "title", "abstract")
+    out = out.withColumn("published_date", F.to_date("published"))
+    out = out.withColumns({
+        "citations": F.coalesce("citations", F.lit(0)), "month": F.date_format("published_date", "yyyy-MM"), "year": F.year("published_date"), "paper_age_days": F.datediff(as_of.cast("date"), F.col("published_date")),
+        "methods": words.methods(both), "has_code": F.lower(both).rlike(r"\bgithub\b|\bcode is available\b|\bour code\b"), "is_survey": is_survey(F.col("title"), F.col("abstract")),
+    })
+    return out.withColumn("velocity", F.col("citations") / F.greatest(F.col("paper_age_days") / 30.44, F.lit(1.0)))
+
+
 #: The same in SQL, as common table expressions.
 PAPERS_SQL = f"""
 own AS (

@@ -3,23 +3,31 @@
 Options: endpoint; categories and spans (start/end), by commas; pagesize; pause, the seconds between two requests of all
 tasks together; tasks, over which the spans are dealt (each then waits ``tasks`` times as long, so the service sees one
 rate); maxresults, the most rows of a span (none: all); dated=false leaves the dates out of the query (filter afterwards);
-skipfailed=true goes on with the next page where one fails for good.
+skipfailed=true goes on with the next page where one fails for good, and leaves a row for it in the folder ``failures``, which it
+needs (``failed_pages`` reads them); after three such pages in a row a span ends, and its last row says so. A refusal with
+status 429 waits as long as the service asks.
 ``fetch`` is a module-level function of (url) -> bytes given by dotted name, so tests and sites without a network can
 put their own in its place.
 """
 
 from __future__ import annotations
 
+import hashlib
 import importlib
+import json
 import re
 import time
 import urllib.parse
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .lookups import waiting
+
 SCHEMA = "arxiv_id string, title string, abstract string, author_list array<string>, published string, category_list array<string>, primary_category string"
+FAILED = "category string, start string, end string, at long, error string, span_ended boolean"
 NS = {"a": "http://www.w3.org/2005/Atom", "x": "http://arxiv.org/schemas/atom"}
 
 
@@ -40,6 +48,8 @@ class Spans(InputPartition):
 class PaperReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = dict(options)
+        if self.options.get("skipfailed") == "true" and not self.options.get("failures"):
+            raise ValueError("skipfailed needs a folder for failures")
 
     def partitions(self) -> list[Spans]:
         cats = self.options["categories"].split(",")
@@ -66,11 +76,13 @@ class PaperReader(DataSourceReader):
             at += size
             try:
                 rows = list(parse(self._tries(fetch, url, pause), category))
-            except OSError:
+            except OSError as e:
                 if o.get("skipfailed", "false") != "true":
                     raise
                 failed += 1
-                if failed >= 3:  # the service is gone, not one page
+                ended = failed >= 3  # the service is gone, not one page
+                _note(o["failures"], {"category": category, "start": start, "end": end, "at": at - size, "error": f"{type(e).__name__}: {e}", "span_ended": ended})
+                if ended:
                     return
                 continue
             yield from rows
@@ -83,13 +95,32 @@ class PaperReader(DataSourceReader):
         for i in range(most):
             try:
                 return fetch(url)
-            except OSError:
+            except OSError as e:
                 if i == most - 1:
                     raise
-                time.sleep(pause * 2**i)
+                time.sleep(waiting(e, pause, i))
         raise AssertionError
 
 
+def _note(folder: str, row: dict) -> None:
+    """One failed page as a file of its own; a repeated task writes the same name again."""
+    from pyarrow import fs
+
+    files, path = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    files.create_dir(path, recursive=True)
+    name = hashlib.sha256("/".join(str(row[k]) for k in ("category", "start", "end", "at")).encode()).hexdigest()[:32]
+    with files.open_output_stream(f"{path}/{name}.json") as out:
+        out.write(json.dumps(row).encode())
+
+
+def failed_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages that a read with skipfailed left out; none where the folder isn't there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], FAILED)
+    return spark.read.schema(FAILED).json(folder)
+
+
 def parse(feed: bytes, category: str) -> Iterator[tuple]:
     """Rows of a feed's entries."""
     text = lambda e, p: " ".join((e.findtext(p, "", NS) or "").split())

@@ -35,6 +35,9 @@ def test_collect_goes_on_and_reads_every_page(spark, tmp_path):
     assert {r["arxiv_id"] for r in got.collect()} == {f"x.{c}.{k}" for c in "AB" for k in range(5)}
     with pytest.raises(FileNotFoundError):
         readers.existing(spark, f"{tmp_path}/nothing")
+    assert cli.main(["analyze", f"{tmp_path}/c", f"{tmp_path}/a", "--only", "overview", "trends/category_trends", "network/degrees"]) == 0
+    assert spark.read.json(f"{tmp_path}/a/overview/summary").first()["papers"] == 10
+    assert sorted(os.listdir(f"{tmp_path}/a")) == ["network", "overview", "trends"]
 
 
 def test_analyze_writes_what_is_missing_and_reports(spark, tmp_path):
