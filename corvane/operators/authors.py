@@ -119,6 +119,13 @@ def topics(papers: DataFrame, array: str = "category_list", factor: float = 2, l
     return out.withColumn("change", change).where("change is not null")
 
 
+def migration(papers: DataFrame, now: int, array: str = "category_list", least: int = 2, current: int = 2) -> DataFrame:
+    """Topics that an author worked on in several years: first, last and active years, and whether the last is at most ``current`` years ago."""
+    rows = papers.where("year is not null").select("year", array, F.explode(F.array_distinct("author_list")).alias("author")).select("author", "year", F.explode(F.array_distinct(array)).alias("topic")).distinct()
+    out = rows.groupBy("author", "topic").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count(F.lit(1)).alias("active_years"))
+    return out.where(F.col("active_years") >= least).withColumn("is_current", F.col("last_year") >= now - current)
+
+
 def careers(papers: DataFrame, now: int) -> DataFrame:
     """Career stage by length and impact level by h-index."""
     a = authorships(papers)

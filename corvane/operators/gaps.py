@@ -123,6 +123,12 @@ def without_survey(papers: DataFrame, key: str = "primary_category", more_than:
     return large.join(papers.where("is_survey").select(key).distinct(), key, "left_anti")
 
 
+def hot_low_volume(papers: DataFrame, key: str = "primary_category", fewer_than: int = 50, faster_than: float = 1.0) -> DataFrame:
+    """Groups with few papers that gather citations fast, from papers with any velocity."""
+    size = papers.where(F.col(key).isNotNull() & (F.col("velocity") > 0)).groupBy(key).agg(F.count(F.lit(1)).alias("papers"), F.avg("velocity").alias("v"))
+    return size.where((F.col("papers") < fewer_than) & (F.col("v") > faster_than)).select(key, "papers", F.round("v", 4).alias("avg_velocity"))
+
+
 def simple_pair_gaps(papers: DataFrame, array: str = "category_list", min_expected: float = 10, factor: float = 0.5, n: int = 15) -> DataFrame:
     """Pairs of labels that meet in fewer papers than chance would have it, by the share that is missing."""
     rows = papers.select(F.array_distinct(array).alias("__labels"))

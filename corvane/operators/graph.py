@@ -179,6 +179,19 @@ def lineage(edges: DataFrame, start, depth: int = 5, forward: bool = True) -> Da
     return seen
 
 
+def lineage_roots(edges: DataFrame, start) -> DataFrame:
+    """What a vertex leads back to at any depth: reachable vertices that are cited and cite nothing."""
+    ends = edges.select(F.col("dst").alias("id")).distinct().join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
+    return lineage(edges, start, depth=2**31 - 1).select("id").join(ends, "id", "left_semi")
+
+
+def direct(edges: DataFrame, vertex, n: int = 20) -> DataFrame:
+    """(direction, id): the first references and citations of a vertex, by id."""
+    own = F.lit(vertex)
+    refs = top(edges.where(F.col("src") == own).select(F.lit("references").alias("direction"), F.col("dst").alias("id")).distinct(), n, F.asc("id"))
+    return refs.unionByName(top(edges.where(F.col("dst") == own).select(F.lit("citations").alias("direction"), F.col("src").alias("id")).distinct(), n, F.asc("id")))
+
+
 def graph_stats(edges: DataFrame) -> DataFrame:
     """Vertices, edges, density, mean and largest in-degree, sinks and sources."""
     ends = edges.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))

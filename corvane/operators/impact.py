@@ -23,6 +23,26 @@ def binary_lifts(papers: DataFrame, flags: list[str]) -> DataFrame:
     return out.where("n_with > 0 and n_without > 0").select("feature", "n_with", "n_without", "lift", impact.alias("impact"))
 
 
+def words(text: str | Column) -> Column:
+    """Words between white space; none for null."""
+    t = F.col(text) if isinstance(text, str) else text
+    return F.size(F.filter(F.split(F.coalesce(t, F.lit("")), r"[\x09-\x0D\x20]+"), lambda w: w != ""))
+
+
+#: Labels of abstracts by their words, with the most words of each.
+ABSTRACT_BUCKETS = [(99, "short (<100 words)"), (199, "medium (100-200)"), (299, "long (200-300)")]
+
+
+def title_traits(papers: DataFrame, title: str = "title", short: int = 8) -> DataFrame:
+    """Mean citations with and without a colon, a question mark and at most ``short`` words in the title; traits on one side only are left out."""
+    t = F.coalesce(F.col(title), F.lit(""))
+    traits = {"has_colon": F.contains(t, F.lit(":")), "has_question": F.contains(t, F.lit("?")), "short_title": words(t) <= short}
+    long = papers.select(cites().alias("y"), F.explode(F.array(*[F.struct(F.lit(k).alias("trait"), on.alias("on")) for k, on in traits.items()])).alias("s")).select("y", "s.*")
+    side = lambda on: F.avg(F.when(on, F.col("y")))
+    out = long.groupBy("trait").agg(F.count_if("on").alias("n_with"), F.count_if(~F.col("on")).alias("n_without"), F.round(side(F.col("on")), 4).alias("avg_with"), F.round(side(~F.col("on")), 4).alias("avg_without"), F.round(lift(F.col("y"), F.col("on")), 2).alias("lift"))
+    return out.where("n_with > 0 and n_without > 0")
+
+
 def quartiles(papers: DataFrame, feature: str, least: int = 20) -> DataFrame:
     """Mean citations in the first and last quarter by a feature (zeros and nulls left out), and the correlation."""
     rows = papers.where(F.col(feature).isNotNull() & (F.col(feature) != 0)).select("arxiv_id", F.col(feature).cast("double").alias("f"), cites().alias("y"))

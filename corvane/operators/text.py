@@ -74,6 +74,22 @@ def normalise(toks: DataFrame, stop: list[str] = (), merges: dict[str, str] | No
     return out
 
 
+def process_keywords(rows: DataFrame, stop: list[str] = (), patterns: list[str] = (), merges: dict[str, str] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Weighted lists of terms (by, term, score): unwanted terms go, variants become their canonical term, which goes too if it is
+    unwanted, and scores add up. A pattern filters terms that begin with it. Terms are lower-cased; null terms go.
+    """
+    def kept(df: DataFrame) -> DataFrame:
+        for p in patterns:
+            df = df.where(~F.col("term").rlike(f"^(?:{p})"))
+        return df.join(_vocab(df, [w.lower() for w in stop]), "term", "left_anti") if stop else df
+
+    out = kept(rows.where("term is not null").withColumn("term", F.lower("term")))
+    if merges:
+        m = F.broadcast(rows.sparkSession.createDataFrame(sorted({k.lower(): v.lower() for k, v in merges.items()}.items()), "term string, canonical string"))  # a synonym list
+        out = kept(out.join(m, "term", "left").withColumn("term", F.coalesce("canonical", "term")).drop("canonical"))
+    return out.groupBy(*by, "term").agg(F.sum("score").alias("score"))
+
+
 def keyword_counts(docs: DataFrame, text: str | Column, id_column: str = "arxiv_id", candidates: int = 200, n: int = 50, stop: list[str] | None = None) -> DataFrame:
     """Most frequent words of four letters and more, the stop words taken out of the first ``candidates``."""
     t = tokens(docs, text, id_column, 4, rf"{BEFORE}([a-z]{{4,}}){AFTER}")

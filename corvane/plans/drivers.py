@@ -37,7 +37,7 @@ def trend_tables(papers: DataFrame, items: str = "methods") -> dict[str, Table]:
 def gap_tables(papers: DataFrame, items: str = "methods") -> dict[str, Table]:
     return {
         "category_pairs": gaps.pair_gaps(papers), "cross_discipline": gaps.pair_gaps(gaps.prefixes(papers), "prefixes", min_expected=10), "method_gaps": gaps.domain_gaps(papers, items), "reproducibility": gaps.reproducibility(papers), "code_rates": gaps.code_rate(papers),
-        "surveys": gaps.survey_opportunities(papers), "opportunities": gaps.opportunity_scores(papers), "view_scores": gaps.view_scores(papers), "simple_pairs": gaps.simple_pair_gaps(papers),
+        "surveys": gaps.survey_opportunities(papers), "opportunities": gaps.opportunity_scores(papers), "hot_low_volume": gaps.hot_low_volume(papers), "view_scores": gaps.view_scores(papers), "simple_pairs": gaps.simple_pair_gaps(papers),
     }
 
 
@@ -47,17 +47,22 @@ def success_tables(papers: DataFrame, items: str = "methods", least: int = 50) -
         return {}
     factors = {"has_code": F.col("has_code"), "is_survey": F.col("is_survey"), "team": F.size("author_list") > 3}
     one = impact.formula(papers, factors)
-    return {
+    out = {
         "lifts": impact.binary_lifts(papers, ["has_code", "is_survey"]), "categories": impact.group_success(papers, "primary_category"), "venues": impact.group_success(papers, "venue", 5), "methods": impact.item_success(papers, items),
         "team_size": impact.buckets(papers, F.coalesce(F.when(F.col("author_list").isNotNull(), F.size("author_list")), F.lit(1)), impact.TEAM_BUCKETS, "7+"), "h_index": impact.buckets(papers.join(authors.best_h(papers), "arxiv_id"), F.col("max_h"), impact.H_BUCKETS, "50+"),
         "formula": impact.ranked_formula(one), "scores": impact.score(papers, one, factors), "simple": impact.simple_impact(papers, {"authors": F.size(F.coalesce("author_list", F.array())), "code": F.col("has_code")}),
     }
+    if "title" in papers.columns:
+        out["title_traits"] = impact.title_traits(papers)
+    if "abstract" in papers.columns:
+        out["abstract_words"] = impact.buckets(papers, impact.words("abstract"), impact.ABSTRACT_BUCKETS, "very long (300+)")
+    return out
 
 
 def author_tables(papers: DataFrame, now: int) -> dict[str, Table]:
     return {
         "rollup": authors.rollup(papers), "prolific": authors.prolific(papers), "influential": authors.influential(papers), "by_h_index": authors.influential_h(papers), "rising": authors.rising(papers, now), "timeline": authors.timeline(papers), "trend": authors.timeline_trend(papers),
-        "growth": authors.citation_growth(papers), "momentum": authors.momentum(papers), "topics": authors.topics(papers), "careers": authors.careers(papers, now), "breadth": authors.cumulative_coauthors(papers), "collaboration": authors.collaboration_patterns(papers), "index": authors.index_summary(papers),
+        "growth": authors.citation_growth(papers), "momentum": authors.momentum(papers), "topics": authors.topics(papers), "migration": authors.migration(papers, now), "careers": authors.careers(papers, now), "breadth": authors.cumulative_coauthors(papers), "collaboration": authors.collaboration_patterns(papers), "index": authors.index_summary(papers),
     }
 
 

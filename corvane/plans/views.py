@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import authors, benchmarks, fulltext, gaps, graph, impact, stats, trends, vectors
+from ..functions import lexicon as L
+from ..operators import authors, benchmarks, fulltext, gaps, graph, impact, stats, text, trends, vectors
 from ..sources.adapters import SOTA_SQL, papers, read, sota
-from .catalog import _CHAIN, A, P, _chain, query
+from .catalog import _CHAIN, _TOK, NOW, A, P, _chain, _documents, _named_sql, query
 
 # --- trends -----------------------------------------------------------------------------------------------------------
 _KEYWORDS = f"""{P}, ms AS (SELECT DISTINCT month FROM papers WHERE month IS NOT NULL), mr AS (SELECT month, row_number() OVER (ORDER BY month) AS i, count(*) OVER () AS m FROM ms),
@@ -206,3 +207,70 @@ def theme_counts(spark, d):
     return fulltext.theme_counts(papers(spark, d), "methods")
 
 
+# --- titles, terms, whole lexicons, topics over the years -------------------------------------------------------------
+_CITED = f"""{P}, x AS (SELECT coalesce(text, '') AS abstract, string_split(coalesce(text, ''), chr(10))[1] AS title, CAST(coalesce(citations, 0) AS DOUBLE) AS y FROM documents LEFT JOIN papers ON doc_id = arxiv_id)"""
+_WORDS = "len(list_filter(string_split_regex({}, '[\\x09-\\x0D\\x20]+'), lambda w: w <> ''))"
+
+
+def _cited(spark, d):
+    """All documents, the first line as title, with the citations of the paper of the same number."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("arxiv_id"), F.coalesce("text", F.lit("")).alias("abstract"))
+    return docs.withColumn("title", F.split("abstract", "\n")[0]).join(papers(spark, d).select("arxiv_id", "citations"), "arxiv_id", "left")
+
+
+@query(f"""{_CITED}, t AS (SELECT y, unnest(['has_colon', 'has_question', 'short_title']) AS trait, unnest([contains(title, ':'), contains(title, '?'), {_WORDS.format("title")} <= 8]) AS f FROM x)
+SELECT trait, count(*) FILTER (f) AS n_with, count(*) FILTER (NOT f) AS n_without, round(avg(y) FILTER (f), 4) AS avg_with, round(avg(y) FILTER (NOT f), 4) AS avg_without, round(avg(y) FILTER (f) / greatest(avg(y) FILTER (NOT f), 0.1), 2) AS lift
+FROM t GROUP BY trait HAVING count(*) FILTER (f) > 0 AND count(*) FILTER (NOT f) > 0""")
+def title_traits(spark, d):
+    return impact.title_traits(_cited(spark, d))
+
+
+@query(f"""{_CITED}, n AS (SELECT y, {_WORDS.format("abstract")} AS n FROM x) SELECT CASE WHEN n < 100 THEN 'short (<100 words)' WHEN n < 200 THEN 'medium (100-200)' WHEN n < 300 THEN 'long (200-300)' ELSE 'very long (300+)' END AS bucket,
+count(*) AS n, round(avg(y), 4) AS avg_citations, median(y) AS median_citations FROM n GROUP BY 1""")
+def abstract_words(spark, d):
+    return impact.buckets(_cited(spark, d), impact.words("abstract"), impact.ABSTRACT_BUCKETS, "very long (300+)")
+
+
+# Generated words have no synonyms; these stand for them: two variants of one term, and one whose canonical term is filtered.
+_MERGES = {"orantion": "tion", "hehely": "tion", "thatin": "that"}
+_UNWANTED = "(term IN ({}) OR regexp_matches(term, '^(?:.?.?.?$|tho)'))".format(", ".join(f"'{w}'" for w in L.SIMPLE_STOP_WORDS))
+
+
+@query(_TOK + f""", c AS (SELECT source, term, count(*) AS n FROM k GROUP BY ALL), m AS (SELECT source, CASE term {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _MERGES.items())} ELSE term END AS term, n FROM c WHERE NOT {_UNWANTED})
+SELECT source, term, CAST(sum(n) AS BIGINT) AS score FROM m WHERE NOT {_UNWANTED} GROUP BY ALL""")
+def normalised_terms(spark, d):
+    docs = _documents(spark, d)
+    counted = text.tokens(docs, "abstract").join(docs.select(F.col("arxiv_id").alias("id"), "source"), "id").groupBy("source", "term").agg(F.count(F.lit(1)).alias("score"))
+    return text.process_keywords(counted, L.SIMPLE_STOP_WORDS, [".?.?.?$", "tho"], _MERGES, ("source",))
+
+
+def _found(spark, d, lexicon):
+    docs = read(spark, d, "documents").select(text.hits(F.col("text"), lexicon).alias("found"))
+    return fulltext.theme_counts(docs, "found", list(lexicon))
+
+
+@query(_named_sql({k: [p] for k, p in L.METHODS.items()}, "theme"))
+def methods_found(spark, d):
+    return _found(spark, d, L.METHODS)
+
+
+@query(_named_sql({k: [p] for k, p in L.DATASETS.items()}, "theme"))
+def datasets_found(spark, d):
+    return _found(spark, d, L.DATASETS)
+
+
+@query(f"""{P}, t AS (SELECT au AS author, year, unnest(category_list) AS topic FROM (SELECT unnest(author_list) AS au, year, category_list FROM papers WHERE year IS NOT NULL)),
+g AS (SELECT author, topic, min(year) AS first_year, max(year) AS last_year, count(DISTINCT year) AS active_years FROM t GROUP BY ALL) SELECT *, last_year >= {NOW} - 2 AS is_current FROM g WHERE active_years >= 2""")
+def topic_migration(spark, d):
+    return authors.migration(papers(spark, d), NOW)
+
+
+@query(f"""{P} SELECT custkey, count(*) AS papers, round(avg(velocity), 4) AS avg_velocity FROM papers WHERE velocity > 0 AND custkey IS NOT NULL GROUP BY custkey HAVING count(*) < 50 AND avg(velocity) > 1""")
+def hot_low_volume(spark, d):
+    return gaps.hot_low_volume(papers(spark, d), "custkey")
+
+
+@query(f"""WITH RECURSIVE {_CHAIN}, l(id) AS (SELECT max(src) FROM cite UNION SELECT dst FROM l JOIN cite ON src = id) SELECT id FROM l WHERE id IN (SELECT dst FROM cite) AND id NOT IN (SELECT src FROM cite)""")
+def lineage_roots(spark, d):
+    e = _chain(spark, d)
+    return graph.lineage_roots(e, e.agg(F.max("src")).first()[0])

@@ -133,6 +133,21 @@ def citations_lookup(papers: DataFrame, service: DataFrame) -> DataFrame:
     return papers.drop(*[c for c in s.columns if c != "arxiv_id"]).join(s, "arxiv_id", "left")
 
 
+def backfilled(papers: DataFrame, service: DataFrame, as_of: Column) -> DataFrame:
+    """Papers whose missing DOI and affiliations come from a landed service, with citations (none: 0) and their velocity, also of 0.
+
+    service: arxiv_id, citationCount, externalIds (a map), authors (with affiliations); what a paper has itself stays.
+    """
+    names = F.array_distinct(F.flatten(F.transform("authors", lambda a: F.coalesce(a["affiliations"], F.array().cast("array<string>")))))
+    s = service.select("arxiv_id", F.col("citationCount").alias("__n"), F.try_element_at("externalIds", F.lit("DOI")).alias("__doi"), names.alias("__aff")).dropDuplicates(["arxiv_id"])
+    out = papers
+    for c, kind in (("doi", "string"), ("affiliations", "array<string>")):
+        out = out if c in papers.columns else out.withColumn(c, F.lit(None).cast(kind))
+    own = F.when(F.size("affiliations") > 0, F.col("affiliations"))
+    out = out.drop("citations").join(s, "arxiv_id", "left").withColumns({"doi": F.coalesce(F.nullif("doi", F.lit("")), "__doi"), "affiliations": F.coalesce(own, F.when(F.size("__aff") > 0, F.col("__aff"))), "citations": F.coalesce("__n", F.lit(0))})
+    return with_age(out.drop("__n", "__doi", "__aff"), as_of)
+
+
 def author_metrics(papers: DataFrame, authors: DataFrame, most: int = 5) -> DataFrame:
     """Largest and mean h-index of the first authors, and the first author's own."""
     ids = papers.select("arxiv_id", F.posexplode(F.slice("s2_author_ids", 1, most)).alias("pos", "author_id"))
