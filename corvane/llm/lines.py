@@ -10,7 +10,9 @@ Chunks leave the edges of a repeated passage, so runs count too: for each line w
 Any longer repeated run is made up of these, so it goes whole; only blank lines at its outer edges may stay.
 Of chunks and runs with equal bytes the first (by id, then place) stays; one that overlaps the first stays with it.
 
-Equality: by the SHA-256 of the lines' SHA-256; only those whose 64-bit hash repeats are grouped, on the map side first.
+Equality: candidates are those whose 64-bit hash repeats, grouped by the SHA-256 of their lines' SHA-256, on the map side
+first. Then their bytes are read from the texts again and compared: a group goes only if the least and the greatest of its
+texts are the same; one whose texts differ is left alone.
 
 A document is an id with its text: rows that share an id but not the text, or have none, are documents of their own.
 Null text: stays null. Empty text: one empty line, stays. Very long text: one row, its arrays are as long as its lines and
@@ -92,6 +94,21 @@ def _units(docs: DataFrame, id_column: str, text: str, window: int, divisor: int
     return out.where(((F.col("end") - F.col("start") >= least_lines) & (F.col("words") >= least_words)) | (F.col("words") > long_words)).drop("words")
 
 
+def firsts_of(docs: DataFrame, again: DataFrame, id_column: str, text: str) -> DataFrame:
+    """Groups (digest) of several places with the same bytes, and the key and end of the first: by id, nulls last, then place.
+
+    again: (digest, start, end, doc). Each place's text is cut from its document; a group's least and greatest text are combined
+    on the map side, so a group of any size sends one of each from a task.
+    """
+    places = bounded_broadcast(save(again.groupBy("doc").agg(F.collect_list(F.struct("digest", "start", "end")).alias("places")).withColumn("key", F.col("doc.key")), "places"))
+    rows = docs.where(F.col(text).isNotNull()).select(row_key(F.col(id_column), F.col(text)).alias("key"), F.split(F.col(text), "\n").alias("lines"))
+    rows = rows.join(places, "key").select("doc", "lines", F.explode_outer("places").alias("p")).where("p is not null")
+    piece = F.array_join(F.slice("lines", F.col("p.start") + 1, F.col("p.end") - F.col("p.start")), "\n")
+    rows = rows.select(F.col("p.digest").alias("digest"), F.struct("doc", F.col("p.start").alias("start"), F.col("p.end").alias("end")).alias("place"), piece.alias("piece"))
+    out = rows.groupBy("digest").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.min("piece").alias("least"), F.max("piece").alias("greatest"))
+    return out.where((F.col("n") > 1) & (F.col("least") == F.col("greatest"))).select("digest", F.col("first.doc.key").alias("first"), F.col("first.end").alias("upto"))
+
+
 def _merged(ranges: DataFrame) -> DataFrame:
     """Ranges (key, start, end) with those that overlap or touch joined into one."""
     by = W.partitionBy("key").orderBy("start", "end")
@@ -108,8 +125,7 @@ def dedup_lines(
     found = save(_units(docs, id_column, text, window, divisor, long_words, least_lines, least_words), "units").withColumn("hash", F.xxhash64("digest"))
     often = save(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated")
     again = found.join(bounded_broadcast(often), "hash", "left_semi").select("digest", "start", "end", "doc")
-    first = F.min(F.struct("doc", "start", "end")).alias("first")
-    firsts = save(again.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("first.doc.key").alias("first"), F.col("first.end").alias("upto")), "firsts")
+    firsts = save(firsts_of(docs, again, id_column, text), "firsts")
     drop = again.join(bounded_broadcast(firsts), "digest").where((F.col("doc.key") != F.col("first")) | (F.col("start") >= F.col("upto"))).select("doc.key", "start", "end")
     gone = save(_merged(drop).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("gone")), "gone")
     key, cut, held = (free_name(c, docs.columns) for c in ("__key", "__gone", "__lines"))
