@@ -285,19 +285,6 @@ def test_lines_of_repeated_and_null_ids(spark):
     assert got == Counter([(None, "y"), (None, rows[1][1]), (7, rows[2][1]), (7, rows[3][1]), (9, "last"), (9, "last"), (3, None), (4, "")])
 
 
-def test_lines_compare_bytes(spark):
-    rows = [(1, "same\ntext"), (2, "x\nsame\ntext"), (3, "other\ntext"), (3, "other\ntext"), (None, "same\ntext")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    key = lines.row_key(F.col("doc_id"), F.col("text"))
-    keyed = {(r["doc_id"], r["text"]): r["key"] for r in docs.select("doc_id", "text", key.alias("key")).collect()}
-    places = docs.select(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"), key.alias("key")).alias("doc"), F.when(F.col("doc_id") == 2, 1).otherwise(0).alias("start")).withColumn("end", F.col("start") + 2)
-    honest = places.where("doc.z or doc.id < 3").withColumn("digest", F.lit("a").cast("binary"))
-    collided = places.where("doc.id <> 2").withColumn("digest", F.lit("b").cast("binary"))
-    again = honest.unionByName(collided).select("digest", "start", "end", "doc")
-    got = {bytes(r["digest"]): (r["first"], r["upto"]) for r in lines.firsts_of(docs, again, "doc_id", "text").collect()}
-    assert got == {b"a": (keyed[1, "same\ntext"], 2)}
-
-
 def _line_units(text):
     """All chunks and shortest runs of a text that count, as (start, end), by a plain loop over the rules."""
     import xxhash
