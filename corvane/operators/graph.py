@@ -147,22 +147,26 @@ def foundational(edges: DataFrame, papers: DataFrame, n: int = 50) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20, tol: float | None = None) -> DataFrame:
-    """PageRank with the rank of sinks spread evenly; a fixed number of rounds, or until the change is below tol * n."""
-    nodes = _cut(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct())
-    n = nodes.count()
-    out = _cut(edges.groupBy("src").agg(F.count(F.lit(1)).alias("k")))
-    ranks = nodes.withColumn("r", F.lit(1.0 / max(n, 1)))
-    for i in range(rounds):
-        give = ranks.join(out.withColumnRenamed("src", "id"), "id", "left")
-        sinks = give.where("k is null").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("s"))
-        got = edges.join(give.where("k is not null").select(F.col("id").alias("src"), (F.col("r") / F.col("k")).alias("share")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("g"))
-        new = nodes.join(got, "id", "left").crossJoin(F.broadcast(sinks)).select("id", (alpha * (F.coalesce("g", F.lit(0.0)) + F.col("s") / n) + (1 - alpha) / n).alias("r"))
-        if tol is not None or i % 4 == 3:
-            new = _cut(new)
-        if tol is not None and new.join(ranks.withColumnRenamed("r", "old"), "id").agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0] < tol * n:
-            return new.withColumnRenamed("r", "pagerank")
+    """PageRank with the rank of sinks spread evenly; a fixed number of rounds, or until the change is below tol * n.
+
+    Ranks keep their vertex's number of edges and are written each round: a round reads them twice, for the shares along the
+    edges and for the sinks, and its plan would else hold all rounds before it twice.
+    """
+    out = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("k"))
+    nodes = _cut(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().join(out, "id", "left"))
+    n = max(nodes.count(), 1)
+    ranks = nodes.withColumn("r", F.lit(1.0 / n))
+    for _ in range(rounds):
+        sinks = ranks.where("k is null").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("s"))
+        shares = ranks.where("k is not null").select(F.col("id").alias("src"), (F.col("r") / F.col("k")).alias("share"))
+        got = edges.join(shares, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("g"))
+        spread = nodes.join(got, "id", "left").crossJoin(F.broadcast(sinks))  # one row
+        new = written(spread.select("id", "k", (alpha * (F.coalesce("g", F.lit(0.0)) + F.col("s") / n) + (1 - alpha) / n).alias("r")))
+        change = new.join(ranks.select("id", F.col("r").alias("old")), "id").agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0] if tol is not None else None
         ranks = new
-    return ranks.withColumnRenamed("r", "pagerank")
+        if tol is not None and (change is None or change < tol * n):
+            break
+    return ranks.select("id", F.col("r").alias("pagerank"))
 
 
 def lineage(edges: DataFrame, start, depth: int = 5, forward: bool = True) -> DataFrame:

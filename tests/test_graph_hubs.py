@@ -43,3 +43,20 @@ def test_strongest_edges(spark):
     kept = lambda k: sorted(r["w"] for r in graph.strongest(e, k).collect())
     assert kept(1) == [5, 5, 9, 9] and kept(0.5) == [9, 9] and kept(0.1) == [9, 9] and len(kept(2)) == 6
     assert graph.strongest(e.limit(0), 2).count() == 0
+
+
+def test_pagerank_against_plain_rounds(spark):
+    rng = random.Random(5)
+    edges = sorted({(rng.randrange(30), rng.randrange(30)) for _ in range(70)})
+    df = spark.createDataFrame(edges, "src long, dst long")
+    ids = sorted({v for e in edges for v in e})
+    out = {v: [b for a, b in edges if a == v] for v in ids}
+    rank = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(20):
+        lost = sum(rank[v] for v in ids if not out[v])
+        rank = {v: 0.85 * (sum(rank[u] / len(out[u]) for u in ids if v in out[u]) + lost / len(ids)) + 0.15 / len(ids) for v in ids}
+    got = {r["id"]: r["pagerank"] for r in graph.pagerank(df).collect()}
+    assert set(got) == set(ids) and max(abs(got[v] - rank[v]) for v in ids) < 1e-12
+    near = {r["id"]: r["pagerank"] for r in graph.pagerank(df, rounds=50, tol=1e-3).collect()}
+    assert max(abs(near[v] - rank[v]) for v in ids) < 0.02 and abs(sum(near.values()) - 1) < 1e-6
+    assert graph.pagerank(df.limit(0), rounds=2).count() == 0
