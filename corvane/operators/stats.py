@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import lexicon as L
-from ..functions.macros import top
+from ..functions.macros import rounded, top
 from .impact import global_rank
 
 # Words that mark a survey, and venues that count as top.
@@ -129,7 +129,7 @@ def derive(papers: DataFrame, signals: list[Column], venue: str = "venue", venue
     total = sum((F.coalesce(s, F.lit(False)).cast("int") for s in [*signals, F.col("is_top_venue")]), F.lit(0))
     rows = rows.select("arxiv_id", "__v", F.coalesce(interdisciplinary(array, separator), F.lit(0)).alias("interdisciplinary"), "is_top_venue", total.alias("quality_signals"))
     out = global_rank(rows, [F.desc("__v"), F.asc("arxiv_id")]).crossJoin(F.broadcast(n))  # one row
-    return out.select("arxiv_id", (F.col("rank") + 1).cast("long").alias("velocity_rank"), F.round(100 * (1 - (F.col("rank") + 1) / F.col("__n")), 1).alias("velocity_percentile"), "interdisciplinary", "is_top_venue", "quality_signals")
+    return out.select("arxiv_id", (F.col("rank") + 1).cast("long").alias("velocity_rank"), rounded(100 * (1 - (F.col("rank") + 1) / F.col("__n")), 1).alias("velocity_percentile"), "interdisciplinary", "is_top_venue", "quality_signals")
 
 
 def top_in_category(papers: DataFrame, category, n: int = 15) -> DataFrame:
