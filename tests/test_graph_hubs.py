@@ -60,3 +60,26 @@ def test_pagerank_against_plain_rounds(spark):
     near = {r["id"]: r["pagerank"] for r in graph.pagerank(df, rounds=50, tol=1e-3).collect()}
     assert max(abs(near[v] - rank[v]) for v in ids) < 0.02 and abs(sum(near.values()) - 1) < 1e-6
     assert graph.pagerank(df.limit(0), rounds=2).count() == 0
+
+
+def test_triangles_over_every_pair_of_coauthors(spark):
+    from corvane.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    teams = [sorted(set(r["author_list"] or [])) for r in catalog.papers(spark, sf).select("author_list").collect()]
+    pairs = {p for t in teams for p in combinations(t, 2)}
+    people = sorted({x for p in pairs for x in p})
+    want = [c for c in combinations(people, 3) if all(p in pairs for p in combinations(c, 2))]
+    assert sorted(tuple(r) for r in catalog.QUERIES["triangles_cliques"](spark, sf).select("a", "b", "c").collect()) == want
+
+
+def test_triangles_by_colours_against_all_subsets(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = {p for p in combinations(range(40), 2) if rng.random() < 0.4}
+    want = [c for c in combinations(range(40), 3) if all(p in edges for p in combinations(c, 2))]
+    for most in (10, 100, 2_000_000):
+        monkeypatch.setattr(graph, "TASK_EDGES", most)
+        got = graph.triangles(table(spark, edges)).collect()
+        assert sorted(tuple(r) for r in got) == want
+    named = graph.triangles(table(spark, edges).select(*[F.format_string("v%02d", c).alias(c) for c in "ab"])).collect()
+    assert sorted(tuple(int(x[1:]) for x in r) for r in named) == want
