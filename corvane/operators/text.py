@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions import lexicon as L
+from ..functions.literals import matches
 from ..functions.macros import explode_pairs, top, top_per
 
 #: Borders of words of every script, the same on every Java version.
@@ -16,9 +17,9 @@ TOKEN = rf"{BEFORE}([a-z][a-z\-]+[a-z]){AFTER}"
 
 
 def hits(text: Column, lexicon: dict[str, str]) -> Column:
-    """Names of the patterns found in a text, in the lexicon's order; one generated expression, no UDF."""
+    """Names of the patterns found in a text, in the lexicon's order; one expression, no UDF. The text is lower-cased once, as the only element of an array."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(F.array(*[F.when(low.rlike(p), F.lit(k)) for k, p in lexicon.items()]), lambda x: x.isNotNull())
+    return F.transform(F.array(low), lambda t: F.filter(F.array(*[F.when(matches(t, p), F.lit(k)) for k, p in lexicon.items()]), lambda x: x.isNotNull()))[0]
 
 
 def methods(text: Column) -> Column:
