@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.macros import explode_pairs, ordinal, slope, top, top_per
+from ..functions.macros import ordinal, slope, top, top_per
 from ..functions.ranks import h_index
+from . import graph
 
 
 def authorships(papers: DataFrame, array: str = "author_list") -> DataFrame:
@@ -173,7 +174,7 @@ def index_summary(papers: DataFrame) -> DataFrame:
 
 def top_pairs(papers: DataFrame, n: int = 20) -> DataFrame:
     """Pairs of authors with most shared papers."""
-    return top(explode_pairs(papers, "author_list").groupBy("a", "b").agg(F.count(F.lit(1)).alias("papers")), n, F.desc("papers"), F.asc("a"), F.asc("b"))
+    return top(graph.coauthor_edges(papers).withColumnRenamed("w", "papers"), n, F.desc("papers"), F.asc("a"), F.asc("b"))
 
 
 def best_h(papers: DataFrame) -> DataFrame:

@@ -49,3 +49,18 @@ def test_few_pairs_are_made_of_large_vocabularies(spark, monkeypatch):
     wanted = sum(x * y / 2_000_000 > 3 for x in sizes for y in sizes)
     assert gaps.admissible(item, cat, total, 3).count() == wanted
     assert gaps.admissible(item, cat, total, 0.75).count() < 9_000_000 / 20  # all that the cells' rounding can add: a factor of two for either side
+
+
+def test_tasks_that_count_pairs_grow_with_the_papers(spark, monkeypatch):
+    from collections import Counter
+    from itertools import combinations
+
+    from corvane.operators import graph
+
+    monkeypatch.setattr(graph, "TASK_PAPERS", 20)
+    teams = [[i % 31, i * 7 % 41 + 100, i * 3 % 17 + 200] for i in range(1000)] + [[5], None]
+    df = spark.createDataFrame([(t,) for t in teams], "author_list array<long>")
+    made = graph.coauthor_edges(df)
+    assert made.rdd.getNumPartitions() == 51
+    want = Counter(p for t in teams if t for p in combinations(sorted(set(t)), 2))
+    assert {(r["a"], r["b"]): r["w"] for r in made.collect()} == want
