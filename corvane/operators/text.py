@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import lexicon as L
 from ..functions.literals import matches
-from ..functions.macros import explode_pairs, top, top_per
+from ..functions.macros import explode_pairs, top, top_per, written
 
 #: Borders of words of every script, the same on every Java version.
 BEFORE, AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -108,13 +108,49 @@ def frequency(papers: DataFrame, array: str, n: int = 50) -> DataFrame:
     return top(papers.select(F.explode(array).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")), n, F.desc("n"), F.asc("name"))
 
 
-def tfidf(toks: DataFrame, total: DataFrame | None = None, n: int = 20) -> DataFrame:
-    """Top terms of each document by tf / max tf * ln(N / (1 + df)); not clipped. total: one row, the documents counted."""
-    tf = toks.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    most = tf.groupBy("id").agg(F.max("tf").alias("most"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    docs = total if total is not None else tf.agg(F.count_distinct("id").alias("total"))
-    out = tf.join(most, "id").join(df, "term").crossJoin(F.broadcast(docs))
+def document_counts(docs: DataFrame, text: str | Column, id_column: str = "arxiv_id", keep: tuple[str, ...] = (), least: int = 3, pattern: str = TOKEN) -> DataFrame:
+    """(id, keep, terms): the words of each document with their counts, as array<struct<term, tf>>; a written table, a row for each id and keep.
+
+    Words are sorted and counted where their text lies; only the words of rows that share id and keep are brought together first. Rows without an id are left out.
+    """
+    t = F.col(text) if isinstance(text, str) else text
+    found = F.filter(F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(pattern), F.lit(1)), lambda w: F.length(w) >= least)
+    keys = ["id", *keep]
+    named = docs.select(F.col(id_column).alias("id"), *keep, found.alias("words")).where("id is not null")
+    twice = written(named.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    if not twice.isEmpty():
+        same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+        other = twice.select(*[F.col(k).alias(f"__{k}") for k in keys])
+        several = named.join(other, same, "left_semi").groupBy(*keys).agg(F.flatten(F.collect_list("words")).alias("words"))
+        named = named.join(other, same, "left_anti").unionByName(several)
+    # What a lambda's variable holds is made once; as an expression it would be made again for each word.
+    once = lambda value, f: F.transform(F.array(value), f)[0]
+    heads = lambda s: F.filter(F.transform(s, lambda x, i: F.struct(x.alias("term"), i.alias("at"))), lambda h: (h["at"] == 0) | (h["term"] != F.get(s, h["at"] - 1)))
+    ends = lambda s, h: once(F.transform(h, lambda x: x["at"]), lambda at: F.transform(h, lambda x, i: F.struct(x["term"].alias("term"), (F.coalesce(F.get(at, i + 1), F.size(s)) - x["at"]).cast("long").alias("tf"))))
+    return written(named.select(*keys, once(F.sort_array("words"), lambda s: once(heads(s), lambda h: ends(s, h))).alias("terms")))
+
+
+#: Different terms up to which their table is sent to every task.
+BROADCAST_TERMS = 400_000
+#: Documents whose terms one task ranks.
+TASK_DOCUMENTS = 2_000
+
+
+def tfidf(counts: DataFrame, total: DataFrame | None = None, n: int = 20) -> DataFrame:
+    """Top terms of each document by tf / max tf * ln(N / (1 + df)); not clipped. counts: (id, terms), as of ``document_counts``, or words (id, term).
+
+    total: one row, the documents counted. With a vocabulary of bounded size only the counts are shuffled, once.
+    """
+    if "terms" not in counts.columns:
+        tf = counts.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+        counts = written(tf.where("id is not null").groupBy("id").agg(F.collect_list(F.struct("term", "tf")).alias("terms")))
+    counts = counts.where(F.size("terms") > 0)
+    df = written(counts.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    docs = total if total is not None else counts.agg(F.count(F.lit(1)).alias("total"))
+    # So many documents that a task's terms stay as many at every size; a document is in one task, which ranks its terms.
+    tasks = max(counts.sparkSession.sparkContext.defaultParallelism, counts.count() // TASK_DOCUMENTS + 1)
+    rows = counts.repartition(tasks, "id").select("id", F.array_max("terms.tf").alias("most"), F.explode("terms").alias("x")).select("id", "x.term", "x.tf", "most")
+    out = rows.join(F.broadcast(df) if df.count() <= BROADCAST_TERMS else df, "term").crossJoin(F.broadcast(docs))
     score = F.col("tf") / F.col("most") * F.log(F.col("total") / (1 + F.col("df")))
     return top_per(out.select("id", "term", F.round(score, 6).alias("score")), ["id"], n, F.desc("score"), F.asc("term"))
 
@@ -149,12 +185,20 @@ def topics(toks: DataFrame, n_topics: int = 20, words: int = 300, near: int = 15
 
 
 def emerging(toks: DataFrame, least: int = 5, growth: float = 1.5, new_rank: float = 100, n: int = 50) -> DataFrame:
-    """Terms whose share of documents grew between the halves of the active periods; toks: (id, term, period)."""
+    """Terms whose share of documents grew between the halves of the active periods; toks: (id, term, period), or (id, period, terms) as of ``document_counts``.
+
+    The latter holds each document's terms once, so that no task has to hold the pairs of documents and terms to tell them apart.
+    """
+    if "terms" in toks.columns:
+        own = toks.where(F.size("terms") > 0)
+        d, toks = own.select("id", "period", F.explode("terms.term").alias("term")), own.select("id", "period")
+    else:
+        d = toks.select("id", "term", "period").distinct()
     periods = toks.select("period").distinct().withColumn("i", F.row_number().over(W.orderBy("period")) - 1)  # calendar periods: few
     total = periods.agg(F.count(F.lit(1)).alias("m"))
     side = F.broadcast(periods.crossJoin(F.broadcast(total)).select("period", (F.col("i") >= F.floor(F.col("m") / 2)).alias("late")))
-    d = toks.select("id", "term", "period").distinct().join(side, "period")
-    size = d.select("id", "late").distinct().agg(F.greatest(F.count_if(~F.col("late")), F.lit(1)).alias("e_docs"), F.greatest(F.count_if("late"), F.lit(1)).alias("l_docs"))
+    d = d.join(side, "period")
+    size = toks.join(side, "period").select("id", "late").distinct().agg(F.greatest(F.count_if(~F.col("late")), F.lit(1)).alias("e_docs"), F.greatest(F.count_if("late"), F.lit(1)).alias("l_docs"))
     c = d.groupBy("term").agg(F.count_if(~F.col("late")).alias("early"), F.count_if("late").alias("late_n")).where(F.col("late_n") >= least).crossJoin(F.broadcast(size))
     g = (F.col("late_n") / F.col("l_docs")) / F.nullif(F.col("early") / F.col("e_docs"), F.lit(0.0))
     c = c.withColumn("g", g).where(F.col("g").isNull() | (F.col("g") > growth))
