@@ -20,12 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.macros import cut
+from ..functions.macros import cut, small_batches
 
 #: Bytes of vectors in a block; vectors for each cell, while there are few of them; most cells; rows that centres are fitted on.
 BLOCK_BYTES, CELL_ROWS, MOST_CELLS, SAMPLE_ROWS = 2_000_000, 4_096, 1_024, 16_384
 #: Rows of a cell that one task packs, and blocks that one task compares with a block of queries.
 PACK_ROWS, BLOCKS_A_TASK = 65_536, 64
+#: Groups of query blocks while they are small, and most blocks of a group.
+GROUPS, GROUP_BLOCKS = 16, 32
+#: Bytes of blocks handed to Python at once: Spark's 256 MB would be held several times by each worker.
+ARROW_BYTES = 16_000_000
 #: Similarities that differ by less are equal: they are rounded to 12 digits.
 DIGITS, SLACK = 12, 2e-12
 
@@ -73,6 +77,7 @@ def fitted(sample: np.ndarray, cells: int, rounds: int = 4) -> np.ndarray:
 def build(classes: DataFrame, dim: int) -> Index:
     """Index of (class, v), v an array of doubles with a direction, all of one length."""
     spark, n = classes.sparkSession, classes.count()
+    small_batches(spark, ARROW_BYTES)
     cells = max(1, min(MOST_CELLS, -(-n // CELL_ROWS)))
     first = classes.orderBy(F.xxhash64("class"), "class").limit(min(n, SAMPLE_ROWS, 16 * cells)).select("v").collect()
     centres = fitted(_unit(np.array([r["v"] for r in first], "f8").reshape(-1, dim)), cells)
@@ -180,33 +185,43 @@ def candidates(index: Index, k: int) -> DataFrame:
 
 
 def nearest(index: Index, k: int) -> DataFrame:
-    """(class, other, similarity): the k nearest classes of each, itself among them; equal similarities by class."""
-    meta = index.blocks.select("cell", "block")
-    pairs = cut(candidates(index, k)).join(meta, "cell")
-    order = W.partitionBy("query").orderBy("block")  # a row for each block: few beside the vectors
-    pairs = cut(pairs.withColumn("part", F.floor((F.row_number().over(order) - 1) / BLOCKS_A_TASK).cast("int")).drop("cell"))
+    """(class, other, similarity): the k nearest classes of each, itself among them; equal similarities by class.
+
+    Blocks of queries go in groups, which meet the blocks that one of them needs together: as many groups as GROUPS while a group has at
+    most GROUP_BLOCKS, so that what is sent grows with the vectors and not with their square.
+    """
+    own = index.blocks.select("cell", "block")
+    size = max(1, min(GROUP_BLOCKS, own.count() // GROUPS))
+    meta = cut(own.withColumn("query", F.floor((F.row_number().over(W.orderBy("cell", "block")) - 1) / size)))  # a row for each block: few beside the vectors
+    asking = candidates(index, k).select(F.col("query").alias("block"), F.col("cell").alias("met")).join(meta, "block").select("query", "met").distinct()
+    pairs = cut(asking).join(own.withColumnRenamed("cell", "met"), "met")
+    order = W.partitionBy("query").orderBy("block")
+    pairs = cut(pairs.withColumn("part", F.floor((F.row_number().over(order) - 1) / BLOCKS_A_TASK).cast("int")).drop("met"))
     base = pairs.join(index.blocks.drop("cell"), "block").select("query", "part", F.lit(1).alias("kind"), "classes", "m")
-    asked = pairs.select("query", "part").distinct().join(index.blocks.select(F.col("block").alias("query"), "classes", "m"), "query")
-    rows = asked.select("query", "part", F.lit(0).alias("kind"), "classes", "m").unionByName(base)
+    asked = pairs.select("query", "part").distinct().join(meta.drop("cell"), "query").join(index.blocks.drop("cell"), "block").select("query", "part", F.lit(0).alias("kind"), "classes", "m")
+    rows = asked.unionByName(base)
     dim = index.dim
 
     def work(frames):
-        now, run, ids = None, None, None
+        now, runs = None, []
         for f in frames:
             for query, part, kind, classes, m in zip(f["query"], f["part"], f["kind"], f["classes"], f["m"], strict=True):
                 if kind == 0:
-                    if run is not None:
-                        yield _found(run, ids)
-                    now, run, ids = (query, part), Running(_matrix(m, dim), k), np.asarray(classes, np.int64)
+                    if now != (query, part):
+                        for run, ids in runs:
+                            yield _found(run, ids)
+                        now, runs = (query, part), []
+                    runs.append((Running(_matrix(m, dim).copy(), k), np.array(classes, np.int64)))
                     continue
                 if now != (query, part):
                     raise RuntimeError("a block of vectors came without its queries")
-                b = _matrix(m, dim)
+                b, there = _matrix(m, dim), np.asarray(classes, np.int64)
                 middle = _unit(b.mean(axis=0, keepdims=True))
                 far = chord(b, middle).max()
-                if ((chord(run.q, middle)[:, 0] - far) <= run.bound() + 1e-9).any():
-                    run.take(b, np.asarray(classes, np.int64))
-        if run is not None:
+                for run, _ in runs:
+                    if ((chord(run.q, middle)[:, 0] - far) <= run.bound() + 1e-9).any():
+                        run.take(b, there)
+        for run, ids in runs:
             yield _found(run, ids)
 
     ordered = rows.repartition("query", "part").sortWithinPartitions("query", "part", "kind")

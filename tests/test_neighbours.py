@@ -96,3 +96,24 @@ def test_rows_without_a_direction(spark):
     assert got["b"] == {"a": None, "c": None, "d": None} and got["e"] == {"a": None, "b": None, "c": None} and None not in got
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert N.neighbours(empty).count() == 0
+
+
+def test_groups_of_query_blocks(spark, monkeypatch):
+    from corvane.operators import neighbours as nb
+
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(300, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(nb, "BLOCK_BYTES", 64 * 6)  # six vectors a block: 50 blocks
+    monkeypatch.setattr(nb, "BLOCKS_A_TASK", 7)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    far = 1 - u @ u.T
+    np.fill_diagonal(far, np.inf)
+    want = {i: sorted(range(300), key=lambda j: far[i, j])[:4] for i in range(300)}
+    for groups in (3, 16):
+        monkeypatch.setattr(nb, "GROUPS", groups)
+        got = {}
+        for r in nb.neighbours(df, 4).orderBy("id", "distance").collect():
+            got.setdefault(r["id"], []).append(r["other"])
+        assert got == want
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= nb.ARROW_BYTES
