@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import pairwise
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +13,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import lexicon as L
 from ..functions.literals import matches
-from ..functions.macros import explode_pairs, top, top_per, written
+from ..functions.macros import explode_pairs, small_batches, top, top_per, written
 
 #: Borders of words of every script, the same on every Java version.
 BEFORE, AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -206,25 +210,63 @@ def emerging(toks: DataFrame, least: int = 5, growth: float = 1.5, new_rank: flo
     return top(c.select("term", "early", F.col("late_n").alias("late"), F.round("g", 4).alias("growth"), F.col("g").isNull().alias("is_new"), F.round(rank, 4).alias("rank")), n, F.desc("rank"), F.asc("term"))
 
 
+#: Bytes of texts that Python gets at once.
+ARROW_BYTES = 4_000_000
+
+
+def keywords(rows: list[tuple[str, str, list[str]]], n: int = 10) -> list[str]:
+    """Keywords of (title, text, words) rows that make one document: the 50 most frequent words and 30 most frequent pairs of neighbours, in order of their scores."""
+    often = lambda held, most: sorted(held, key=lambda x: (-x[1], x[0]))[:most]
+    words, pairs = Counter(), Counter()
+    for _, _, own in rows:
+        words.update(own)
+        pairs.update(map(" ".join, pairwise(own)))
+    single, double = often(words.items(), 50), often((x for x in pairs.items() if x[1] >= 2), 30)
+    scored = [(-1.5 * tf, term) for term, tf in double]
+    for title, text, _ in rows:
+        scored += [(-tf * (1 / (1 + text.find(term) / 100.0) * (1.0 if term in title else 0.5)), term) for term, tf in single]
+    kept, used = [], set()
+    for _, term in sorted(scored):
+        if used.isdisjoint(parts := term.split(" ")):
+            kept.append(term)
+            used.update(parts)
+        if len(kept) >= n:
+            break
+    return kept
+
+
 def doc_keywords(docs: DataFrame, title: str = "title", abstract: str = "abstract", id_column: str = "arxiv_id", n: int = 10, stop: list[str] = (), merges: dict[str, str] | None = None) -> DataFrame:
-    """Keywords of each document: unigrams by tf and position, bigrams (tf >= 2) at 1.5, greedily without shared words."""
-    t, a = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(abstract, F.lit("")))
-    text = F.concat_ws(" ", t, t, t, a)
-    base = docs.select(F.col(id_column).alias("id"), t.alias("__t"), text.alias("__x"))
-    toks = normalise(tokens(base.withColumnRenamed("id", "arxiv_id"), "__x"), stop, merges)
-    w = W.partitionBy("id").orderBy("pos")
-    toks = toks.withColumn("next", F.lead("term").over(w))
-    uni = toks.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("bi", F.lit(False))
-    bi = toks.where("next is not null").groupBy("id", F.concat_ws(" ", "term", "next").alias("term")).agg(F.count(F.lit(1)).alias("tf")).where("tf >= 2").withColumn("bi", F.lit(True))
-    every = top_per(uni, ["id"], 50, F.desc("tf"), F.asc("term")).unionByName(top_per(bi, ["id"], 30, F.desc("tf"), F.asc("term"))).join(base, "id")
-    place = F.expr("locate(term, __x) - 1")
-    score = F.col("tf") * F.when(F.col("bi"), 1.5).otherwise(1 / (1 + place / 100.0) * F.when(F.expr("locate(term, __t) > 0"), 1.0).otherwise(0.5))
-    held = every.select("id", F.struct((-score).alias("o"), "term").alias("s")).groupBy("id").agg(F.array_sort(F.collect_list("s")).alias("all"))
-    empty = F.struct(F.array().cast("array<string>").alias("kept"), F.array().cast("array<string>").alias("used"))
-
-    def pick(acc: Column, x: Column) -> Column:
-        words = F.split(x["term"], " ")
-        ok = (F.size(acc["kept"]) < n) & ~F.arrays_overlap(acc["used"], words)
-        return F.when(ok, F.struct(F.concat(acc["kept"], F.array(x["term"])).alias("kept"), F.concat(acc["used"], words).alias("used"))).otherwise(acc)
-
-    return held.select(F.col("id").alias(id_column), F.aggregate("all", empty, pick)["kept"].alias("keywords"))
+    """Keywords of each document: unigrams by tf and position, bigrams (tf >= 2) at 1.5, greedily without shared words.
+
+    A text is shuffled once, to deal the texts evenly; its words are cut, counted and scored in one task and never become rows. Rows
+    that share an id make one document: counts add up, pairs lie within a row, a term has its best score. Rows without an id or without words are left out.
+    """
+    unwanted, canonical = frozenset(stop), {k: v for k, v in (merges or {}).items() if v is not None}
+    kinds = T.StructType([T.StructField(id_column, docs.select(id_column).schema[0].dataType), T.StructField("keywords", T.ArrayType(T.StringType()))])
+    ids, out = kinds.names
+
+    def normal(words: list[str]) -> list[str]:
+        kept = [w for w in words if w not in unwanted]
+        return [c for w in kept if (c := canonical.get(w, w)) not in unwanted] if canonical else kept
+
+    def work(batches):
+        for batch in batches:
+            held = []
+            for rows in batch.column(1).to_pylist():
+                parts = [(r["t"], f"{r['t']} {r['t']} {r['t']} {r['a']}", normal(r["words"].split())) for r in rows]
+                held.append(keywords(parts, n) if any(p[2] for p in parts) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.string()))], names=[ids, out])
+
+    small_batches(docs.sparkSession, ARROW_BYTES)
+    named = docs.select(F.col(id_column).alias("id"), F.lower(F.coalesce(title, F.lit(""))).alias("t"), F.lower(F.coalesce(abstract, F.lit(""))).alias("a")).where("id is not null")
+    twice = written(named.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"))
+    found = F.regexp_extract_all(F.concat_ws(" ", "t", "t", "t", "a"), F.lit(TOKEN), F.lit(1))
+    # Words hold no spaces, so they go to Python as one string. Dealt by id: a table's files can be fewer than the cores; adaptive
+    # execution would make as many tasks as cores of them, which end at different times.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    row = F.struct("t", "a", F.array_join(found, " ").alias("words"))
+    one = named.repartition(tasks, "id").select("id", F.array(row).alias("rows"))
+    if not twice.isEmpty():
+        several = named.join(twice, "id", "left_semi").select("id", row.alias("row")).groupBy("id").agg(F.collect_list("row").alias("rows"))
+        one = named.join(twice, "id", "left_anti").repartition(tasks, "id").select("id", F.array(row).alias("rows")).unionByName(several)
+    return one.mapInArrow(work, kinds).where(F.col(out).isNotNull())
