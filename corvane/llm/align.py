@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,10 @@ from .common import save, small_batches, tidy
 CACHE_UNITS = 250_000
 #: Pairs expanded at once, of groups that are themselves large.
 PAIRS_AT_ONCE = 1_000_000
+#: Units that A encodes as one text.
+UNITS_AT_ONCE = 1_000
+#: Numbers of A's and B's ids, of 16 bits each, that fit into one 64 bit number together.
+SHAPES = ((1, 1), (1, 2), (2, 1), (1, 3), (2, 2), (3, 1))
 
 FOUND = "kind int, block long, at int, id string, n_a long, n_b long, n_groups long, n_links long, key string, docs array<int>, times array<int>, a int, b int, n long"
 DOC, GROUP, PAIR = 0, 1, 2
@@ -71,6 +76,10 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.space = self.b.piece_to_id("▁")
+        self.length_a = np.zeros(max(self.bytes_a) + 1, np.int64)
+        self.length_a[[*self.bytes_a]] = [*map(len, self.bytes_a.values())]
+        self.length_b = np.array([*map(len, self.bytes_b)], np.int64)
+        self.short_ids = max(len(self.length_a), len(self.length_b)) <= 1 << 16
         with open(path_a, encoding="utf-8") as f:
             how = json.load(f)
         first = how.get("pre_tokenizer") or {}
@@ -81,10 +90,11 @@ class Pair:
 
     def forget(self) -> None:
         self.unit: dict[str, int] = {}
-        self.good: list[bool] = []
-        self.text: list[str] = []
-        self.groups_of: list[np.ndarray] = []
+        self.good = np.zeros(0, bool)
+        self.begin = np.zeros(1, np.int64)  # where each unit's groups begin in flat, and the end of the last's
+        self.flat = np.zeros(0, np.int64)
         self.group: dict[str, int] = {}
+        self.code: dict[tuple[int, int], dict[int, int]] = {}
         self.keys: list[str] = []
         self.sizes: list[tuple[int, int]] = []
         self.pairs: list[np.ndarray] = []
@@ -100,59 +110,110 @@ class Pair:
             self.pairs.append((x << 32) | y)
         return g
 
-    def _aligned(self, a: list[int], b: list[int], raw: bytes) -> list[int] | None:
-        """The groups of one unit, or None if either side's bytes are not the unit's."""
-        pa_, pb = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(pa_) != raw or b"".join(pb) != raw:
-            return None
-        if len(a) == 1 or len(b) == 1:
-            return [self._intern(a, b)] if a else []
-        out, i, j, x, y, fa, fb = [], 0, 0, 0, 0, 0, 0
-        while i < len(a) or j < len(b):
-            if x <= y and i < len(a):
-                x += len(pa_[i])
-                i += 1
-            else:
-                y += len(pb[j])
-                j += 1
-            if x == y:
-                out.append(self._intern(a[fa:i], b[fb:j]))
-                fa, fb = i, j
+    def _interned(self, a: np.ndarray, from_a: np.ndarray, n_a: np.ndarray, b: np.ndarray, from_b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+        """The numbers of groups, stretches of a and b. Where a group's ids fit into one number together, each number is looked up once; others one by one."""
+        out = np.full(len(n_a), -1, np.int64)
+        for p, q in SHAPES if self.short_ids else ():
+            at = np.flatnonzero((n_a == p) & (n_b == q))
+            code = np.zeros(len(at), np.int64)
+            for ids, begin, many in ((a, from_a, p), (b, from_b, q)):
+                for k in range(many):
+                    code = (code << 16) | ids[begin[at] + k]
+            own, first, which = np.unique(code, return_index=True, return_inverse=True)
+            known, found = self.code.setdefault((p, q), {}), []
+            for c, f in zip(own.tolist(), at[first].tolist(), strict=True):
+                g = known.get(c)
+                if g is None:
+                    g = known[c] = self._intern(a[from_a[f] : from_a[f] + p].tolist(), b[from_b[f] : from_b[f] + q].tolist())
+                found.append(g)
+            out[at] = np.array(found, np.int64)[which]
+        rest = np.flatnonzero(out < 0)
+        for g, fa, na, fb, nb in zip(rest.tolist(), *(x[rest].tolist() for x in (from_a, n_a, from_b, n_b)), strict=True):
+            out[g] = self._intern(a[fa : fa + na].tolist(), b[fb : fb + nb].tolist())
         return out
 
+    def _encoded_a(self, units: list[str], size: np.ndarray, together: bool) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of all units, and how many each has. together: units are encoded many at once, if all their borders are tokens' ends then."""
+        if together:
+            ids = _flat([self.a.encode("".join(units[i : i + UNITS_AT_ONCE]), add_special_tokens=False).ids for i in range(0, len(units), UNITS_AT_ONCE)])
+            ends, border = np.cumsum(self.length_a[ids]), np.cumsum(size)
+            if len(ends) and ends[-1] == border[-1]:
+                at = np.searchsorted(ends, border)
+                if (ends[at] == border).all():
+                    return ids, np.diff(at, prepend=-1)
+        of = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
+        return _flat(of), np.array([*map(len, of)], np.int64)
+
     def learn(self, units: list[str]) -> None:
-        """Encode units, which begin with a space or a line end."""
-        of_a = self.a.encode_batch(units, add_special_tokens=False)
+        """Encode units, which begin with a space or a line end. Those without white space at their other borders may stand beside each other."""
+        inner = [len(u) > 1 and not u[1].isspace() and not u[-1].isspace() for u in units]
+        for how in (True, False):
+            if some := [u for u, x in zip(units, inner, strict=True) if x is how]:
+                self._learn(some, how and self.by_units)
+
+    def _learn(self, units: list[str], together: bool) -> None:
+        raw = [u.encode() for u in units]
+        size = np.array([*map(len, raw)], np.int64)
+        a, n_a = self._encoded_a(units, size, together)
         of_b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        for u, ea, b in zip(units, of_a, of_b, strict=True):
-            if u[0] != " ":  # B puts a space before any text
-                b = b[1:] if b and b[0] == self.space else []
-            found = self._aligned(ea.ids, b, u.encode())
-            self.unit[u] = len(self.good)
-            self.good.append(found is not None)
-            self.groups_of.append(np.array(found or [], np.int64))
-            self.text.append(";".join([self.keys[g] for g in found or []]))
-
-    def block(self, texts: list) -> tuple[list[np.ndarray], list[str]]:
-        """The groups of each text, in order, and them written out."""
+        # B puts a space before any text.
+        of_b = [x if u[0] == " " else x[1:] if x and x[0] == self.space else [] for u, x in zip(units, of_b, strict=True)]
+        b, n_b = _flat(of_b), np.array([*map(len, of_b)], np.int64)
+        # Good: on both sides the unit's bytes come back.
+        good, whole = np.ones(len(units), bool), b"".join(raw)
+        for ids, many, length, spelt in ((a, n_a, self.length_a, self.bytes_a), (b, n_b, self.length_b, self.bytes_b)):
+            edge = _edges(length[ids])[_edges(many)]
+            side = b"".join(map(spelt.__getitem__, ids.tolist()))
+            if side != whole or (np.diff(edge) != size).any():
+                good &= [side[lo:hi] == x for lo, hi, x in zip(edge[:-1].tolist(), edge[1:].tolist(), raw, strict=True)]
+        a, b, n_a, n_b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)], n_a * good, n_b * good
+        # A group ends where tokens of both end; so does each unit.
+        end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        at = np.searchsorted(end_b, end_a)
+        last_a = np.flatnonzero(end_b[at] == end_a)
+        edge_a, edge_b = (np.concatenate(([0], x + 1)) for x in (last_a, at[last_a]))
+        groups = self._interned(a, edge_a[:-1], np.diff(edge_a), b, edge_b[:-1], np.diff(edge_b))
+        ends = np.searchsorted(last_a, np.cumsum(n_a) - 1, side="right")
+        self.unit.update(zip(units, range(len(self.good), len(self.good) + len(units)), strict=True))
+        self.good = np.concatenate((self.good, good))
+        self.begin = np.concatenate((self.begin, self.begin[-1] + ends))
+        self.flat = np.concatenate((self.flat, groups))
+
+    def block(self, texts: list) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """The groups of all texts, in order; each text's written out; how many each has."""
         if len(self.unit) > CACHE_UNITS:
             self.forget()
-        split = [[] if not t else [*_CUT.split(f" {t}")] if self.by_units else [f" {t}"] for t in texts]
-        new = [u for u in dict.fromkeys(u for units in split for u in units) if u not in self.unit]
-        if new:
-            self.learn(new)
-        groups, written = [], []
-        for t, units in zip(texts, split, strict=True):
-            at = [self.unit[u] for u in units]
-            if not all(map(self.good.__getitem__, at)):
-                # Units that do not come back: the whole text decides.
-                whole = f" {t}"
-                if whole not in self.unit:
-                    self.learn([whole])
-                at = [self.unit[whole]] if self.good[self.unit[whole]] else []
-            groups.append(np.concatenate([self.groups_of[u] for u in at]) if at else np.zeros(0, np.int64))
-            written.append(";".join([self.text[u] for u in at]))
-        return groups, written
+        split = [[] if not t else _CUT.split(f" {t}") if self.by_units else [f" {t}"] for t in texts]
+        units = [*chain.from_iterable(split)]
+        at = [*map(self.unit.get, units)]
+        if None in at:
+            self.learn([*dict.fromkeys(u for u, x in zip(units, at, strict=True) if x is None)])
+            at = [*map(self.unit.__getitem__, units)]
+        at, doc = np.array(at, np.int64), np.repeat(np.arange(len(texts)), [*map(len, split)])
+        bad = np.unique(doc[~self.good[at]])
+        if len(bad):
+            # Units that do not come back: the whole text decides.
+            whole = [f" {texts[d]}" for d in bad.tolist()]
+            self.learn([*dict.fromkeys(w for w in whole if w not in self.unit)])
+            instead = np.array([self.unit[w] for w in whole], np.int64)
+            stay, fine = ~np.isin(doc, bad), self.good[instead]
+            doc, at = np.concatenate((doc[stay], bad[fine])), np.concatenate((at[stay], instead[fine]))
+            order = np.argsort(doc, kind="stable")
+            doc, at = doc[order], at[order]
+        many = self.begin[at + 1] - self.begin[at]
+        flat = self.flat[np.repeat(self.begin[at] - _edges(many)[:-1], many) + np.arange(many.sum())]
+        count = np.bincount(doc, weights=many, minlength=len(texts)).astype(np.int64)
+        names, edge = [*map(self.keys.__getitem__, flat.tolist())], _edges(count).tolist()
+        return flat, [";".join(names[lo:hi]) for lo, hi in zip(edge[:-1], edge[1:], strict=True)], count
+
+
+def _flat(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int64)
+
+
+def _edges(sizes: np.ndarray) -> np.ndarray:
+    """Where stretches of these sizes begin, and where the last ends."""
+    return np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -184,9 +245,8 @@ def found(docs: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id",
         block = TaskContext.get().partitionId() << 33
         for batch in batches:
             ids, n = batch.column(0), batch.num_rows
-            groups, written = pair.block(batch.column(1).to_pylist())
-            count = np.array([len(g) for g in groups], np.int64)
-            doc, flat = np.repeat(np.arange(n), count), np.concatenate([*groups, np.zeros(0, np.int64)])
+            flat, written, count = pair.block(batch.column(1).to_pylist())
+            doc = np.repeat(np.arange(n), count)
             sizes = np.array(pair.sizes, np.int64).reshape(-1, 2)[flat]
             total = lambda w: np.bincount(doc, weights=w, minlength=n).astype(np.int64)  # noqa: E731, B023
             digests = [hashlib.sha256(w.encode()).hexdigest() if w else "" for w in written]
