@@ -83,3 +83,54 @@ def test_triangles_by_colours_against_all_subsets(spark, monkeypatch):
         assert sorted(tuple(r) for r in got) == want
     named = graph.triangles(table(spark, edges).select(*[F.format_string("v%02d", c).alias(c) for c in "ab"])).collect()
     assert sorted(tuple(int(x[1:]) for x in r) for r in named) == want
+
+
+def plain_betweenness(edges):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    total = dict.fromkeys(near, 0.0)
+    for s in near:
+        far, paths, order = {s: 0}, {s: 1}, [s]
+        for u in order:
+            for v in near[u]:
+                if v not in far:
+                    far[v], paths[v] = far[u] + 1, 0
+                    order.append(v)
+                if far[v] == far[u] + 1:
+                    paths[v] += paths[u]
+        leads = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            for u in near[v]:
+                if far[u] == far[v] - 1:
+                    leads[u] += paths[u] / paths[v] * (1 + leads[v])
+            total[v] += leads[v] if v != s else 0
+    n = len(near)
+    return {v: x / max(1, (n - 1) * (n - 2)) for v, x in total.items()}
+
+
+def test_betweenness_takes_every_pair_of_coauthors(spark):
+    from corvane.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    teams = [sorted(set(r["author_list"] or [])) for r in catalog.papers(spark, sf).select("author_list").collect()]
+    want = plain_betweenness({p for t in teams for p in combinations(t, 2)})
+    got = {r["id"]: r["betweenness"] for r in catalog.QUERIES["betweenness"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-6 for v in want)
+
+
+def test_betweenness_of_components_by_bits_lists_and_tables(spark, monkeypatch):
+    rng = random.Random(11)
+    edges = {(a + k * 100, b + k * 100) for k, share in ((0, 0.7), (1, 0.15), (2, 0.08)) for a, b in combinations(range(30), 2) if rng.random() < share}
+    edges |= {(1000, 1001), (2000, 2001), (2001, 2002), *((3000 + i, 3001 + i) for i in range(20))}
+    want = plain_betweenness(edges)
+    df = table(spark, edges | {(5, 5)})
+    monkeypatch.setattr(graph, "LIVE_PAIRS", 3_000)
+    for name, value in (("HELD_NUMBERS", 50), ("DENSE", 0), ("TASK_WORK", 500), ("HELD_STEPS", 100), ("HELD_STEPS", 0)):
+        monkeypatch.setattr(graph, name, value)
+        got = {r["id"]: r["betweenness"] for r in graph.betweenness(df).collect()}
+        assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-12 for v in want), name
+    some = {r["id"]: round(r["betweenness"], 12) for r in graph.betweenness(df, 15).collect()}
+    monkeypatch.setattr(graph, "HELD_STEPS", 8_000_000)
+    assert some == {r["id"]: round(r["betweenness"], 12) for r in graph.betweenness(df, 15).collect()} and max(some.values()) > 0
