@@ -134,3 +134,25 @@ def test_betweenness_of_components_by_bits_lists_and_tables(spark, monkeypatch):
     some = {r["id"]: round(r["betweenness"], 12) for r in graph.betweenness(df, 15).collect()}
     monkeypatch.setattr(graph, "HELD_STEPS", 8_000_000)
     assert some == {r["id"]: round(r["betweenness"], 12) for r in graph.betweenness(df, 15).collect()} and max(some.values()) > 0
+
+
+def test_triangles_shuffle_few_bytes_for_an_edge_and_colour(spark, monkeypatch):
+    """20 groups of 100 vertices, 99,000 edges that go to 12 colours; some edges twice."""
+    monkeypatch.setattr(graph, "TASK_EDGES", 7_000)
+    groups = spark.range(2_000).select((F.col("id") % 20).alias("g"), "id")
+    edges = graph.written(groups.select("g", F.col("id").alias("a")).join(groups.select("g", F.col("id").alias("b")), "g").where("a < b").select("a", "b"))
+    sc = spark.sparkContext._jsc.sc()
+    first = sc.dagScheduler().nextStageId()
+    assert graph.triangles(edges.unionByName(edges.limit(1_000))).count() == 20 * 161_700
+    sc.listenerBus().waitUntilEmpty(30_000)
+    sent = sum(sc.statusStore().lastStageAttempt(k).shuffleWriteBytes() for k in range(first, sc.dagScheduler().nextStageId()))
+    assert 0 < sent < 4 * 99_000 * 12
+
+
+def test_packed_numbers_come_back(spark):
+    import numpy as np
+
+    ends = np.iinfo(np.int64)
+    for a in ([0], [5, 3, 3], [ends.min, ends.max, 0, ends.min], list(range(70_000)), [2**40, -(2**40)]):
+        back = graph._unpack(graph._pack(np.array(a, np.int64)) * 2)
+        assert [x.tolist() for x in back] == [a, a]
