@@ -130,20 +130,32 @@ class Running:
         """Chord of each query's k-th neighbour so far; infinite while there are fewer."""
         return np.sqrt(np.maximum(0, 2 - 2 * np.where(np.isinf(self.best[:, -1]), -np.inf, self.best[:, -1] - SLACK)))
 
-    def take(self, base: np.ndarray, classes: np.ndarray, allowed=None, step: int = 1_024) -> None:
+    def take(self, base: np.ndarray, classes: np.ndarray, allowed=None, step: int = 2_048) -> None:
+        """Similarities in single precision leave out what its error bound rules out; the rest is computed in double."""
+        q = self.q.astype("f4")
+        slack = (self.q.shape[1] + 4) * 2.0**-22  # twice what rounding can do to a product of unit vectors
         for s in range(0, len(base), step):
-            near = self.q @ base[s : s + step].T
+            near = q @ base[s : s + step].astype("f4").T
             if allowed is not None:
                 near[~allowed(slice(s, s + step))] = -np.inf
-            least = self.best[:, -1:] - SLACK
-            if near.shape[1] > self.k:
-                least = np.maximum(least, np.partition(near, -self.k, axis=1)[:, [-self.k]] - SLACK)
-            row, col = np.nonzero((near >= least) & (near > -np.inf))
+            least = self.best[:, -1] - SLACK
+            hit = near >= (least - slack).astype("f4")[:, None]
+            if near.shape[1] > self.k and np.count_nonzero(hit) > len(q) * self.k:
+                least = np.maximum(least, np.partition(near, -self.k, axis=1)[:, -self.k].astype("f8") - slack - SLACK)
+                hit = near >= (least - slack).astype("f4")[:, None]
+            row, col = np.divmod(np.flatnonzero(hit), near.shape[1])
+            there = near[row, col] > -np.inf
+            row, col = row[there], col[there]
             if not len(row):
                 continue
-            held_row, held_col = np.nonzero(self.best > -np.inf)
+            exact = np.concatenate([np.einsum("ij,ij->i", self.q[row[x : x + 65_536]], base[s + col[x : x + 65_536]]) for x in range(0, len(row), 65_536)])
+            there = exact >= least[row]
+            row, col, exact = row[there], col[there], exact[there]
+            changed = np.unique(row)
+            held_row, held_col = np.nonzero(self.best[changed] > -np.inf)
+            held_row = changed[held_row]
             rows = np.concatenate([held_row, row])
-            sims = np.concatenate([self.best[held_row, held_col], np.round(near[row, col], DIGITS)])
+            sims = np.concatenate([self.best[held_row, held_col], np.round(exact, DIGITS)])
             ids = np.concatenate([self.at[held_row, held_col], classes[s + col]])
             order = np.lexsort((ids, -sims, rows))
             rows, sims, ids = rows[order], sims[order], ids[order]

@@ -1,6 +1,7 @@
 """The landscape keeps neighbours better than principal components do, and can be repeated."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from corvane.operators import landscape as L
 from corvane.operators import vectors
@@ -45,3 +46,22 @@ def test_graph_weights(spark):
 def test_too_few_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert L.landscape(df).count() == 0
+
+
+def test_rounds_without_shuffles_are_those_by_tables(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 64)
+    df = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    sc = spark.sparkContext._jsc.sc()
+    began = sc.dagScheduler().nextStageId()
+    held = points(L.landscape(df, rounds=2))
+    now = sc.dagScheduler().nextStageId()
+    monkeypatch.setattr(L, "HELD_POINTS", 0)
+    assert np.allclose(held, points(L.landscape(df, rounds=2)), atol=1e-6)
+    assert now - began < 0.7 * (sc.dagScheduler().nextStageId() - now)
+
+
+def test_named_vertices_are_those_of_xxhash64(spark):
+    ids = [0, 1, 5, 2**40, 1_999_999]
+    got = spark.createDataFrame([(i,) for i in ids], "id long").select(*[F.pmod(F.xxhash64("id", F.lit(e), F.lit(j), F.lit(s)), F.lit(n)) for e, j, s, n in ((0, 0, 42, 7), (23, 4, -3, 1_000_003))]).collect()
+    want = [L.named(np.array(ids), *x) for x in ((0, 0, 42, 7), (23, 4, -3, 1_000_003))]
+    assert [list(r) for r in got] == np.stack(want, axis=1).tolist()
